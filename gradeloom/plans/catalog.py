@@ -1,13 +1,17 @@
-"""All registered queries of the reference's operators."""
+"""All registered queries of the exam platform's operators."""
+
+from __future__ import annotations
+
+from gradeloom.plans import grading, lookups, papers, registry  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return grading.attempt_summary(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLE)
