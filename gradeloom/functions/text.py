@@ -151,7 +151,7 @@ def repaired_json(c: Column) -> Column:
     text = python_strip(c)
     array, single = F.regexp_extract(text, r"(?s)\[\s*\{.*\}\s*\]", 0), F.regexp_extract(text, r'(?s)\{\s*".*\}\s*', 0)
     target = F.when(array != "", array).when(single != "", single).otherwise(text)
-    target = F.regexp_replace(target, r"""(?<!\\)\\(?![\\/bfnrtu"'])""", r"\\\\\\\\")
+    target = F.regexp_replace(target, r"""(?<!\\)\\(?![\\/bfnrtu"'])""", r"\\\\")
     target = F.regexp_replace(F.regexp_replace(target, r",\s*\]", "]"), r",\s*\}", "}")
     closed = F.concat(target, F.lit("]"))
     valid = lambda x: F.try_parse_json(x).isNotNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import grading, lookups, papers, registry  # noqa: F401
+from gradeloom.plans import changes, grading, lookups, papers, registry, scalars  # noqa: F401
 
 
 def flagship(spark, sf_dir):
