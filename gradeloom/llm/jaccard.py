@@ -1,7 +1,8 @@
 """N-gram Jaccard join: signature trees over prefix cells, then over candidate components with the sets themselves.
 
 Exact for every pair of different texts. Two sets with |x & y| / |x | y| >= t share a shingle among the first
-|x| - ceil(t|x|) + 1 of each, in any one global order. That order puts frequent shingles last, by a fixed-size count
+|x| - ceil(t|x|) + 1 of each, in any one global order, and in the smaller set among the first |x| - ceil(2t|x| / (1 + t)) + 1,
+its lead. That order puts frequent shingles last, by a fixed-size count
 sketch of the whole corpus, so common passages rarely meet. Sets that are equal are one class first. Within a cell
 (classes that share a prefix shingle) a signature tree prunes node pairs by their greatest possible overlap; what is
 left joins candidate components. Each component's sets are then brought together once, a large one in blocks that meet
@@ -21,7 +22,7 @@ from gradeloom.llm.common import BITS_PER_BUCKET, Links, bit_filter, components,
 from gradeloom.llm.textscan import chunks, mix, raw, shingles, vector_sum
 
 SKETCH_BITS = 21
-SIGNATURE = 1024
+SIGNATURE, LONGEST = 1024, 1 << 15  # bits of a signature: a power of two, the set's size at least as far as that goes
 LEAF, FANOUT = 64, 8
 BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 2048
 FILTER_BITS = 1 << 22
@@ -32,6 +33,11 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def _lead_sql(n: str, percent: int):
+    """How many of a set's first shingles a larger or equal partner must meet."""
+    return F.expr(f"{n} - ({2 * percent} * {n} + {99 + percent}) div {100 + percent} + 1")
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Row ids, bytes and offsets of chunks of (doc_id, text) batches."""
     for batch in batches:
@@ -76,9 +82,10 @@ def _profiles(docs: DataFrame, code: np.ndarray, n: int, percent: int) -> DataFr
                 d2.append(int(mix(m ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)))
                 order = (rank[u >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
                 p = k - int(_need(k, percent)) + 1
-                prefix.append(u[np.argpartition(order, p - 1)[:p]].view(np.int64))
-                bits = np.zeros(SIGNATURE, np.uint8)
-                bits[m & np.uint64(SIGNATURE - 1)] = 1
+                first = np.argpartition(order, p - 1)[:p]
+                prefix.append(u[first[np.argsort(order[first])]].view(np.int64))
+                bits = np.zeros(min(LONGEST, max(SIGNATURE, 1 << (k - 1).bit_length())), np.uint8)
+                bits[m & np.uint64(len(bits) - 1)] = 1
                 sig.append(np.packbits(bits).tobytes())
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
@@ -136,7 +143,7 @@ class SignatureTree:
 
     def link(self, linked, links: Links) -> None:
         """Dual traversal from (root, root): joins in ``links`` every pair for which ``linked(i, j)`` holds, apart from
-        pairs that are joined already. ``linked`` None: every pair that the bitmaps leave possible."""
+        pairs that are joined already."""
         n, top = len(self.size), len(self.low) - 1
         stack = [(top, 0, 0)]
         while stack:
@@ -153,13 +160,9 @@ class SignatureTree:
                     stack += [(level - 1, x, int(y)) for y in right[self._possible(level - 1, x, right)][::-1]]
                 continue
             x, y = self._leaf(a, b)
-            if linked is None:
-                for p, q in zip(x.tolist(), y.tolist()):
+            for p, q in zip(x.tolist(), y.tolist()):
+                if links.root(p) != links.root(q) and linked(p, q):
                     links.join(p, q)
-            else:
-                for p, q in zip(x.tolist(), y.tolist()):
-                    if links.root(p) != links.root(q) and linked(p, q):
-                        links.join(p, q)
 
     def _leaf(self, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.meshgrid(np.arange(a.start, a.stop), np.arange(b.start, b.stop), indexing="ij")
@@ -175,8 +178,29 @@ def possible_pairs(size, sig, over, x, y, percent):
     return x[keep], y[keep]
 
 
-def _signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
+def _signatures(column: list[bytes]) -> np.ndarray:
+    """Signatures of any lengths, folded to the shortest one."""
+    out = np.zeros((len(column), SIGNATURE // 64), np.uint64)
+    for i, x in enumerate(column):
+        flat = np.frombuffer(x, np.uint64).reshape(-1, SIGNATURE // 64)
+        out[i] = flat[0] if len(flat) == 1 else np.bitwise_or.reduce(flat)
+    return out
+
+
+def _long_enough(size: np.ndarray, full: list[bytes], percent: int):
+    """Whether the unfolded signatures of a pair leave it possible too."""
+
+    def possible(i: int, j: int) -> bool:
+        x, y = np.frombuffer(full[i], np.uint64), np.frombuffer(full[j], np.uint64)
+        if len(x) == len(y) == SIGNATURE // 64:
+            return True
+        n = min(len(x), len(y))
+        x, y = (v if len(v) == n else np.bitwise_or.reduce(v.reshape(-1, n)) for v in (x, y))
+        over = min(int(size[i]) - int(_popcount(x)), int(size[j]) - int(_popcount(y)))
+        overlap = min(int(_popcount(x & y)) + over, int(size[i]), int(size[j]))
+        return (100 + percent) * overlap >= percent * int(size[i] + size[j])
+
+    return possible
 
 
 def _cells(percent: int):
@@ -184,8 +208,10 @@ def _cells(percent: int):
 
     def run(batches):
         for table in _runs(batches, "token"):
-            token, cid, size = (table[c].to_numpy() for c in ("token", "cid", "n"))
-            sig = _signatures(table["sig"])
+            token, cid, size, lead = (table[c].to_numpy() for c in ("token", "cid", "n", "lead"))
+            full = table["sig"].to_pylist()
+            sig = _signatures(full)
+            possible = _long_enough(size, full, percent)
             over = size - _popcount(sig)
             start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             count = np.diff(np.concatenate((start, [len(token)])))
@@ -196,19 +222,23 @@ def _cells(percent: int):
                 for lo in range(0, len(at), max(1, 200_000 // len(i))):
                     part = at[lo : lo + max(1, 200_000 // len(i))]
                     x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                    fits = size[x] * 100 >= size[y] * percent  # sorted by size, so y is the larger
+                    fits = (size[x] * 100 >= size[y] * percent) & lead[x]  # sorted by size, so y is the larger
                     x, y = possible_pairs(size, sig, over, x[fits], y[fits], percent)
-                    left.append(cid[x]), right.append(cid[y])
-            for at, k in zip(start[count > LEAF], count[count > LEAF]):
-                own = slice(int(at), int(at + k))
-                links = Links(int(k))
-                SignatureTree(size[own], sig[own], percent).link(None, links)
+                    left.append(x), right.append(y)
+            for at, k in zip(start[count > LEAF].tolist(), count[count > LEAF].tolist()):
+                own = slice(at, at + k)
+                links = Links(k)
+                SignatureTree(size[own], sig[own], percent).link(lambda i, j, at=at: possible(at + i, at + j), links)
                 roots = links.roots()
                 moved = np.flatnonzero(roots != np.arange(k))
-                left.append(cid[own][moved]), right.append(cid[own][roots[moved]])
+                left.append(at + moved), right.append(at + roots[moved])
             if left:
-                pair = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), 1), axis=0)
-                ids, at = np.unique(pair, return_inverse=True)
+                x, y = np.concatenate(left), np.concatenate(right)
+                pair, at = np.unique(np.stack((cid[x], cid[y]), 1), axis=0, return_index=True)
+                far = np.maximum(size[x[at]], size[y[at]]) > SIGNATURE // 2
+                keep = ~far
+                keep[far] = [possible(i, j) for i, j in zip(x[at[far]].tolist(), y[at[far]].tolist())]
+                ids, at = np.unique(pair[keep], return_inverse=True)
                 links = Links(len(ids))
                 for p, q in at.reshape(-1, 2).tolist():
                     links.join(p, q)
@@ -220,11 +250,12 @@ def _cells(percent: int):
 
 
 def _shared(batches):
-    """Rows of a partition sorted by token whose token occurs more than once."""
+    """Rows of a partition sorted by token whose token occurs more than once, and leads one of its sets at least."""
     for table in _runs(batches, "token"):
-        token = table["token"].to_numpy()
-        same = token[1:] == token[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        token, lead = table["token"].to_numpy(), table["lead"].to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count = np.diff(np.concatenate((start, [len(token)])))
+        keep = np.repeat((count > 1) & np.logical_or.reduceat(lead, start), count)
         yield from table.filter(pa.array(keep)).to_batches()
 
 
@@ -235,7 +266,7 @@ def _verify(percent: int):
         order = np.lexsort((table["cid"].to_numpy(), table["n"].to_numpy(), table["comp"].to_numpy()))
         table = table.take(pa.array(order))
         cid, comp, size = (table[c].to_numpy() for c in ("cid", "comp", "n"))
-        sig = _signatures(table["sig"])
+        sig = _signatures(table["sig"].to_pylist())
         sets = table["tokens"].combine_chunks()
         flat, off = sets.values.to_numpy(), sets.offsets.to_numpy()
         start = np.flatnonzero(np.concatenate(([True], comp[1:] != comp[:-1])))
@@ -295,7 +326,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     known = profiles.where("n > 0 and doc_id is not null")
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"))
     postings = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    postings = postings.select(F.explode("prefix").alias("token"), "cid", "n")
+    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n").select("token", "cid", "n", (F.col("pos") < _lead_sql("n", percent)).alias("lead"))
     shared = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, postings.schema)
     signed = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.any_value("sig").alias("sig"))
     cells = shared.join(signed.select("cid", "sig"), "cid")
