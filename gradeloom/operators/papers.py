@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import anchor_text, confidence_score, content_hash, filled_or, guard_hash, intent_signature, section_key, subject_key, tokenize, word_similarity
 from gradeloom.operators.joins import order_window
 
-SAME_INTENT, CLOSE, SIMILAR = "intent", 0.08, 0.9
+CLOSE, SIMILAR = 0.08, 0.9
 
 
 def blueprint_targets(plan: DataFrame) -> DataFrame:
@@ -94,16 +94,21 @@ def fingerprints(bank: DataFrame) -> DataFrame:
 def near_duplicate_pairs(prints: DataFrame) -> DataFrame:
     """Pairs of equal intent, close confidence and similar words.
 
-    Equal anchors are one class, so copies are not multiplied: classes of an intent meet pairwise, and then a class's
-    members follow their least id. Rows: id, other_id, where other_id is the least of its class.
+    Equal anchors are one class, so copies are not multiplied: classes of an intent meet where they share a leading
+    token, and a class's members follow their least id. Rows: id, other_id, where other_id is the least of its class.
     """
     rows = prints.select("id", "intent", "confidence", "anchor")
     classes = rows.groupBy("intent", "confidence", "anchor").agg(F.min("id").alias("id"))
-    classes = classes.withColumn("tokens", F.array_distinct(tokenize(F.col("anchor")))).where(F.size("tokens") > 0)
-    a, b = classes.select(F.col("id").alias("a"), "intent", F.col("confidence").alias("ca"), F.col("tokens").alias("ta")), classes.select(F.col("id").alias("b"), "intent", F.col("confidence").alias("cb"), F.col("tokens").alias("tb"))
-    # sizes first: two sets this similar differ by a tenth at most
-    fits = (F.size("ta") >= F.size("tb") * SIMILAR) & (F.size("tb") >= F.size("ta") * SIMILAR) & (F.abs(F.col("ca") - F.col("cb")) <= CLOSE + 1e-12)
-    between = a.join(b, "intent").where((F.col("a") < F.col("b")) & fits & (word_similarity(F.col("ta"), F.col("tb")) >= SIMILAR)).select(F.col("b").alias("id"), F.col("a").alias("other_id"))
+    classes = classes.withColumn("tokens", F.array_sort(F.array_distinct(tokenize(F.col("anchor"))))).withColumn("n", F.size("tokens")).where("n > 0")
+    # sets this similar share one of the first n - ceil(0.9 n) + 1 tokens, so a common intent isn't compared as a whole
+    shared = classes.groupBy("intent").agg(F.count("*").alias("m")).where("m > 1").select("intent")
+    lead = classes.join(shared, "intent", "left_semi").select("id", "intent", "confidence", "n", F.explode(F.slice("tokens", F.lit(1), F.expr("n - (9 * n + 9) div 10 + 1"))).alias("token"))
+    a, b = (lead.select("intent", "token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "confidence", "n"))) for side in "ab")
+    fits = (F.col("n_a") * 10 >= F.col("n_b") * 9) & (F.col("n_b") * 10 >= F.col("n_a") * 9) & (F.abs(F.col("confidence_a") - F.col("confidence_b")) <= CLOSE + 1e-12)
+    pairs = a.join(b, ["intent", "token"]).where((F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}")), f"id_{side}")
+    between = pairs.where(word_similarity(F.col("tokens_a"), F.col("tokens_b")) >= SIMILAR).select(F.col("id_b").alias("id"), F.col("id_a").alias("other_id"))
     nonempty = rows.where(F.length("anchor") > 0)
     first = nonempty.groupBy("intent", "confidence", "anchor").agg(F.min("id").alias("other_id"))
     inside = nonempty.join(first, ["intent", "confidence", "anchor"]).where("id > other_id").select("id", "other_id")
