@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import bit_filter, maybe_in, scratch, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
-MEMTABLES = 16
+MEMTABLES, MEMTABLE_ROWS = 16, 1_000_000  # at least so many memtables, of about so many rows at most
 
 
 def normalised(text: Column) -> Column:
@@ -32,11 +32,12 @@ def _keyed(docs: DataFrame, digest) -> DataFrame:
     return docs.select(F.col("doc_id"), F.length(text).cast("long").alias("chars"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
 
 
-def flush(docs: DataFrame, digest, memtables: int = MEMTABLES) -> DataFrame:
-    """Sorted runs, one per memtable: run, digest, best, rows."""
-    rows = _keyed(docs, digest).select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(memtables)).cast("int").alias("run"), "digest", best_first("chars", "doc_id").alias("best"))
-    run = rows.groupBy("run", "digest").agg(F.min("best").alias("best"), F.count("*").alias("rows"))
-    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
+def flush(docs: DataFrame, digest, memtables: int = MEMTABLES, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """Sorted runs, one file for each memtable: run, digest, best, rows. A run's Bloom filter is as large as its digests ask for."""
+    n = max(memtables, -(-docs.count() // memtable_rows))  # Parquet's own row counts
+    rows = _keyed(docs, digest).select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n)).cast("int").alias("run"), "digest", best_first("chars", "doc_id").alias("best"))
+    run = rows.repartition(n, "run").groupBy("run", "digest").agg(F.min("best").alias("best"), F.count("*").alias("rows"))
+    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}
     return scratch(run.sortWithinPartitions("run", "digest"), "run", ["run"], **options)
 
 
@@ -62,7 +63,8 @@ def exact_dedup(docs: DataFrame, digest=sha256, memtables: int = MEMTABLES) -> D
     hits = compact(flush(docs, digest, memtables)).where("rows > 1")
     keyed = maybe_in(_keyed(docs, digest), "digest", bit_filter(hits, "digest"), "hit")
     group = keyed.where("hit").groupBy("digest", "norm").agg(F.min(best_first("chars", "doc_id")).alias("best"), F.count("*").alias("group_size"))
-    group = group.where("group_size > 1").select(F.col("digest").alias("g_digest"), F.col("norm").alias("g_norm"), F.col("best.id").alias("keep"), "group_size")
+    # written, so that the join deals both sides anew and Spark can split a group of many copies
+    group = scratch(group.where("group_size > 1").select(F.col("digest").alias("g_digest"), F.col("norm").alias("g_norm"), F.col("best.id").alias("keep"), "group_size"), "groups")
     rows = keyed.select("doc_id", "digest", F.when(F.col("hit"), F.col("norm")).alias("verify"), F.sha2("norm", 256).alias("text_sha256"))
     joined = rows.join(group, (rows.digest == F.col("g_digest")) & (rows.verify == F.col("g_norm")), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
