@@ -131,11 +131,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _shard_round(state, turn: int):
     """What a shard does in a round: one pass over its rows from the common state."""
 
-    def step(table):
+    def step(key, table):
         z, n = (a.copy() for a in state.value)
+        table = table.sort_by("rank")  # the same model however the rows arrive
         rows = list(zip(table["label"].to_pylist(), pieces(table["at"]), pieces(table["x"])))
         ftrl(z, n, [rows[i] for i in np.random.default_rng(turn).permutation(len(rows))])
-        return pa.table({"z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
     return step
 
@@ -169,21 +170,21 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languag
     number = F.create_map(*(F.lit(x) for i, k in enumerate(labels) for x in (k, i)))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
     deal = F.pmod(F.xxhash64("doc_id", F.lit("deal")), F.lit(5 * SHARDS)).cast("int")
-    schema = "label int, shard int, at array<int>, x array<float>"
+    schema = "label int, shard int, rank long, at array<int>, x array<float>"
 
     def features(batches):
         for batch in batches:
-            got = [(i, *_weighted(count, idf)) for i, count in enumerate(ngram_counts(batch.column(2))) if count is not None]
+            got = [(i, *_weighted(count, idf)) for i, count in enumerate(ngram_counts(batch.column(3))) if count is not None]
             rows = pa.array([i for i, _, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), ragged([at.astype(np.int32) for _, at, _ in got]), ragged([x.astype(np.float32) for _, _, x in got])], ["label", "shard", "at", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), ragged([at.astype(np.int32) for _, at, _ in got]), ragged([x.astype(np.float32) for _, _, x in got])], ["label", "shard", "rank", "at", "x"])
 
-    sample = scratch(drawn.select(F.element_at(number, F.col("lang")).alias("label"), deal.alias("shard"), "text").mapInArrow(features, schema), "lid-sample")
+    sample = scratch(drawn.select(F.element_at(number, F.col("lang")).alias("label"), deal.alias("shard"), F.xxhash64("doc_id", "text").alias("rank"), "text").mapInArrow(features, schema), "lid-sample")
     c = len(labels)
     z, n = np.zeros((c, 1 << BITS)), np.zeros((c, 1 << BITS))
     learn = sample.where(f"shard < {4 * SHARDS}").withColumn("shard", F.col("shard") % SHARDS)
     for turn in range(ROUNDS):
         step = _shard_round(spark.sparkContext.broadcast((z, n)), turn)
-        states = learn.groupBy("shard").applyInArrow(step, "z binary, n binary").collect()  # SHARDS states of fixed size
+        states = learn.groupBy("shard").applyInArrow(step, "shard int, z binary, n binary").orderBy("shard").collect()  # SHARDS states of fixed size
         if states:
             z = np.mean([np.frombuffer(s["z"]).reshape(c, -1) for s in states], axis=0)
             n = np.mean([np.frombuffer(s["n"]).reshape(c, -1) for s in states], axis=0)

@@ -111,12 +111,13 @@ def graded(labels: DataFrame) -> DataFrame:
 def _shard_round(state, turn: int):
     """What a shard does in a round: one pass over its rows from the common state."""
 
-    def step(table):
+    def step(key, table):
         known, *own = state.value
+        table = table.sort_by("rank")  # the same model however the rows arrive
         own = [a.copy() for a in own]
         rows = [(k, *_known(known, a, x)) for k, a, x in zip(table["grade"].to_pylist(), pieces(table["at"]), pieces(table["x"]))]
         ordinal_pass(*own, [rows[i] for i in np.random.default_rng(turn).permutation(len(rows))])
-        return pa.table({"state": pa.array([np.concatenate(own).tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "state": pa.array([np.concatenate(own).tobytes()], pa.binary())})
 
     return step
 
@@ -129,12 +130,12 @@ def train_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, gra
 
     def extract(batches):
         for batch in batches:
-            got = list(features(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ragged([a.astype(np.int32) for a, _ in got]), ragged([x.astype(np.float32) for _, x in got])], ["grade", "shard", "at", "x"])
+            got = list(features(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), ragged([a.astype(np.int32) for a, _ in got]), ragged([x.astype(np.float32) for _, x in got])], ["grade", "shard", "rank", "at", "x"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``sample`` small rows
-    rows = rows.select(F.col("grade").cast("int").alias("grade"), F.pmod("deal", F.lit(SHARDS)).cast("int").alias("shard"), "text")
-    held = scratch(rows.mapInArrow(extract, "grade int, shard int, at array<int>, x array<float>"), "rated")
+    rows = rows.select(F.col("grade").cast("int").alias("grade"), F.pmod("deal", F.lit(SHARDS)).cast("int").alias("shard"), F.col("deal").alias("rank"), "text")
+    held = scratch(rows.mapInArrow(extract, "grade int, shard int, rank long, at array<int>, x array<float>"), "rated")
     least = max(ROWS, SHARE * held.count())
     common = held.select(F.explode("at").alias("at")).groupBy("at").count().where(F.col("count") >= least)
     known = np.sort(np.array([r["at"] for r in common.collect()], np.int64))  # at most (features of a row) / SHARE
@@ -143,7 +144,7 @@ def train_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, gra
     g2, cut_g2 = np.full(k, 1.0), np.full(grades - 1, 1e-2)
     for turn in range(ROUNDS):
         step = _shard_round(spark.sparkContext.broadcast((known, w, g2, cut, cut_g2)), turn)
-        states = [np.frombuffer(r["state"]) for r in held.groupBy("shard").applyInArrow(step, "state binary").collect()]  # SHARDS of fixed size
+        states = [np.frombuffer(r["state"]) for r in held.groupBy("shard").applyInArrow(step, "shard int, state binary").orderBy("shard").collect()]  # SHARDS of fixed size
         if not states:
             return QualityModel(known, w, np.full(grades - 1, -40.0))
         m = np.mean(states, axis=0)
