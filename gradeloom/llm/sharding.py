@@ -67,16 +67,19 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+TEXT = ["same", "size", "text_crc32"]
+
+
 def _points(rows: DataFrame, target: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with the piece of their group that they are in, and the points: one for each piece, with its keys."""
-    text = ["same", "size", "text_crc32"]
-    group = rows.groupBy(*text).agg(F.sum("size").alias("all"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"))
-    pieces = F.when(F.col("all") > target, F.ceil(F.col("all") / (target / 8)))
-    group = group.select(*text, "g_source", "g_lang", F.least(pieces, F.lit(1 << 20)).alias("pieces"))
-    rows = rows.join(group, text)
-    piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "source"), F.col("pieces")))
-    rows = rows.select("doc_id", *text, "g_source", "g_lang", piece.cast("long").alias("piece"))
-    return rows, rows.groupBy(*text, "piece", "g_source", "g_lang").agg(F.sum("size").alias("bytes"))
+    """Rows with the piece of their group that they are in, and the points: one for each piece, with its metadata.
+
+    A group is dealt into pieces if it exceeds ``target`` bytes, so fewer groups than shards are: their rows are
+    broadcast. All others are one piece."""
+    large = rows.groupBy(*TEXT).agg(F.sum("size").alias("all")).where(F.col("all") > target)
+    large = F.broadcast(large.select(*TEXT, F.ceil(F.col("all") / (target / 8)).alias("pieces")))
+    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", "source"), F.col("pieces")), F.lit(0))
+    rows = rows.join(large, TEXT, "left").select("doc_id", *TEXT, "source", "lang", piece.cast("long").alias("piece"))
+    return rows, rows.groupBy(*TEXT, "piece").agg(F.sum("size").alias("bytes"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"))
 
 
 def _keys() -> list[Column]:
@@ -151,12 +154,12 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = scratch(sized(docs), "sized")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     rows, points = _points(rows, max(1.0, total / shards))
-    points = scratch(points.select("same", "size", "text_crc32", "piece", "bytes", *_keys()), "points")
+    points = scratch(points.select(*TEXT, "piece", "bytes", *_keys()), "points")
     tree = grow(points, shards)
     shard = F.element_at(F.array(*(F.lit(s) for s in tree.shard)), tree.node([F.col(f"k{i}") for i in range(len(DIMENSIONS))]).cast("int") + 1)
-    keyed = rows.select("doc_id", "size", "text_crc32", *_keys())
-    placed = keyed.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"))
-    placed = scratch(placed, "placed")
+    where = points.select(*TEXT, "piece", shard.alias("shard"))
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_BUCKETS)).cast("int")
+    placed = scratch(rows.join(where, [*TEXT, "piece"]).select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket")), "placed")
     return with_slots(placed, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
