@@ -111,7 +111,7 @@ def seed_items(docs: DataFrame, block: DataFrame, n: int = SEED_WORDS) -> Items:
             for lo, hi in chunks(offsets):
                 h, first, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], loose=True)
                 _, k = _found(seeds, may, grams(h, first, n)[0])
-                total += np.bincount(k, minlength=width)
+                np.add.at(total, k, 1)
         return total
 
     return _rare(items, vector_sum(docs.select("text"), count, width, lambda total: total, slices))

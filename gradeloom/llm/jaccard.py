@@ -54,7 +54,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, b, off in _batches(batches):
             g, _ = shingles(b, off, n)
-            total += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            np.add.at(total, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         return total
 
     return vector_sum(docs, count, 1 << SKETCH_BITS, lambda total: np.minimum(np.floor(2 * np.log2(1 + total)), 255).astype(np.uint8))
@@ -324,7 +324,8 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     profiles = scratch(_profiles(docs, _sketch(docs, shingle_words), shingle_words, percent), "profiles")
     known = profiles.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"))
+    # written, so that joins with it deal both sides anew and Spark can split a class of many copies
+    classes = scratch(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")), "classes")
     postings = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.any_value("prefix").alias("prefix"))
     postings = postings.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n").select("token", "cid", "n", (F.col("pos") < _lead_sql("n", percent)).alias("lead"))
     shared = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, postings.schema)

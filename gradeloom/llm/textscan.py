@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 1 << 20  # bytes worked on at once; a longer text is a chunk of its own
+CHUNK = 1 << 18  # bytes worked on at once, at some 100 bytes of memory each; a longer text is a chunk of its own
 _BASE = 0x9E3779B97F4A7C15
 _MULT = np.array([_BASE, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -25,7 +25,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
