@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds bring training passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds bring training passages to test items, Smith-Waterman scores them.
 
-An item's seeds are its word n-grams that few items share and that the corpus, counted as a whole, doesn't use much more
-than the item's other n-grams. Seeds of a block of items have a bounded size and go to every task; further items are
-further blocks. Where a document has a seed, the window of words around it is aligned with the item, so copies with
-words replaced, added or left out score as well.
+An item's seeds are its word n-grams that few items share, however often the corpus uses them. Seeds of a block of items
+have a bounded size and go to every task; further items are further blocks. Where a document has a seed, the window of
+words around it is aligned with the item, so copies with words replaced, added or left out score as well. Windows with
+too few of the item's words for the score that counts are left out before, which loses nothing.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.textscan import chunks, grams, raw, vector_sum, words
+from gradeloom.llm.textscan import chunks, grams, raw, words
 
 SEED_WORDS = 4
 ITEM_SHARE = 3  # a seed occurs in at most so many items of its block, unless the item has no other
-RARE_TIMES, RARE_PLUS = 4, 16  # and at most so much oftener than the item's median n-gram
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Contaminated: an alignment of so large a share of the best score of the item's words, or of so many words of score.
 SHARE, WORDS = 0.4, 25
@@ -55,17 +54,15 @@ def _items(ids: list[int], texts: list[str], n: int) -> Items:
     return Items(np.array(ids, np.int64), own, seeds, np.concatenate((at, [len(gram)])), item, place)
 
 
-def _rare(items: Items, count: np.ndarray) -> Items:
-    """Keeps rare seeds; an item all of whose seeds are shared keeps them."""
+def _own(items: Items) -> Items:
+    """Keeps seeds that few items share; an item all of whose seeds are shared keeps them."""
     each = np.repeat(np.arange(len(items.seeds)), np.diff(items.at))
     sharing = np.array([len(np.unique(items.item[a:b])) for a, b in zip(items.at[:-1], items.at[1:])], np.int64)
     keep = np.zeros(len(each), bool)
     order = np.argsort(items.item, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1) if len(order) else []:
         few = own[sharing[each[own]] <= ITEM_SHARE]
-        few = few if len(few) else own
-        c = count[each[few]]
-        keep[few[c <= RARE_TIMES * np.median(c) + RARE_PLUS]] = True
+        keep[few if len(few) else own] = True
     each = each[keep]
     used, at = np.unique(each, return_index=True)
     return Items(items.ids, items.texts, items.seeds[used], np.concatenate((at, [len(each)])), items.item[keep], items.place[keep])
@@ -94,27 +91,15 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def seed_items(docs: DataFrame, block: DataFrame, n: int = SEED_WORDS) -> Items:
-    """The items of a block with their rare seeds; n-grams are counted over all texts of ``docs``."""
+def seed_items(block: DataFrame, n: int = SEED_WORDS) -> Items:
+    """The items of a block with their seeds."""
     rows = sorted((r["item_id"], r["text"]) for r in block.collect())  # a block is bounded
-    items = _items([i for i, _ in rows], [t for _, t in rows], n)
-    if not len(items.seeds):
-        return items
-    seeds, may = items.seeds, _filter(items.seeds)
-    slices = 16
-    width = -(-len(seeds) // slices) * slices
-
-    def count(batches):
-        total = np.zeros(width, np.int64)
-        for batch in batches:
-            data, offsets = raw(batch.column(0))
-            for lo, hi in chunks(offsets):
-                h, first, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], loose=True)
-                _, k = _found(seeds, may, grams(h, first, n)[0])
-                np.add.at(total, k, 1)
-        return total
-
-    return _rare(items, vector_sum(docs.select("text"), count, width, lambda total: total, slices))
+    return _own(_items([i for i, _ in rows], [t for _, t in rows], n))
+
+
+def enough(pairs: list[tuple[np.ndarray, np.ndarray]], needed: np.ndarray) -> np.ndarray:
+    """Whether the words of the item that occur in the window could make the score if all of them matched in order."""
+    return np.array([MATCH * int(np.isin(a, b).sum()) >= least for (a, b), least in zip(pairs, needed)], bool)
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
@@ -191,10 +176,11 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
             at = at[hit]
             rows = np.searchsorted(first, at, "right") - 1
             row, item, lo, hi = windows(h, first, rows, at, seed)
-            order = np.argsort(hi - lo, kind="stable")  # alike sizes together
+            pairs = [(items.texts[i], h[a:b]) for i, a, b in zip(item, lo, hi)]
+            can = np.flatnonzero(enough(pairs, score_needed[item]))
+            order = can[np.argsort((hi - lo)[can], kind="stable")]  # alike sizes together
             for part in np.split(order, np.arange(64, len(order), 64)):
-                pairs = [(items.texts[item[i]], h[lo[i] : hi[i]]) for i in part]
-                for i, (score, begin, end) in zip(part, align(pairs)):
+                for i, (score, begin, end) in zip(part, align([pairs[i] for i in part])):
                     if score >= score_needed[item[i]]:
                         base = int(lo[i] - first[row[i]])
                         hits[low + row[i]].append({"item_id": int(items.ids[item[i]]), "score": score, "share": score / (MATCH * len(items.texts[item[i]])), "first_word": base + begin, "last_word": base + end})
@@ -205,7 +191,7 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
 
 def passages(docs: DataFrame, benchmark: DataFrame) -> Column:
     """The contaminated passages of column ``text`` of ``docs``, as an array column to use on ``docs``."""
-    found = [F.arrow_udf(contamination(seed_items(docs, block)), HIT)("text") for block in _blocks(benchmark)]
+    found = [F.arrow_udf(contamination(seed_items(block)), HIT)("text") for block in _blocks(benchmark)]
     return F.concat(*found) if len(found) > 1 else found[0]
 
 

@@ -372,6 +372,16 @@ def test_decontamination(spark, edge, empty):
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_passage_in_hundreds_of_documents(spark):
+    items = [(1, prose(50, 7100)), (2, prose(50, 7101))]
+    parts = edited(items[0][1], 3, 0.2), " ".join(items[1][1].split()[:22])  # less than half of the 4-grams of each
+    rows = [(i, prose(60, 8100 + i) + " " + parts[i % 2] + " " + prose(60, 8600 + i)) for i in range(400)]
+    rows += [(1000 + i, prose(60, 9100 + i) + " " + " ".join(items[0][1].split()[10:15]) + " " + prose(60, 9400 + i)) for i in range(200)]  # too little
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 1 + i % 2) for i in range(400)]
+
+
 def test_alignment_matches_a_plain_table():
     r = np.random.default_rng(4)
     pairs = [(r.integers(0, 6, r.integers(1, 20)).astype(np.uint64) + 2, r.integers(0, 6, r.integers(1, 30)).astype(np.uint64) + 2) for _ in range(50)]
