@@ -225,20 +225,23 @@ def _cells(percent: int):
                     fits = (size[x] * 100 >= size[y] * percent) & lead[x]  # sorted by size, so y is the larger
                     x, y = possible_pairs(size, sig, over, x[fits], y[fits], percent)
                     left.append(x), right.append(y)
+            trees = [np.zeros((0, 2), np.int64)]
             for at, k in zip(start[count > LEAF].tolist(), count[count > LEAF].tolist()):
                 own = slice(at, at + k)
                 links = Links(k)
                 SignatureTree(size[own], sig[own], percent).link(lambda i, j, at=at: possible(at + i, at + j), links)
                 roots = links.roots()
                 moved = np.flatnonzero(roots != np.arange(k))
-                left.append(at + moved), right.append(at + roots[moved])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
+                trees.append(np.stack((cid[at + moved], cid[at + roots[moved]]), 1))
+            if left or len(trees) > 1:
+                x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
                 pair, at = np.unique(np.stack((cid[x], cid[y]), 1), axis=0, return_index=True)
                 far = np.maximum(size[x[at]], size[y[at]]) > SIGNATURE // 2
                 keep = ~far
                 keep[far] = [possible(i, j) for i, j in zip(x[at[far]].tolist(), y[at[far]].tolist())]
-                ids, at = np.unique(pair[keep], return_inverse=True)
+                # an edge to a tree's root stands for links that were possible, and its own ends needn't be
+                pair = np.concatenate((pair[keep], *trees))
+                ids, at = np.unique(pair, return_inverse=True)
                 links = Links(len(ids))
                 for p, q in at.reshape(-1, 2).tolist():
                     links.join(p, q)

@@ -238,6 +238,17 @@ def test_jaccard(spark, edge, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_long_versions_of_spread_sizes(spark):
+    own = [prose(40, 600 + i) for i in range(40)]
+    rows = [(0, " ".join(own))]
+    for i in range(1, 150):  # each leaves out up to 12 paragraphs: all meet in the same cells, the shortest is far from the whole
+        gone = random.Random(i).sample(range(40), 1 + i % 12)
+        rows.append((i, " ".join(x for k, x in enumerate(own) if k not in gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == classes(rows)
+
+
 def test_large_component_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
     own = prose(200, 77).split()
