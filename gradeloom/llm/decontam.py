@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram seeds bring training passages to test items, Smith-Waterman scores them.
 
-An item's seeds are its word n-grams that few items share, however often the corpus uses them. Seeds of a block of items
-have a bounded size and go to every task; further items are further blocks. Where a document has a seed, the window of
-words around it is aligned with the item, so copies with words replaced, added or left out score as well. Windows with
-too few of the item's words for the score that counts are left out before, which loses nothing.
+An item's seeds are all its word n-grams, however many items share them and however often the corpus uses them; each is
+stored once with its items. Seeds of a block of items have a bounded size and go to every task; further items are further
+blocks. Where a document has a seed, the window of words around it is aligned with every item behind it, so copies with
+words replaced, added or left out score as well. Windows with too few of the item's words for the score that counts are
+left out before, which loses nothing.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 from gradeloom.llm.textscan import chunks, grams, raw, words
 
 SEED_WORDS = 4
-ITEM_SHARE = 3  # a seed occurs in at most so many items of its block, unless the item has no other
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Contaminated: an alignment of so large a share of the best score of the item's words, or of so many words of score.
 SHARE, WORDS = 0.4, 25
 BLOCK_BYTES = 4_000_000
+PLACES = 1 << 18  # of seeds in items, worked on at once; one row's are kept together up to there
 _FILTER = 22
 HIT = "array<struct<item_id:long,score:int,share:double,first_word:long,last_word:long>>"
 
@@ -54,20 +55,6 @@ def _items(ids: list[int], texts: list[str], n: int) -> Items:
     return Items(np.array(ids, np.int64), own, seeds, np.concatenate((at, [len(gram)])), item, place)
 
 
-def _own(items: Items) -> Items:
-    """Keeps seeds that few items share; an item all of whose seeds are shared keeps them."""
-    each = np.repeat(np.arange(len(items.seeds)), np.diff(items.at))
-    sharing = np.array([len(np.unique(items.item[a:b])) for a, b in zip(items.at[:-1], items.at[1:])], np.int64)
-    keep = np.zeros(len(each), bool)
-    order = np.argsort(items.item, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1) if len(order) else []:
-        few = own[sharing[each[own]] <= ITEM_SHARE]
-        keep[few if len(few) else own] = True
-    each = each[keep]
-    used, at = np.unique(each, return_index=True)
-    return Items(items.ids, items.texts, items.seeds[used], np.concatenate((at, [len(each)])), items.item[keep], items.place[keep])
-
-
 def _filter(seeds: np.ndarray) -> np.ndarray:
     may = np.zeros(1 << _FILTER, bool)
     may[seeds >> np.uint64(64 - _FILTER)] = True
@@ -94,7 +81,33 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 def seed_items(block: DataFrame, n: int = SEED_WORDS) -> Items:
     """The items of a block with their seeds."""
     rows = sorted((r["item_id"], r["text"]) for r in block.collect())  # a block is bounded
-    return _own(_items([i for i, _ in rows], [t for _, t in rows], n))
+    return _items([i for i, _ in rows], [t for _, t in rows], n)
+
+
+def slices(rows: np.ndarray, times: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of hits (row, number of places) of at most PLACES places, or of one hit: whole rows where they fit."""
+    out: list[tuple[int, int]] = []
+    used, last = 0, 0
+    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        total = int(times[lo:hi].sum())
+        if used and used + total > PLACES:
+            out.append((last, lo))
+            used, last = 0, lo
+        if total > PLACES:
+            at = lo
+            for i in range(lo, hi):
+                if used and used + times[i] > PLACES:
+                    out.append((at, i))
+                    used, at = 0, i
+                used += int(times[i])
+            out.append((at, hi))
+            used, last = 0, hi
+        else:
+            used += total
+    if last < len(rows):
+        out.append((last, len(rows)))
+    return out
 
 
 def enough(pairs: list[tuple[np.ndarray, np.ndarray]], needed: np.ndarray) -> np.ndarray:
@@ -164,6 +177,17 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
         hi = np.minimum(first[row[head] + 1], start[tail] + size[head] + slack)
         return row[head], item[head], lo, hi
 
+    def passages_of(h, first, row, item, lo, hi, hits, low):
+        """Aligns windows and adds passages to their rows' hits."""
+        pairs = [(items.texts[i], h[a:b]) for i, a, b in zip(item, lo, hi)]
+        can = np.flatnonzero(enough(pairs, score_needed[item]))
+        order = can[np.argsort((hi - lo)[can], kind="stable")]  # alike sizes together
+        for part in np.split(order, np.arange(64, len(order), 64)):
+            for i, (score, begin, end) in zip(part, align([pairs[i] for i in part])):
+                if score >= score_needed[item[i]]:
+                    base = int(lo[i] - first[row[i]])
+                    hits[low + row[i]].append({"item_id": int(items.ids[item[i]]), "score": score, "share": score / (MATCH * len(items.texts[item[i]])), "first_word": base + begin, "last_word": base + end})
+
     def find(texts: pa.Array) -> pa.Array:
         hits: list[list[dict]] = [[] for _ in range(len(texts))]
         data, offsets = raw(texts)
@@ -175,15 +199,8 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
                 continue
             at = at[hit]
             rows = np.searchsorted(first, at, "right") - 1
-            row, item, lo, hi = windows(h, first, rows, at, seed)
-            pairs = [(items.texts[i], h[a:b]) for i, a, b in zip(item, lo, hi)]
-            can = np.flatnonzero(enough(pairs, score_needed[item]))
-            order = can[np.argsort((hi - lo)[can], kind="stable")]  # alike sizes together
-            for part in np.split(order, np.arange(64, len(order), 64)):
-                for i, (score, begin, end) in zip(part, align([pairs[i] for i in part])):
-                    if score >= score_needed[item[i]]:
-                        base = int(lo[i] - first[row[i]])
-                        hits[low + row[i]].append({"item_id": int(items.ids[item[i]]), "score": score, "share": score / (MATCH * len(items.texts[item[i]])), "first_word": base + begin, "last_word": base + end})
+            for x, y in slices(rows, np.diff(items.at)[seed]):
+                passages_of(h, first, *windows(h, first, rows[x:y], at[x:y], seed[x:y]), hits, low)
         return pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int32()), ("share", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])))
 
     return find

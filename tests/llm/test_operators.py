@@ -393,6 +393,21 @@ def test_decontamination_of_a_passage_in_hundreds_of_documents(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 1 + i % 2) for i in range(400)]
 
 
+def test_decontamination_by_a_passage_that_items_share(spark):
+    text = prose(60, 7200)
+    items = [(i, text + " " + prose(20, 7201 + i)) for i in range(5)] + [(9, prose(50, 7299))]
+    rows = [(i, prose(60, 9800 + i) + " " + text + " " + prose(60, 9900 + i)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, i) for d in range(3) for i in range(5)]
+
+
+def test_slices_of_hits(monkeypatch):
+    monkeypatch.setattr(decontam, "PLACES", 10)
+    rows, times = np.array([0, 0, 1, 2, 2, 2, 3, 4]), np.array([3, 4, 4, 8, 8, 30, 1, 9])
+    assert decontam.slices(rows, times) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 8)]
+
+
 def test_alignment_matches_a_plain_table():
     r = np.random.default_rng(4)
     pairs = [(r.integers(0, 6, r.integers(1, 20)).astype(np.uint64) + 2, r.integers(0, 6, r.integers(1, 30)).astype(np.uint64) + 2) for _ in range(50)]
