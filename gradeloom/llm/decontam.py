@@ -170,6 +170,8 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
         row, item, start = row[order], item[order], start[order]
         size = np.array([len(w) for w in items.texts])[item]
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])))
+        step = (start - start[new][np.cumsum(new) - 1]) // size  # item-sized steps of a run, with overlap
+        new[1:] |= step[1:] != step[:-1]
         head = np.flatnonzero(new)
         tail = np.concatenate((head[1:], [len(new)])) - 1
         slack = size[head] // 3 + n
@@ -177,16 +179,36 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
         hi = np.minimum(first[row[head] + 1], start[tail] + size[head] + slack)
         return row[head], item[head], lo, hi
 
-    def passages_of(h, first, row, item, lo, hi, hits, low):
-        """Aligns windows and adds passages to their rows' hits."""
-        pairs = [(items.texts[i], h[a:b]) for i, a, b in zip(item, lo, hi)]
-        can = np.flatnonzero(enough(pairs, score_needed[item]))
-        order = can[np.argsort((hi - lo)[can], kind="stable")]  # alike sizes together
-        for part in np.split(order, np.arange(64, len(order), 64)):
-            for i, (score, begin, end) in zip(part, align([pairs[i] for i in part])):
-                if score >= score_needed[item[i]]:
-                    base = int(lo[i] - first[row[i]])
-                    hits[low + row[i]].append({"item_id": int(items.ids[item[i]]), "score": score, "share": score / (MATCH * len(items.texts[item[i]])), "first_word": base + begin, "last_word": base + end})
+    def seeded(item, window):
+        """Whether a window has an n-gram of the item."""
+        g = [grams(x, np.array([0, len(x)]), n)[0] for x in (items.texts[item], window)]
+        return bool(np.isin(*g).any())
+
+    def passages_of(h, first, row, item, lo, hi, taken, hits, low):
+        """Aligns windows, adds passages to their rows' hits best first, and aligns again what they leave of a window.
+        ``taken``: the passages of each (row, item), which never overlap."""
+        while len(row):
+            pairs = [(items.texts[i], h[a:b]) for i, a, b in zip(item, lo, hi)]
+            can = np.flatnonzero(enough(pairs, score_needed[item]))
+            order = can[np.argsort((hi - lo)[can], kind="stable")]  # alike sizes together
+            found = []
+            for part in np.split(order, np.arange(64, len(order), 64)):
+                for k, (score, begin, end) in zip(part, align([pairs[k] for k in part])):
+                    if score >= score_needed[item[k]]:
+                        found.append((-score, int(row[k]), int(item[k]), int(lo[k]) + begin, int(lo[k]) + end, int(lo[k]), int(hi[k])))
+            for less, r, i, begin, end, _, _ in sorted(found):
+                own = taken.setdefault((r, i), [])
+                if all(end <= x or y <= begin for x, y in own):
+                    own.append((begin, end))
+                    base = int(first[r])
+                    hits[low + r].append({"item_id": int(items.ids[i]), "score": -less, "share": -less / (MATCH * len(items.texts[i])), "first_word": begin - base, "last_word": end - base})
+            rest = set()
+            for _, r, i, _, _, at, stop in found:
+                for x, y in [*sorted(x for x in taken[r, i] if x[0] < stop and x[1] > at), (stop, stop)]:
+                    if MATCH * (x - at) >= score_needed[i] and seeded(i, h[at:x]):
+                        rest.add((r, i, at, x))
+                    at = max(at, y)
+            row, item, lo, hi = np.array(sorted(rest), np.int64).reshape(-1, 4).T
 
     def find(texts: pa.Array) -> pa.Array:
         hits: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -199,8 +221,9 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
                 continue
             at = at[hit]
             rows = np.searchsorted(first, at, "right") - 1
+            taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for x, y in slices(rows, np.diff(items.at)[seed]):
-                passages_of(h, first, *windows(h, first, rows[x:y], at[x:y], seed[x:y]), hits, low)
+                passages_of(h, first, *windows(h, first, rows[x:y], at[x:y], seed[x:y]), taken, hits, low)
         return pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int32()), ("share", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])))
 
     return find

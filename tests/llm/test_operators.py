@@ -402,6 +402,14 @@ def test_decontamination_by_a_passage_that_items_share(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, i) for d in range(3) for i in range(5)]
 
 
+def test_decontamination_of_adjacent_repeats(spark):
+    item = prose(50, 7300)
+    docs = spark.createDataFrame([(r, " ".join([prose(60, 7301), *[item] * r, prose(60, 7302)])) for r in (1, 2, 7, 300)], "doc_id long, text string")
+    got = decontam.decontaminate(docs, spark.createDataFrame([(1, item), (2, prose(50, 7303))], "item_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["first_word"], r["last_word"], r["share"]) for r in got)
+    assert found == [(r, 60 + 50 * k, 110 + 50 * k, 1.0) for r in (1, 2, 7, 300) for k in range(r)]
+
+
 def test_slices_of_hits(monkeypatch):
     monkeypatch.setattr(decontam, "PLACES", 10)
     rows, times = np.array([0, 0, 1, 2, 2, 2, 3, 4]), np.array([3, 4, 4, 8, 8, 30, 1, 9])
