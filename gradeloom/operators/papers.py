@@ -125,23 +125,45 @@ def same_question_pairs(prints: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(near_duplicate_pairs(prints)).distinct()
 
 
-def stage(questions: DataFrame, plan: DataFrame) -> DataFrame:
+def trim(questions: DataFrame, plan: DataFrame) -> DataFrame:
+    """The first q_count rows of each section whose hashes no row that stayed in the test has: test_id, id, place.
+
+    With room for K rows in a test, hashes of at most K rows are taken. So of a section's rows of one pair of hashes only
+    the first can stay, of one hash only the first K + 1 of different pairs, and of a section only its first
+    q_count + 2 K (K + 1): the pass over a test is bounded by its blueprint, however many questions it has."""
+    keyed = questions.select("*", subject_key(F.col("subject")).alias("s"), section_key(F.col("section")).alias("k"))
+    quota = blueprint_targets(plan).select("test_id", F.col("subject").alias("s"), F.col("section").alias("k"), F.col("expected").alias("quota"))
+    room = quota.groupBy("test_id").agg(F.sum("quota").alias("room"))
+    place = F.struct(*(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("page_number", "question_number")), F.col("id"))
+    rows = keyed.join(quota, ["test_id", "s", "k"]).join(room, "test_id").select("test_id", "s", "k", "id", "quota", "room", "content_hash", "guard_hash", place.alias("place"))
+    section = ["test_id", "s", "k"]
+    own = F.when(F.length("content_hash") + F.length("guard_hash") == 0, F.col("id"))
+    rows = rows.groupBy(*section, "content_hash", "guard_hash", own.alias("own")).agg(F.min_by(F.struct("id", "quota", "room", "place"), "place").alias("r")).select(*section, "content_hash", "guard_hash", "own", "r.*")
+    for h in ("content_hash", "guard_hash"):
+        rank = F.row_number().over(Window.partitionBy(*section, h, "own").orderBy("place"))
+        rows = rows.withColumn("rank", rank).where(f"rank <= room + 1 OR {h} = ''")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*section).orderBy("place"))).where("rank <= quota + 2 * room * (room + 1)")
+    return stage(questions.join(rows.select("id"), "id", "left_semi"), plan, near=False)
+
+
+def stage(questions: DataFrame, plan: DataFrame, near: bool = True) -> DataFrame:
     """One ordered pass over each test: a row stays if its section has room and it equals no row that stayed.
 
     ``questions`` are fingerprinted rows with test_id. A test is a bounded group (a paper), folded by ``aggregate``;
-    dropped rows use no room and are not compared with."""
+    dropped rows use no room and are not compared with. Without ``near`` rows are equal by their hashes only."""
     keyed = questions.select("*", subject_key(F.col("subject")).alias("s"), section_key(F.col("section")).alias("k"))
     quota = blueprint_targets(plan).select("test_id", F.col("subject").alias("s"), F.col("section").alias("k"), F.col("expected").alias("quota"))
     rows = keyed.join(quota, ["test_id", "s", "k"])
     entry = F.struct(
         F.coalesce("page_number", F.lit(0)).cast("long").alias("page"), F.coalesce("question_number", F.lit(0)).cast("long").alias("no"), F.col("id").cast("long").alias("id"), F.concat_ws("/", "s", "k").alias("place"), F.col("quota").cast("int").alias("quota"),
-        "content_hash", "guard_hash", "intent", "confidence", F.array_distinct(tokenize(F.col("anchor"))).alias("tokens"),
+        "content_hash", "guard_hash", "intent", "confidence",
+        (F.array_distinct(tokenize(F.col("anchor"))) if near else F.array().cast("array<string>")).alias("tokens"),
     )
     kind = "array<struct<page:bigint,no:bigint,id:bigint,place:string,quota:int,content_hash:string,guard_hash:string,intent:string,confidence:double,tokens:array<string>>>"
 
     def equal(x, y):
         close = (x["intent"] == y["intent"]) & (F.abs(x["confidence"] - y["confidence"]) <= CLOSE + 1e-12) & (word_similarity(x["tokens"], y["tokens"]) >= SIMILAR)
-        return ((F.length(x["content_hash"]) > 0) & (x["content_hash"] == y["content_hash"])) | ((F.length(x["guard_hash"]) > 0) & (x["guard_hash"] == y["guard_hash"])) | close
+        return ((F.length(x["content_hash"]) > 0) & (x["content_hash"] == y["content_hash"])) | ((F.length(x["guard_hash"]) > 0) & (x["guard_hash"] == y["guard_hash"])) | (close if near else F.lit(False))
 
     def step(kept, x):
         full = F.size(F.filter(kept, lambda y: y["place"] == x["place"])) >= x["quota"]

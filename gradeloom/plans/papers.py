@@ -132,26 +132,27 @@ def same_question_pairs(spark, d):
     return op.same_question_pairs(prints(spark, d))
 
 
-def staged(spark, d):
-    """Papers of the bank, one for each 20 ids: a section for each subject, with room for three questions."""
-    rows = prints(spark, d).withColumn("test_id", F.expr("id div 20")).withColumn("section", F.lit("Section A"))
-    own = rows.groupBy("test_id", "subject", F.col("section").alias("section_name")).agg(F.min("id").alias("pos"), F.lit(3).alias("q_count"))
-    return op.stage(rows, own)
+def staged(rows, own):
+    """Trim by hashes and quota, then the ordered pass over what is left."""
+    return op.stage(rows.join(op.trim(rows, own).select("id"), "id", "left_semi"), own)
 
 
 @query()
 def greedy_dedup_quota(spark, d):
-    return staged(spark, d)
+    """The bank's tests: a section for each subject, with the q_count of the blueprint's Section A."""
+    rows = prints(spark, d).withColumn("section", F.lit("Section A"))
+    room = plan(spark, d).where("section_name = 'Section A'").groupBy("test_id").agg(F.max("q_count").alias("q_count"))
+    own = rows.groupBy("test_id", "subject", F.col("section").alias("section_name")).agg(F.min("id").alias("pos"))
+    return staged(rows, own.join(room, "test_id"))
 
 
 @query()
 def stage_questions(spark, d):
-    """Blueprint trim, hashes and quota of the role's questions, then the ordered pass; a paper is cut by page."""
+    """Blueprint trim, hashes and quota of the role's questions, then the ordered pass."""
     q = roles.questions(spark, d)
     matched = joins.matched_sections(q, plan(spark, d)).select("id", F.col("subject").alias("m_subject"), F.col("section_name").alias("m_section"))
-    rows = q.join(matched, "id").selectExpr("id", "test_id * 1000 + id div 200 AS test_id", "question_text || ' ' || brand AS question_text", "m_subject AS subject", "m_section AS section", "CAST(NULL AS map<string,string>) AS options", "question_number", "page_number", "question_type", "false AS has_visual", "false AS has_bbox")
-    own = rows.groupBy("test_id", "subject", F.col("section").alias("section_name")).agg(F.min("id").alias("pos")).withColumn("q_count", F.lit(3))
-    return op.stage(op.fingerprints(rows), own)
+    rows = q.join(matched, "id").selectExpr("id", "test_id", "question_text || ' ' || brand AS question_text", "m_subject AS subject", "m_section AS section", "CAST(NULL AS map<string,string>) AS options", "question_number", "page_number", "question_type", "false AS has_visual", "false AS has_bbox")
+    return staged(op.fingerprints(rows), plan(spark, d))
 
 
 @query(f"WITH {PRINTS} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY test_id, content_hash ORDER BY coalesce(question_number, 0), id) AS r, content_hash FROM fp) WHERE r = 1 OR content_hash = ''")

@@ -1,12 +1,19 @@
 """Hand-made rows for the branches that the tables don't reach."""
 
+import collections
+import random
+
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as t
 from gradeloom.operators import extraction as ex
 from gradeloom.operators import grading, joins, maintenance, papers
 from gradeloom.operators.aggregates import attempt_summary
+from gradeloom.plans import catalog
+from gradeloom.plans import papers as plans
+from gradeloom.sources import roles
 
 
 @pytest.mark.parametrize(
@@ -74,6 +81,39 @@ def test_staging_compares_with_rows_that_stayed_only(spark):
     assert kept == {(1, 1), (1, 3), (1, 4), (2, 6)}
 
 
+def test_trim_by_hashes_and_quota(spark):
+    texts = [("Copy one", 1), ("copy ONE!", 2), *((f"Copy number {i % 3}", 3) for i in range(40)), ("Other text", 4), ("One too many", 5)]
+    rows = prints(spark, [(i, 1, x, page, i) for i, (x, page) in enumerate(texts)])
+    plan = spark.createDataFrame([(1, "Physics", "Section A", 0, 5)], "test_id long, subject string, section_name string, pos int, q_count int")
+    assert {r["id"] for r in papers.trim(rows, plan).collect()} == {0, 2, 3, 4, 42}
+
+
+def test_trim_matches_a_plain_pass(spark):
+    r = random.Random(3)
+    rows = prints(spark, [(i, i % 5, r.choice(["({0}) {1}", "{0}{1}", "{0}. {1}", "{1}", ""]).format(r.randint(1, 6), r.choice(["foo", "bar", "baz"])), 1, i) for i in range(400)])
+    plan = spark.createDataFrame([(i, "Physics", "Section A", 0, 2 + 2 * i) for i in range(5)], "test_id long, subject string, section_name string, pos int, q_count int")
+    kept, taken = collections.defaultdict(list), collections.defaultdict(set)
+    for x in rows.orderBy("id").collect():
+        h = {("c", x["content_hash"]), ("g", x["guard_hash"])} - {("c", ""), ("g", "")}
+        if len(kept[x["test_id"]]) < 2 + 2 * x["test_id"] and not h & taken[x["test_id"]]:
+            kept[x["test_id"]].append(x["id"])
+            taken[x["test_id"]] |= h
+    assert {x["id"] for x in papers.trim(rows, plan).collect()} == {i for own in kept.values() for i in own}
+
+
+@pytest.mark.parametrize("name", ["stage_questions", "greedy_dedup_quota"])
+def test_staging_by_whole_tests_and_their_blueprint(spark, name):
+    got = catalog.queries()[name](spark, DATA).collect()
+    room = {(r["test_id"], r["section_name"]): r["q_count"] for r in roles.blueprint(spark, DATA).collect()}
+    names = {s.lower(): s for _, s in room}
+    count = collections.Counter((r["test_id"], r["place"]) for r in got)
+    assert {t for t, _ in count} <= {t for t, _ in room}
+    assert all(n <= room[t, names[place.split("/")[1]]] for (t, place), n in count.items())
+    hashes = {r["id"]: r["content_hash"] for r in plans.prints(spark, DATA).select("id", "content_hash").collect()} if name == "greedy_dedup_quota" else {}
+    seen = [(r["test_id"], hashes[r["id"]]) for r in got if hashes.get(r["id"])]
+    assert len(seen) == len(set(seen))
+
+
 def test_near_duplicates(spark):
     rows = prints(spark, [(1, 1, WORDS, 1, 1), (2, 1, WORDS, 1, 2), (3, 1, WORDS + " more", 1, 3), (4, 1, "alpha beta", 1, 4)])
     assert {tuple(r) for r in papers.near_duplicate_pairs(rows).collect()} == {(2, 1), (3, 1)}
