@@ -117,8 +117,14 @@ def canonical_subject(c: Column) -> Column:
     return _renamed(F.upper(python_strip(F.coalesce(c, F.lit("")))), SUBJECT_NAMES)
 
 
+def title_case(c: Column) -> Column:
+    """Every run of cased letters with a capital first and small letters after it, whatever stands between the runs."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), "")
+
+
 def subject_key(c: Column) -> Column:
-    return F.initcap(python_strip(filled_or(c, "General")))
+    return title_case(python_strip(filled_or(c, "General")))
 
 
 def section_key(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import clean_page_text, filled_or, python_strip, repaired_json
+from gradeloom.functions.text import clean_page_text, filled_or, python_strip, repaired_json, title_case
 
 # Accepted names of the fields, the canonical one first.
 ALIASES = {
@@ -103,7 +103,7 @@ def explode_blueprint(configs: DataFrame) -> DataFrame:
     c = configs.select("id", F.from_json("config_data", CONFIG).alias("c"))
     s = c.select("id", F.explode("c.subjects").alias("subject", "conf")).select("id", "subject", F.explode("conf.sections").alias("section_name", "s"))
     start = F.greatest(F.lit(1), F.coalesce("s.start_q", F.lit(1)))
-    rows = s.select("id", F.initcap(python_strip(F.col("subject"))).alias("subject"), "section_name", start.alias("start_q"), F.greatest(start, F.coalesce("s.end_q", F.lit(20))).alias("end_q"), F.col("s.type").alias("type"), F.coalesce("s.marks", F.lit(4.0)).alias("pos_mark"), F.coalesce("s.negative_marks", F.lit(-1.0)).alias("neg_mark"))
+    rows = s.select("id", title_case(python_strip(F.col("subject"))).alias("subject"), "section_name", start.alias("start_q"), F.greatest(start, F.coalesce("s.end_q", F.lit(20))).alias("end_q"), F.col("s.type").alias("type"), F.coalesce("s.marks", F.lit(4.0)).alias("pos_mark"), F.coalesce("s.negative_marks", F.lit(-1.0)).alias("neg_mark"))
     return rows.withColumn("q_count", F.col("end_q") - F.col("start_q") + 1)
 
 

@@ -23,7 +23,7 @@ g1 AS (SELECT *, coalesce(CASE WHEN question_type IN ('MCQ', 'SCQ') THEN length(
     WHEN question_type IN ('NUMERIC', 'INTEGER') THEN length(answer_text) > 0 AND length(correct_option) > 0 AND (ua = ka OR coalesce(
       CASE WHEN regexp_full_match(ua, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(ua AS DOUBLE) END = CASE WHEN regexp_full_match(ka, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(ka AS DOUBLE) END, false))
     ELSE false END, false) AS is_correct, selected_option IS NOT NULL OR answer_text IS NOT NULL AS attempted FROM g0),
-graded AS (SELECT *, CASE WHEN is_correct THEN marks WHEN attempted THEN penalty ELSE 0.0 END AS net, CASE WHEN is_correct THEN marks WHEN attempted THEN trunc(penalty) ELSE 0.0 END AS marks_obtained FROM g1)"""
+graded AS (SELECT *, CASE WHEN is_correct THEN marks WHEN attempted THEN penalty ELSE 0.0 END AS net, CASE WHEN is_correct THEN marks WHEN attempted THEN trunc(penalty) + 0.0 ELSE 0.0 END AS marks_obtained FROM g1)"""
 SUM_UP = r"""SELECT attempt_id, count(*) AS total, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct AND (coalesce(length(selected_option), 0) > 0 OR coalesce(length(answer_text), 0) > 0)) AS incorrect FROM graded GROUP BY 1"""
 
 

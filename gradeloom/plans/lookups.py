@@ -11,11 +11,11 @@ from gradeloom.plans.registry import query
 from gradeloom.sources import roles
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-TITLE = "upper({0}[1]) || lower({0}[2:])"
+TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
 
 
 def sql_subject_key(c: str) -> str:
-    """One-word subjects: capitalised."""
+    """Subjects with every run of letters capitalised."""
     x = STRIP.format(f"coalesce(nullif({c}, ''), 'General')")
     return TITLE.format(f"({x})")
 
@@ -125,17 +125,15 @@ def join_answers_questions(spark, d):
 
 LEFT_ANSWERS = f"""WITH {GRADED} SELECT a.id AS attempt_id, q.id AS question_id, q.question_number, coalesce(g.is_correct, false) AS is_correct, coalesce(g.marks_obtained, 0.0) AS marks_obtained, coalesce(g.time_spent_seconds, 0) AS time_spent_seconds,
   g.selected_option, g.answer_text, q.correct_option, CASE WHEN q.question_type IN ('NUMERIC', 'INTEGER') THEN q.correct_option END AS correct_answer_text, q.marks, t.question_paper_url
-  FROM attempts a JOIN tests t ON t.id = a.test_id JOIN questions q ON q.test_id = a.test_id LEFT JOIN graded g ON g.attempt_id = a.id AND g.question_id = q.id WHERE a.status = 'ongoing' AND a.tab_switch_count = 0"""
+  FROM attempts a JOIN tests t ON t.id = a.test_id JOIN questions q ON q.test_id = a.test_id LEFT JOIN graded g ON g.attempt_id = a.id AND g.question_id = q.id"""
 
 
 def attempt_questions(spark, d):
-    some = roles.attempts(spark, d).where("status = 'ongoing' AND tab_switch_count = 0")
-    return op.questions_left_answers(some, roles.questions(spark, d), graded(spark, d), roles.tests(spark, d))
+    return op.questions_left_answers(roles.attempts(spark, d), roles.questions(spark, d), graded(spark, d), roles.tests(spark, d))
 
 
 @query(LEFT_ANSWERS)
 def join_questions_left_answers(spark, d):
-    """Of attempts that are under way without a tab switch: what the detail page shows."""
     return attempt_questions(spark, d)
 
 
@@ -144,9 +142,9 @@ def join_attempt_student(spark, d):
     return op.attempt_student(roles.attempts(spark, d), roles.users(spark, d)).select("id", "student_id", "student_name", "student_email")
 
 
-@query("SELECT t.id, t.title, coalesce(n, 0) AS submission_count, coalesce(m, 0.0) AS average_score FROM tests t LEFT JOIN (SELECT test_id, count(*) AS n, round(avg(coalesce(score, 0)), 4) AS m FROM attempts WHERE test_id <> 4 GROUP BY 1) s ON s.test_id = t.id")
+@query("SELECT t.id, t.title, coalesce(n, 0) AS submission_count, coalesce(m, 0.0) AS average_score FROM tests t LEFT JOIN (SELECT test_id, count(*) AS n, round(avg(coalesce(score, 0)), 4) AS m FROM attempts GROUP BY 1) s ON s.test_id = t.id")
 def join_test_stats(spark, d):
-    stats = agg.test_stats(roles.attempts(spark, d).where("test_id <> 4"))
+    stats = agg.test_stats(roles.attempts(spark, d))
     return op.tests_with_stats(roles.tests(spark, d), stats).select("id", "title", "submission_count", "average_score")
 
 
@@ -197,9 +195,9 @@ def blueprint_membership(spark, d):
     return op.in_blueprint(roles.questions(spark, d), roles.blueprint(spark, d))
 
 
-@query("SELECT a.id AS attempt_id, q.id AS question_id FROM attempts a JOIN questions q ON q.test_id = a.test_id WHERE a.tab_switch_count = 3 AND NOT EXISTS (SELECT 1 FROM answers x WHERE x.attempt_id = a.id AND x.question_id = q.id)")
+@query("SELECT a.id AS attempt_id, q.id AS question_id FROM attempts a JOIN questions q ON q.test_id = a.test_id WHERE NOT EXISTS (SELECT 1 FROM answers x WHERE x.attempt_id = a.id AND x.question_id = q.id)")
 def unattempted_questions(spark, d):
-    return op.unattempted(roles.attempts(spark, d).where("tab_switch_count = 3"), roles.questions(spark, d), roles.answers(spark, d))
+    return op.unattempted(roles.attempts(spark, d), roles.questions(spark, d), roles.answers(spark, d))
 
 
 @query("""SELECT a.id AS attempt_id, a.student_id, a.test_id, coalesce(nullif(u.full_name, ''), u.email) AS student_name, t.title AS test_title, coalesce(w.email, '') AS teacher_email, a.started_at

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as t
@@ -14,15 +12,11 @@ from gradeloom.plans.lookups import STRIP, sql_canonical, sql_section_key, sql_s
 from gradeloom.plans.papers import EXPORT, export
 from gradeloom.plans.registry import query
 from gradeloom.sources import files, roles
+from gradeloom.sources.files import folder
 
 S = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
-def folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/gradeloom/{name}-{uuid.uuid4().hex}"
-
-
 def docs(spark, d):
     return roles.table(spark, d, "documents")
 
@@ -69,9 +63,13 @@ def canonical_subject(spark, d):
     return roles.questions(spark, d).select("id", t.canonical_subject(F.expr(SUBJ)).alias("subject"))
 
 
-@query(f"SELECT id, {sql_subject_key('subject')} AS subject, {sql_section_key('section')} AS section FROM questions")
+ODD = "CASE id % 7 WHEN 0 THEN 'life-science' WHEN 1 THEN ' computer SCIENCE 2b' WHEN 2 THEN 'o''neil (x)y_z' WHEN 3 THEN '' ELSE subject END"
+
+
+@query(f"SELECT id, {sql_subject_key('(' + ODD + ')')} AS subject, {sql_section_key('section')} AS section FROM questions")
 def section_keys(spark, d):
-    return roles.questions(spark, d).select("id", t.subject_key(F.col("subject")).alias("subject"), t.section_key(F.col("section")).alias("section"))
+    odd = F.expr(ODD.replace("o''neil", "o\\'neil"))
+    return roles.questions(spark, d).select("id", t.subject_key(odd).alias("subject"), t.section_key(F.col("section")).alias("section"))
 
 
 PAGE = "text || CASE doc_id % 3 WHEN 0 THEN '  ' || chr(10) || chr(10) || chr(10) || chr(9) || 'end' WHEN 1 THEN chr(7) || 'bell' || chr(160) ELSE '' END"
@@ -149,24 +147,24 @@ def page_batches(spark, d):
 
 
 def responses(spark, d):
-    return roles.raw_responses(spark, d).where("response_text IS NOT NULL")
+    return roles.raw_responses(spark, d)
 
 
 #: What the role's responses hold, by their kind, written out by hand.
-R = "r AS (SELECT event_id AS id, event_id % 40 AS m, event_id % 10 AS test_id, event_id % 12 * 2 + 1 AS first_page, user_id, event_type, value FROM events WHERE event_id % 5 = 0 AND event_id % 40 <> 35)"
+R = "r AS (SELECT event_id AS id, event_id % 8 AS m, event_id // 300 AS test_id, event_id % 12 * 2 + 1 AS first_page, user_id, event_type, value FROM events)"
 
 
-@query(f"WITH {R} SELECT id, m NOT IN (20) AS parses FROM r")
+@query(f"WITH {R} SELECT id, m NOT IN (4, 7) AS parses FROM r")
 def repair_json(spark, d):
     return responses(spark, d).select("id", t.repaired_json(F.col("response_text")).isNotNull().alias("parses"))
 
 
-@query(f"WITH {R} SELECT id, CAST(unnest(CASE m WHEN 10 THEN [0, 1] WHEN 25 THEN [0, 1] WHEN 20 THEN [] ELSE [0] END) AS INT) AS pos FROM r")
+@query(f"WITH {R} SELECT id, CAST(unnest(CASE m WHEN 2 THEN [0, 1] WHEN 5 THEN [0, 1] WHEN 4 THEN [] WHEN 7 THEN [] ELSE [0] END) AS INT) AS pos FROM r")
 def unwrap_payload(spark, d):
     return ex.elements(responses(spark, d)).select("id", "pos")
 
 
-@query(f"WITH {R} SELECT id, 0 AS pos FROM r WHERE m <> 20")
+@query(f"WITH {R} SELECT id, 0 AS pos FROM r WHERE m NOT IN (4, 7)")
 def drop_error_markers(spark, d):
     return ex.drop_markers(ex.elements(responses(spark, d))).select("id", "pos")
 
@@ -175,28 +173,28 @@ def items(spark, d):
     return ex.drop_markers(ex.elements(responses(spark, d)))
 
 
-@query(f"""WITH {R} SELECT id, CAST(CASE m WHEN 0 THEN trunc(value) WHEN 5 THEN 3 WHEN 10 THEN 7 WHEN 15 THEN 1 WHEN 25 THEN 2 WHEN 30 THEN 9 END AS INT) AS question_number, CASE m WHEN 5 THEN 'Sec' || user_id WHEN 30 THEN 'Section A' END AS section_name,
-  CASE m WHEN 0 THEN 'phy' WHEN 5 THEN 'Chem' WHEN 25 THEN '' WHEN 30 THEN 'BIO' END AS subject, CASE m WHEN 0 THEN 'What is ' || user_id || '?' WHEN 5 THEN 'Name ' || event_type WHEN 10 THEN 'a\\dot ' || user_id WHEN 15 THEN 'open' WHEN 25 THEN 'd' || user_id WHEN 30 THEN 'one ' || event_type END AS question_text,
-  CASE m WHEN 0 THEN 'A' WHEN 30 THEN 'B' END AS correct_answer, CASE m WHEN 10 THEN 'nat' END AS question_type FROM r WHERE m <> 20""".replace("a\\\\dot", "a\\dot"))
+@query(f"""WITH {R} SELECT id, CAST(CASE m WHEN 0 THEN trunc(value) WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 9 END AS INT) AS question_number, CASE m WHEN 1 THEN 'Sec' || user_id WHEN 6 THEN 'Section A' END AS section_name,
+  CASE m WHEN 0 THEN 'phy' WHEN 1 THEN 'Chem' WHEN 5 THEN '' WHEN 6 THEN 'BIO' END AS subject, CASE m WHEN 0 THEN 'What is ' || user_id || '?' WHEN 1 THEN 'Name ' || event_type WHEN 2 THEN 'a\\dot ' || user_id WHEN 3 THEN 'open' WHEN 5 THEN 'd' || user_id WHEN 6 THEN 'one ' || event_type END AS question_text,
+  CASE m WHEN 0 THEN 'A' WHEN 6 THEN 'B' END AS correct_answer, CASE m WHEN 2 THEN 'nat' END AS question_type FROM r WHERE m NOT IN (4, 7)""".replace("a\\\\dot", "a\\dot"))
 def coalesce_aliases(spark, d):
     kinds = {"question_number": "int"}
     return items(spark, d).select("id", *(ex.field(F.col("item"), n, kinds.get(n, "string")).alias(n) for n in ex.ALIASES))
 
 
-def small_plan(spark):
-    """Plans of one subject for tests below 5, of one section for even tests."""
-    return spark.range(10).selectExpr("id AS test_id", "explode(CASE WHEN id < 5 THEN array('Physics') ELSE array('Physics', 'Maths') END) AS subject", "id % 2 AS odd").selectExpr("test_id", "subject", "explode(CASE WHEN odd = 0 THEN array('Part 1') ELSE array('Part 1', 'Part 2') END) AS section_name")
+def small_plan(spark, d):
+    """Plans of one subject for some tests, of one section for even tests."""
+    return roles.papers(spark, d).selectExpr("test_id", "explode(CASE WHEN test_id % 10 < 5 THEN array('Physics') ELSE array('Physics', 'Maths') END) AS subject", "test_id % 2 AS odd").selectExpr("test_id", "subject", "explode(CASE WHEN odd = 0 THEN array('Part 1') ELSE array('Part 1', 'Part 2') END) AS section_name")
 
 
-@query(f"""WITH {R} SELECT id, CASE m WHEN 0 THEN 'phy' WHEN 5 THEN 'Chem' WHEN 30 THEN 'BIO' ELSE CASE WHEN test_id < 5 THEN 'Physics' ELSE 'General' END END AS subject,
-  CASE m WHEN 5 THEN 'Sec' || user_id WHEN 30 THEN 'Section A' ELSE CASE WHEN test_id % 2 = 0 THEN 'Part 1' ELSE 'Main' END END AS section_name FROM r WHERE m <> 20""")
+@query(f"""WITH {R} SELECT id, CASE m WHEN 0 THEN 'phy' WHEN 1 THEN 'Chem' WHEN 6 THEN 'BIO' ELSE CASE WHEN test_id % 10 < 5 THEN 'Physics' ELSE 'General' END END AS subject,
+  CASE m WHEN 1 THEN 'Sec' || user_id WHEN 6 THEN 'Section A' ELSE CASE WHEN test_id % 2 = 0 THEN 'Part 1' ELSE 'Main' END END AS section_name FROM r WHERE m NOT IN (4, 7)""")
 def inject_defaults(spark, d):
-    return ex.typed(items(spark, d), small_plan(spark)).select("id", "subject", "section_name")
+    return ex.typed(items(spark, d), small_plan(spark, d)).select("id", "subject", "section_name")
 
 
-@query(f"WITH {R} SELECT id, CAST(CASE m WHEN 5 THEN 12 WHEN 10 THEN 4 ELSE first_page END AS INT) AS page_number FROM r WHERE m <> 20")
+@query(f"WITH {R} SELECT id, CAST(CASE m WHEN 1 THEN 12 WHEN 2 THEN 4 ELSE first_page END AS INT) AS page_number FROM r WHERE m NOT IN (4, 7)")
 def parse_page_number(spark, d):
-    return ex.typed(items(spark, d), small_plan(spark)).select("id", "page_number")
+    return ex.typed(items(spark, d), small_plan(spark, d)).select("id", "page_number")
 
 
 ENVELOPE = "'{\"candidates\":[{\"content\":{\"parts\":[{\"text\":\"' || event_type || '\"},{\"text\":\"\"},{\"other\":1},{\"text\":\"' || user_id || '\"}]}}]}'"
@@ -385,6 +383,6 @@ def sink_results_csv(spark, d):
 def sink_overwrite_children(spark, d):
     """All questions are written by test; then tests 2 and 3 get new ones, and totals are read again."""
     q, path = roles.questions(spark, d).select("id", "test_id", "marks", "question_type"), folder(spark, "questions")
-    q.write.partitionBy("test_id").parquet(path)
+    q.repartition("test_id").write.partitionBy("test_id").parquet(path)
     files.overwrite_children(q.where("test_id IN (2, 3) AND question_type = 'SCQ'").withColumn("marks", F.lit(10.0)), path, "test_id")
     return test_total_marks(spark.read.parquet(path).withColumn("test_id", F.col("test_id").cast("long")))

@@ -1,13 +1,27 @@
-"""Sinks and JDBC source. Every sink takes a folder and writes in parallel."""
+"""Sinks, the JDBC source, and tables written along the way. Every sink takes a folder and writes in parallel."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/gradeloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, however often it is read."""
+    df.write.parquet(path := folder(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _or_na(c: Column) -> Column:
     return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("N/A"))
 
@@ -27,7 +41,8 @@ def users_sheet(users: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("emptyValue", "").option("nullValue", "\\N")
+    """CSV with a header; ``partition_by`` gives each of its values a folder, with one file unless Spark splits a large one."""
+    writer = (df.repartition(partition_by) if partition_by else df).write.mode("overwrite").option("header", True).option("quoteAll", True).option("emptyValue", "").option("nullValue", "\\N")
     (writer.partitionBy(partition_by) if partition_by else writer).csv(path)
 
 
@@ -37,9 +52,10 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def overwrite_children(children: DataFrame, path: str, key: str) -> None:
     """Replaces the children of the parents that ``children`` has, and of no others (dynamic partition overwrite)."""
-    children.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    children.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
-    """A database table by ranges of a number column, read in parallel."""
+    """A database table by ranges of a number column, read in parallel. Rows without a number, and rows outside of the
+    bounds, are read too, with the first and the last range."""
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=partitions, properties=options)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFERENCE_NOW = "2000-06-30 12:00:00"
-N_TESTS = 10
+#: A test is a paper of so many questions, taken by so many attempts; so tests grow with the data and papers don't.
+QUESTIONS, ATTEMPTS, SHEET_ORDERS, TEST_EVENTS = 60, 480, 50, 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +69,7 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id",
-        f"p_partkey % {N_TESTS} AS test_id",
+        f"p_partkey div {QUESTIONS} AS test_id",
         "p_name AS question_text",
         "CASE p_partkey % 9 WHEN 0 THEN 'Physics' WHEN 1 THEN 'Physics' WHEN 2 THEN 'Chemistry' WHEN 3 THEN 'Chemistry' WHEN 4 THEN 'Biology' WHEN 5 THEN 'Maths' WHEN 6 THEN 'Maths' WHEN 7 THEN 'Art' END AS subject",
         "CASE p_type WHEN 'ECONOMY' THEN 'Section A' WHEN 'STANDARD' THEN 'section a ' WHEN 'MEDIUM' THEN 'Section B' WHEN 'PROMO' THEN 'Part Section B' WHEN 'LARGE' THEN 'Extra' END AS section",
@@ -84,22 +85,27 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all tests."""
+    return questions(spark, sf_dir).select("test_id").distinct()
+
+
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per test, from the orders' least date; small however many orders there are."""
-    dates = table(spark, sf_dir, "orders").selectExpr(f"o_orderkey % {N_TESTS} AS id", "o_orderdate").groupBy("id").agg(F.min("o_orderdate").alias("first_date"))
-    marks = questions(spark, sf_dir).groupBy("test_id").agg(F.sum("marks").alias("total"))
-    return dates.join(marks, F.col("id") == F.col("test_id"), "left").selectExpr(
+    """One row per test, dated by its first attempt; some have none."""
+    dates = table(spark, sf_dir, "orders").selectExpr(f"o_orderkey div {ATTEMPTS} AS id", "o_orderdate").groupBy("id").agg(F.min("o_orderdate").alias("first_date"))
+    marks = questions(spark, sf_dir).groupBy(F.col("test_id").alias("id")).agg(F.sum("marks").alias("total"))
+    return marks.join(dates, "id", "left").selectExpr(
         "id",
-        "CASE id WHEN 2 THEN 'Short' ELSE 'Mock examination number ' || id END AS title",
-        "first_date + make_dt_interval(CAST(id AS INT), 1) AS created_at",
-        "id % 3 + 10000000 AS created_by",
+        "CASE WHEN id % 8 = 2 THEN 'Short' ELSE 'Mock examination number ' || id END AS title",
+        "coalesce(first_date, timestamp_ntz'1992-01-01 00:00:00') + make_dt_interval(CAST(id % 1000 AS INT), 1) AS created_at",
+        "id % 97 + 10000000 AS created_by",
         "id % 4 <> 3 AS is_published",
         "CASE WHEN id % 2 = 0 THEN '12th' WHEN id % 5 = 1 THEN NULL ELSE '11th' END AS standard",
         "CASE id % 6 WHEN 0 THEN 'JEE' WHEN 1 THEN 'NEET' WHEN 2 THEN 'JEE Mains' WHEN 3 THEN 'Foundation' WHEN 4 THEN 'Medical' ELSE 'Other' END AS category",
-        "CASE WHEN id % 3 = 0 THEN timestamp_ntz'2000-06-01 00:00:00' + make_dt_interval(CAST(id AS INT) * 10) END AS scheduled_at",
-        "CAST(60 + id * 15 AS INT) AS duration_minutes",
+        "CASE WHEN id % 3 = 0 THEN timestamp_ntz'2000-06-01 00:00:00' + make_dt_interval(CAST(id % 50 AS INT) * 10) END AS scheduled_at",
+        "CAST(60 + id % 10 * 15 AS INT) AS duration_minutes",
         "CAST(CASE id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN NULL WHEN 2 THEN -0.5 WHEN 3 THEN -1.0 ELSE -1.75 END AS DOUBLE) AS negative_marks",
-        "CASE WHEN id = 7 THEN 0.0 ELSE coalesce(total, 0.0) END AS total_marks",
+        "CASE WHEN id % 9 = 3 THEN 0.0 ELSE coalesce(total, 0.0) END AS total_marks",
         "CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_symmetrical",
         "CASE WHEN id % 2 = 0 THEN CAST(id % 5 AS INT) END AS subject_id",
         "'/papers/' || id || '.pdf' AS question_paper_url",
@@ -110,7 +116,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id",
         "CASE WHEN o_orderkey % 101 = 0 THEN o_custkey + 5000000 ELSE o_custkey END AS student_id",
-        f"o_orderkey % {N_TESTS} AS test_id",
+        f"o_orderkey div {ATTEMPTS} AS test_id",
         "CASE WHEN o_orderstatus = 'O' THEN 'ongoing' ELSE 'submitted' END AS status",
         "CASE WHEN o_orderkey % 37 <> 2 THEN CAST(floor(o_totalprice / 5000) AS DOUBLE) END AS score",
         "o_orderdate AS started_at",
@@ -121,12 +127,13 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer per (attempt, question): the greatest line in order of all its columns; a partial aggregate keeps the
-    shuffle to one row per key and task."""
+    shuffle to one row per key and task. One line in ten names a question of any paper, the others one of the attempt's."""
     line = F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(line).alias("x"))
+    question = F.expr(f"CASE WHEN l_partkey % 10 = 9 THEN l_partkey ELSE l_orderkey div {ATTEMPTS} * {QUESTIONS} + l_partkey % {QUESTIONS} END")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", question.alias("question_id")).agg(F.max(line).alias("x"))
     return rows.selectExpr(
         "l_orderkey AS attempt_id",
-        "l_partkey AS question_id",
+        "question_id",
         "CASE x.l_returnflag WHEN 'A' THEN 'a' WHEN 'R' THEN ' R' END AS selected_option",
         "CASE WHEN x.l_linestatus = 'O' THEN CASE x.l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(x.l_quantity AS BIGINT) || 'd' WHEN 2 THEN ' ' || CAST(x.l_quantity AS BIGINT) WHEN 3 THEN CAST(x.l_quantity AS BIGINT) || '.0' ELSE CAST(x.l_quantity AS BIGINT) || '' END END AS answer_text",
         "CAST(x.l_quantity AS INT) AS time_spent_seconds",
@@ -141,7 +148,7 @@ def sheet_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bubble_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey % 400 AS sheet_id", "l_partkey * 1000 + l_suppkey AS x", "l_linenumber * 100 + CAST(l_quantity AS INT) AS y", "18 + CAST(l_quantity AS INT) % 20 AS w",
+        f"l_orderkey div {SHEET_ORDERS} AS sheet_id", "l_partkey * 1000 + l_suppkey AS x", "l_linenumber * 100 + CAST(l_quantity AS INT) AS y", "18 + CAST(l_quantity AS INT) % 20 AS w",
         "18 + CAST(l_extendedprice AS INT) % 20 AS h", "l_extendedprice AS filled", "l_orderkey AS box_id", "l_linenumber AS box_line", "l_quantity AS box_quantity",
     )
 
@@ -157,7 +164,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question bank of prose: subject by language, section by source, options from the text's own length."""
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS id", f"doc_id % {N_TESTS} AS test_id", "CASE WHEN doc_id % 41 = 5 THEN '' ELSE text END AS question_text",
+        "doc_id AS id", f"doc_id div {QUESTIONS} AS test_id", "CASE WHEN doc_id % 41 = 5 THEN '' ELSE text END AS question_text",
         "lang AS subject", "source AS section", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE map('A', '(a) ' || source, 'B', lang || '.', 'C', '', 'D', n_chars || ' m') END AS options",
         "CAST(doc_id % 90 AS INT) AS question_number", "CAST(doc_id % 30 AS INT) AS page_number", "CASE WHEN doc_id % 3 = 0 THEN 'NUMERIC' ELSE 'SCQ' END AS question_type",
         "doc_id % 4 = 0 AS has_visual", "doc_id % 8 = 0 AS has_bbox",
@@ -165,8 +172,8 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sections for each test and subject, in a fixed order; small: 30 rows a subject."""
-    n = spark.range(N_TESTS).selectExpr("id AS test_id", "explode(array('Physics', 'Chemistry', 'Biology', 'Maths')) AS subject", "0 AS one")
+    """Three sections for each test and subject, in a fixed order."""
+    n = papers(spark, sf_dir).selectExpr("test_id", "explode(array('Physics', 'Chemistry', 'Biology', 'Maths')) AS subject", "0 AS one")
     n = n.selectExpr("test_id", "subject", "posexplode(array('Section A', 'Section B', 'Extra')) AS (p, section_name)")
     return n.where("NOT (subject = 'Biology' AND test_id % 3 = 0)").selectExpr(
         "test_id", "subject", "section_name",
@@ -177,8 +184,8 @@ def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two generation configs a test with JSON documents, from the events that carry a number."""
-    rows = table(spark, sf_dir, "events").where("event_id % 50 = 0").selectExpr("event_id AS id", f"event_id div 50 % {N_TESTS} AS test_id", "ts AS created_at", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    """Generation configs with JSON documents, one from each event."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS id", f"event_id div {TEST_EVENTS} AS test_id", "ts AS created_at", "CAST(get_json_object(props, '$.k') AS INT) AS k")
     return rows.selectExpr(
         "id", "test_id", "created_at",
         "'{\"title\":\"Paper ' || id || '\",\"standard\":\"11th\",\"subjects\":{\"Physics\":{\"sections\":{\"Section A\":{\"start_q\":' || (k % 10 - 3) || ',\"end_q\":' || (k % 30) || ',\"marks\":4,\"type\":\"single choice\"},\"Section B\":{\"negative_marks\":-2}}},\" chemistry \":{\"sections\":{\"Section A\":{\"start_q\":5,\"end_q\":3}}}}}' AS config_data",
@@ -187,16 +194,16 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model responses: envelopes around JSON text with fences, aliases, trailing commas, prose and cut ends."""
-    return table(spark, sf_dir, "events").where("event_id % 5 = 0").selectExpr(
-        "event_id AS id", "CAST(event_id % 12 AS INT) * 2 + 1 AS first_page", f"event_id % {N_TESTS} AS test_id",
-        "CASE event_id % 40 WHEN 0 THEN '```json' || chr(10) || '[{\"q_no\": ' || value || ', \"sub\": \"phy\", \"text\": \"What is ' || user_id || '?\", \"answer\": \"A\",},]' || chr(10) || '```'"
-        " WHEN 5 THEN '{\"questions\": [{\"number\": 3, \"section\": \"Sec' || user_id || '\", \"subject\": \"Chem\", \"question_text\": \"Name ' || event_type || '\", \"page_number\": \"p. 12\"}]}'"
-        " WHEN 10 THEN 'Sure: [ {\"question_number\": 7, \"q_text\": \"a\\\\dot ' || user_id || '\", \"type\": \"nat\", \"page_number\": 4}, {\"error\": \"QUESTION_COUNT_MISMATCH\", \"expected\": 3} ] done'"
-        " WHEN 15 THEN '[{\"no\": 1, \"text\": \"open\", \"page_number\": \"none\"}'"
-        " WHEN 20 THEN 'nothing here'"
-        " WHEN 25 THEN '{\"data\": [{\"no\": 2, \"subject\": \"\", \"question_text\": \"d' || user_id || '\"}, 5]}'"
-        " WHEN 30 THEN '{\"q_no\": 9, \"section_name\": \"Section A\", \"subject\": \"BIO\", \"question_text\": \"one ' || event_type || '\", \"correct_option\": \"B\"}'"
+    """Model responses, one from each event: JSON text with fences, aliases, trailing commas, prose and cut ends, or none."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id", "CAST(event_id % 12 AS INT) * 2 + 1 AS first_page", f"event_id div {TEST_EVENTS} AS test_id",
+        "CASE event_id % 8 WHEN 0 THEN '```json' || chr(10) || '[{\"q_no\": ' || value || ', \"sub\": \"phy\", \"text\": \"What is ' || user_id || '?\", \"answer\": \"A\",},]' || chr(10) || '```'"
+        " WHEN 1 THEN '{\"questions\": [{\"number\": 3, \"section\": \"Sec' || user_id || '\", \"subject\": \"Chem\", \"question_text\": \"Name ' || event_type || '\", \"page_number\": \"p. 12\"}]}'"
+        " WHEN 2 THEN 'Sure: [ {\"question_number\": 7, \"q_text\": \"a\\\\dot ' || user_id || '\", \"type\": \"nat\", \"page_number\": 4}, {\"error\": \"QUESTION_COUNT_MISMATCH\", \"expected\": 3} ] done'"
+        " WHEN 3 THEN '[{\"no\": 1, \"text\": \"open\", \"page_number\": \"none\"}'"
+        " WHEN 4 THEN 'nothing here'"
+        " WHEN 5 THEN '{\"data\": [{\"no\": 2, \"subject\": \"\", \"question_text\": \"d' || user_id || '\"}, 5]}'"
+        " WHEN 6 THEN '{\"q_no\": 9, \"section_name\": \"Section A\", \"subject\": \"BIO\", \"question_text\": \"one ' || event_type || '\", \"correct_option\": \"B\"}'"
         " ELSE NULL END AS response_text",
     )
 
