@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.text import anchor_text, confidence_score, content_hash, filled_or, guard_hash, intent_signature, section_key, subject_key, tokenize, word_similarity
 from gradeloom.operators.joins import order_window
+from gradeloom.sources.files import written
 
 CLOSE, SIMILAR = 0.08, 0.9
 
@@ -91,38 +92,49 @@ def fingerprints(bank: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicate_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs of equal intent, close confidence and similar words.
+def signatures(prints: DataFrame) -> DataFrame:
+    """What duplicates are found by: id, hashes, intent, confidence, a hash of the anchor, its distinct tokens."""
+    return prints.select("id", "content_hash", "guard_hash", "intent", "confidence", F.sha2("anchor", 256).alias("anchor_hash"), F.array_distinct(tokenize(F.col("anchor"))).alias("tokens"))
+
+
+def near_duplicate_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs of equal intent, close confidence and similar words, from ``signatures``.
 
     Equal anchors are one class, so copies are not multiplied: classes of an intent meet where they share a leading
-    token, and a class's members follow their least id. Rows: id, other_id, where other_id is the least of its class.
+    token, the rarest of the intent first, and a class's members follow their least id. Rows: id, other_id, where
+    other_id is the least of its class. ``signed`` is read several times: a written table spares the work.
     """
-    rows = prints.select("id", "intent", "confidence", "anchor")
-    classes = rows.groupBy("intent", "confidence", "anchor").agg(F.min("id").alias("id"))
-    classes = classes.withColumn("tokens", F.array_sort(F.array_distinct(tokenize(F.col("anchor"))))).withColumn("n", F.size("tokens")).where("n > 0")
-    # sets this similar share one of the first n - ceil(0.9 n) + 1 tokens, so a common intent isn't compared as a whole
-    shared = classes.groupBy("intent").agg(F.count("*").alias("m")).where("m > 1").select("intent")
-    lead = classes.join(shared, "intent", "left_semi").select("id", "intent", "confidence", "n", F.explode(F.slice("tokens", F.lit(1), F.expr("n - (9 * n + 9) div 10 + 1"))).alias("token"))
+    key = ["intent", "confidence", "anchor_hash"]
+    rows = signed.where(F.size("tokens") > 0)
+    first = rows.groupBy(*key).agg(F.min("id").alias("other_id"))
+    inside = rows.select("id", *key).join(first, key).where("id > other_id").select("id", "other_id")
+    # only an intent of several classes can have a pair; copies have met above
+    shared = first.groupBy("intent").agg(F.count("*").alias("m")).where("m > 1").select("intent")
+    heads = first.join(shared, "intent", "left_semi").select(F.col("other_id").alias("id"))
+    classes = written(rows.join(heads, "id", "left_semi").select("id", "intent", "confidence", "tokens", F.size("tokens").alias("n")), "classes")
+    single = classes.select("id", "intent", "confidence", "n", F.explode("tokens").alias("token"))
+    often = single.groupBy("intent", "token").agg(F.count("*").alias("often"))
+    # sets this similar share one of the first n - ceil(0.9 n) + 1 tokens in any one order; a token of one class meets none
+    ranked = single.join(often, ["intent", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "token")))
+    lead = ranked.where("rank <= n - (9 * n + 9) div 10 + 1 AND often > 1")
     a, b = (lead.select("intent", "token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "confidence", "n"))) for side in "ab")
     fits = (F.col("n_a") * 10 >= F.col("n_b") * 9) & (F.col("n_b") * 10 >= F.col("n_a") * 9) & (F.abs(F.col("confidence_a") - F.col("confidence_b")) <= CLOSE + 1e-12)
     pairs = a.join(b, ["intent", "token"]).where((F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct()
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}")), f"id_{side}")
     between = pairs.where(word_similarity(F.col("tokens_a"), F.col("tokens_b")) >= SIMILAR).select(F.col("id_b").alias("id"), F.col("id_a").alias("other_id"))
-    nonempty = rows.where(F.length("anchor") > 0)
-    first = nonempty.groupBy("intent", "confidence", "anchor").agg(F.min("id").alias("other_id"))
-    inside = nonempty.join(first, ["intent", "confidence", "anchor"]).where("id > other_id").select("id", "other_id")
     return between.union(inside)
 
 
-def same_question_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs by equal content hash, equal guard hash, or nearness: three equi-joins, each to the least id of its class."""
+def same_question_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs by equal content hash, equal guard hash, or nearness, from ``signatures``: three equi-joins, each to the least
+    id of its class."""
     parts = []
     for h in ("content_hash", "guard_hash"):
-        rows = prints.where(F.length(h) > 0).select("id", h)
+        rows = signed.where(F.length(h) > 0).select("id", h)
         first = rows.groupBy(h).agg(F.min("id").alias("other_id"))
         parts.append(rows.join(first, h).where("id > other_id").select("id", "other_id"))
-    return parts[0].union(parts[1]).union(near_duplicate_pairs(prints)).distinct()
+    return parts[0].union(parts[1]).union(near_duplicate_pairs(signed)).distinct()
 
 
 def trim(questions: DataFrame, plan: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from gradeloom.plans.grading import FIVE, GRADED, SUBJECT_SCORES, graded
 from gradeloom.plans.lookups import LEFT_ANSWERS, MATCH, VISIBLE, attempt_questions, sql_section_key, sql_subject_key, visible
 from gradeloom.plans.registry import query
 from gradeloom.sources import roles
+from gradeloom.sources.files import written
 
 
 def plan(spark, d):
@@ -107,6 +108,10 @@ def prints(spark, d):
     return op.fingerprints(roles.bank(spark, d))
 
 
+def signed(spark, d):
+    return written(op.signatures(prints(spark, d)), "signatures")
+
+
 for _name, _column in (("content_hash", "content_hash"), ("guard_hash", "guard_hash"), ("anchor_text", "anchor"), ("intent_signature", "intent"), ("confidence_score", "confidence")):
     query(f"WITH {PRINTS} SELECT id, {_column} FROM fp", _name)(lambda spark, d, c=_column: prints(spark, d).select("id", c))
 
@@ -123,13 +128,35 @@ near AS (SELECT b.id, a.id AS other_id FROM w a JOIN w b ON a.intent = b.intent
 
 @query(f"WITH {NEAR} SELECT * FROM near")
 def near_duplicate_pairs(spark, d):
-    return op.near_duplicate_pairs(prints(spark, d))
+    return op.near_duplicate_pairs(signed(spark, d))
 
 
 @query(f"""WITH {NEAR} SELECT * FROM near UNION SELECT id, f FROM (SELECT id, min(id) OVER (PARTITION BY content_hash) AS f FROM fp WHERE content_hash <> '') WHERE id > f
   UNION SELECT id, f FROM (SELECT id, min(id) OVER (PARTITION BY guard_hash) AS f FROM fp WHERE guard_hash <> '') WHERE id > f""")
 def same_question_pairs(spark, d):
-    return op.same_question_pairs(prints(spark, d))
+    return op.same_question_pairs(signed(spark, d))
+
+
+def ordered_pass(rows, near, name):
+    """SQL of one ordered pass over each test's ``rows``, as a recursive table of what is kept after each row."""
+    same = "(y.c <> '' AND y.c = o.content_hash) OR (y.g <> '' AND y.g = o.guard_hash)"
+    if near:
+        same += " OR (y.intent = o.intent AND abs(y.confidence - o.confidence) <= 0.08 + 1e-12 AND len(y.tk) > 0 AND len(o.tk) > 0 AND len(list_intersect(y.tk, o.tk)) >= 0.9 * len(list_distinct(y.tk || o.tk)))"
+    tk = "string_split(anchor, ' ')" if near else "['']"
+    return f"""{name}_o AS (SELECT *, list_filter(list_distinct({tk}), lambda v: v <> '') AS tk, row_number() OVER (PARTITION BY test_id ORDER BY coalesce(page_number, 0), coalesce(question_number, 0), id) AS n FROM {rows}),
+{name}_p AS (SELECT DISTINCT test_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, place VARCHAR, c VARCHAR, g VARCHAR, intent VARCHAR, confidence DOUBLE, tk VARCHAR[])[]) AS kept FROM {name}_o
+  UNION ALL SELECT p.test_id, o.n, CASE WHEN len(list_filter(p.kept, lambda y: y.place = o.place)) >= o.quota OR len(list_filter(p.kept, lambda y: {same})) > 0 THEN p.kept
+    ELSE list_append(p.kept, {{'id': o.id, 'place': o.place, 'c': o.content_hash, 'g': o.guard_hash, 'intent': o.intent, 'confidence': o.confidence, 'tk': o.tk}}) END
+  FROM {name}_p p JOIN {name}_o o ON o.test_id = p.test_id AND o.n = p.n + 1),
+{name} AS (SELECT test_id, x.id AS id, x.place AS place FROM (SELECT test_id, unnest(kept) AS x FROM (SELECT DISTINCT ON (test_id) * FROM {name}_p ORDER BY test_id, n DESC)))"""
+
+
+#: The blueprint's quota of each row's section, by the keys of both; the last of equal sections counts.
+QUOTA = f"qt AS (SELECT test_id, {sql_subject_key('subject')} || '/' || {sql_section_key('section_name')} AS place, arg_max(q_count, pos) AS quota FROM blueprint GROUP BY 1, 2)"
+STAGED = f"{ordered_pass('placed', False, 'trimmed')}, left_over AS (SELECT * FROM placed WHERE id IN (SELECT id FROM trimmed)), {ordered_pass('left_over', True, 'staged')}"
+#: The prints of a bank by another name: of questions that a section takes.
+MATCHED = PRINTS.replace("fp0 AS", "mp0 AS").replace("fp AS", "mp AS").replace("FROM fp0", "FROM mp0").replace("FROM bank", "FROM mb")
+PAPER = """mb AS (SELECT q.id, q.test_id, q.question_text || ' ' || q.brand AS question_text, m.subject, m.section_name AS section, CAST(NULL AS VARCHAR[]) AS options, q.question_number, q.page_number, q.question_type, false AS has_visual, false AS has_bbox FROM questions q JOIN matched m ON m.id = q.id)"""
 
 
 def staged(rows, own):
@@ -137,7 +164,7 @@ def staged(rows, own):
     return op.stage(rows.join(op.trim(rows, own).select("id"), "id", "left_semi"), own)
 
 
-@query()
+@query(f"WITH RECURSIVE {PRINTS}, placed AS (SELECT fp.*, {sql_subject_key('subject')} || '/section a' AS place, r.quota FROM fp JOIN (SELECT test_id, max(q_count) AS quota FROM blueprint WHERE section_name = 'Section A' GROUP BY 1) r USING (test_id)), {STAGED} SELECT * FROM staged")
 def greedy_dedup_quota(spark, d):
     """The bank's tests: a section for each subject, with the q_count of the blueprint's Section A."""
     rows = prints(spark, d).withColumn("section", F.lit("Section A"))
@@ -146,7 +173,7 @@ def greedy_dedup_quota(spark, d):
     return staged(rows, own.join(room, "test_id"))
 
 
-@query()
+@query(f"WITH RECURSIVE {MATCH}, {PAPER}, {MATCHED}, {QUOTA}, placed AS (SELECT k.*, qt.quota FROM (SELECT *, {sql_subject_key('subject')} || '/' || {sql_section_key('section')} AS place FROM mp) k JOIN qt USING (test_id, place)), {STAGED} SELECT * FROM staged")
 def stage_questions(spark, d):
     """Blueprint trim, hashes and quota of the role's questions, then the ordered pass."""
     q = roles.questions(spark, d)

@@ -116,7 +116,7 @@ def test_staging_by_whole_tests_and_their_blueprint(spark, name):
 
 def test_near_duplicates(spark):
     rows = prints(spark, [(1, 1, WORDS, 1, 1), (2, 1, WORDS, 1, 2), (3, 1, WORDS + " more", 1, 3), (4, 1, "alpha beta", 1, 4)])
-    assert {tuple(r) for r in papers.near_duplicate_pairs(rows).collect()} == {(2, 1), (3, 1)}
+    assert {tuple(r) for r in papers.near_duplicate_pairs(papers.signatures(rows)).collect()} == {(2, 1), (3, 1)}
 
 
 @pytest.mark.parametrize(
