@@ -8,8 +8,8 @@ from gradeloom.operators import grading
 from gradeloom.operators import maintenance as op
 from gradeloom.plans.grading import GRADED, now
 from gradeloom.plans.registry import query
-from gradeloom.plans.scalars import folder
 from gradeloom.sources import roles
+from gradeloom.sources.files import folder
 from gradeloom.streaming import activity
 
 
@@ -94,7 +94,7 @@ def stream_heartbeat_latest(spark, d):
 
 @query("""WITH m AS (SELECT user_id, unnest(range(5)) AS i, date_trunc('minute', ts) AS t FROM events) SELECT t + to_minutes(i + 1) AS until, count(DISTINCT user_id) AS active FROM m GROUP BY 1""")
 def stream_active_now(spark, d):
-    return activity.run_to_table(activity.active_now(activity.event_stream(spark, d)), folder(spark, "active"), "complete")
+    return activity.active_now(activity.run_to_table(activity.active_users(activity.event_stream(spark, d)), folder(spark, "active")))
 
 
 @query("SELECT user_id AS attempt_id, count(*) AS switches FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -122,11 +122,15 @@ def auto_submit_batch(spark, d):
     return activity.auto_submit(roles.attempts(spark, d), roles.tests(spark, d))
 
 
-@query()
+@query("""WITH o AS (SELECT a.id AS attempt_id, a.started_at, a.started_at + to_minutes(t.duration_minutes) AS ends FROM attempts a JOIN tests t ON t.id = a.test_id WHERE a.status = 'ongoing')
+  SELECT attempt_id, epoch_ms(ends) AS closed_ms FROM o WHERE ends < (SELECT max(started_at) FROM o) - INTERVAL 10 MINUTES""")
 def stream_auto_submit(spark, d):
-    """Every user's first event starts an attempt of an hour; attempts whose time is over when the stream ends are closed."""
-    starts = activity.event_stream(spark, d).select(F.col("user_id").alias("attempt_id"), "ts", F.lit(60).alias("duration_minutes"))
-    return activity.run_to_table(activity.auto_submit_stream(starts), folder(spark, "submit"))
+    """Attempts that are under way arrive as files; those whose time is over when the stream ends are closed."""
+    going = roles.attempts(spark, d).where("status = 'ongoing'").select(F.col("id").alias("attempt_id"), "test_id", F.col("started_at").cast("timestamp").alias("ts"))
+    going.write.parquet(inbox := folder(spark, "going"))
+    length = roles.tests(spark, d).select(F.col("id").alias("test_id"), "duration_minutes")
+    starts = spark.readStream.schema(going.schema).parquet(inbox).withWatermark("ts", "10 minutes").join(length, "test_id")
+    return activity.run_to_table(activity.auto_submit_stream(starts.select("attempt_id", "ts", "duration_minutes")), folder(spark, "submit"))
 
 
 @query("""WITH p AS (SELECT DISTINCT ON (user_id) user_id AS id, event_id AS payment_id, CASE WHEN k % 3 = 0 THEN 11 WHEN k % 3 = 1 THEN 12 END AS g FROM ev WHERE event_type = 'purchase' ORDER BY user_id, ts, event_id),
@@ -152,11 +156,18 @@ def stream_job_status(spark, d):
 
 
 @query(f"WITH {JOBS} SELECT job_id, updated_at FROM j WHERE updated_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR")
-def stream_job_expiry(spark, d):
+def job_expiry_batch(spark, d):
     jobs = activity.job_status(roles.events(spark, d).selectExpr(*UPDATES))
     return activity.expire_jobs(jobs, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("job_id", "updated_at")
 
 
+@query("""SELECT job_id, updated_at FROM (SELECT k AS job_id, ts AS updated_at, lead(ts) OVER (PARTITION BY k ORDER BY ts) AS after FROM ev)
+  WHERE (after IS NULL OR after > updated_at + INTERVAL 1 HOUR) AND updated_at + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM ev)""")
+def stream_job_expiry(spark, d):
+    updates = activity.event_stream(spark, d).select(F.col("k").alias("job_id"), "ts")
+    return activity.run_to_table(activity.expired_jobs(updates), folder(spark, "expired"))
+
+
 @query(f"WITH {GRADED} SELECT attempt_id, question_id, is_correct, marks_obtained FROM graded")
 def stream_grade(spark, d):
     """Answers arrive as files and are graded against static keys."""
@@ -168,8 +179,8 @@ def stream_grade(spark, d):
     return activity.run_to_table(graded, folder(spark, "graded"))
 
 
-@query("SELECT DISTINCT o_custkey AS student_id, o_orderkey % 10 AS test_id FROM orders")
+@query("SELECT DISTINCT o_custkey AS student_id, o_orderkey // 480 AS test_id FROM orders")
 def stream_first_attempt_alert(spark, d):
-    raw = spark.readStream.schema("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").option("pathGlobFilter", "orders.parquet").parquet(d)
-    rows = raw.selectExpr("o_custkey AS student_id", "o_orderkey % 10 AS test_id", "CAST(o_orderdate AS timestamp) AS ts").withWatermark("ts", "3650 days")
-    return activity.run_to_table(activity.first_alerts(rows), folder(spark, "alerts"))
+    raw = spark.readStream.schema("o_orderkey long, o_custkey long").option("pathGlobFilter", "orders.parquet").parquet(d)
+    rows = raw.selectExpr("o_custkey AS student_id", f"o_orderkey div {roles.ATTEMPTS} AS test_id")
+    return activity.alert_once(rows, folder(spark, "alerts"))

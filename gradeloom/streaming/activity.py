@@ -29,10 +29,16 @@ def latest_heartbeat(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("ts").alias("last_active_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("current_path"))
 
 
-def active_now(events: DataFrame) -> DataFrame:
+def active_users(events: DataFrame) -> DataFrame:
+    """(until, user_id), once for each user and minute with the user active in the five minutes before it. On a stream
+    the state is one entry for each of them, and goes once the watermark has passed the minute."""
+    seen = events.select(F.window("ts", "5 minutes", "1 minute").alias("w"), "user_id").dropDuplicates(["w", "user_id"])
+    return seen.select(F.col("w.end").cast("timestamp_ntz").alias("until"), "user_id")
+
+
+def active_now(seen: DataFrame) -> DataFrame:
     """Users active in the last five minutes, for every minute that has any."""
-    seen = events.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.array_size(F.collect_set("user_id")).cast("long").alias("active"))
-    return seen.select(F.col("w.end").cast("timestamp_ntz").alias("until"), "active")
+    return seen.groupBy("until").agg(F.count("*").alias("active"))
 
 
 def tab_switches(events: DataFrame) -> DataFrame:
@@ -67,7 +73,8 @@ def auto_submit(attempts: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def auto_submit_stream(starts: DataFrame) -> DataFrame:
-    """Stream of (attempt_id, ts, duration_minutes) with a watermark: one row for each attempt once its time is over.
+    """Stream of (attempt_id, ts, duration_minutes) with a watermark: one row for each attempt once its time is over; of
+    several starts of one attempt the first to end counts.
 
     State is one end time for each open attempt and goes when the timer fires."""
 
@@ -77,7 +84,7 @@ def auto_submit_stream(starts: DataFrame) -> DataFrame:
             state.remove()
             yield pd.DataFrame({"attempt_id": [key[0]], "closed_ms": [ends]})
             return
-        ends = min(int(t.timestamp() * 1000) + int(m) * 60000 for f in frames for t, m in zip(f["ts"], f["duration_minutes"]))
+        ends = min(int((f["ts"].astype("int64") // 1_000_000 + f["duration_minutes"] * 60_000).min()) for f in frames)
         ends = min(ends, state.get[0]) if state.exists else ends
         state.update((ends,))
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
@@ -100,6 +107,13 @@ def job_status(updates: DataFrame) -> DataFrame:
     return updates.groupBy("job_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("progress", "message", "status")), F.max("ts").alias("updated_at"))
 
 
+def expired_jobs(updates: DataFrame, hours: int = 1) -> DataFrame:
+    """Stream of (job_id, ts) with a watermark: a job goes, with its last time, once nothing came for so many hours. State
+    is one session for each live job; an update after that starts the job anew."""
+    live = updates.groupBy(F.session_window("ts", f"{hours} hours").alias("w"), "job_id").agg(F.max("ts").alias("updated_at"))
+    return live.select("job_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 def expire_jobs(jobs: DataFrame, now: Column, hours: int = 1) -> DataFrame:
     return jobs.where(F.col("updated_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 
@@ -118,9 +132,21 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 
 
 def first_alerts(attempts: DataFrame) -> DataFrame:
-    """One alert for each (student, test); on a stream with a watermark the state stays bounded."""
-    keys = ["student_id", "test_id"]
-    return (attempts.dropDuplicatesWithinWatermark(keys) if attempts.isStreaming else attempts.dropDuplicates(keys)).select(*keys)
+    return attempts.select("student_id", "test_id").distinct()
+
+
+def alert_once(attempts: DataFrame, path: str) -> DataFrame:
+    """One alert for each (student, test) of a stream, however late it comes again: each batch leaves out what earlier
+    batches have written. A batch that is tried again replaces its own folder, so nothing is lost or doubled."""
+    spark = attempts.sparkSession
+    kind = "student_id long, test_id long, batch long"
+
+    def add(rows: DataFrame, batch: int) -> None:
+        told = spark.read.schema(kind).parquet(f"{path}/alerts").where(F.col("batch") < batch) if batch else spark.createDataFrame([], kind)
+        first_alerts(rows).join(told, ["student_id", "test_id"], "left_anti").write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
+
+    attempts.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.schema(kind).parquet(f"{path}/alerts").drop("batch")
 
 
 def grade_as_they_arrive(answers: DataFrame, grade: Callable[[DataFrame], DataFrame]) -> DataFrame:
