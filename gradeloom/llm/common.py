@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,12 +12,8 @@ BITS_PER_BUCKET = 32768  # what bitmap_construct_agg packs into one binary
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = tempfile.mkdtemp(prefix="gradeloom-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
@@ -30,16 +25,26 @@ def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None, **o
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
-    """A one-hash filter of ``key`` as at most ``bits / 32768`` rows (bucket, bitmap) of 4 KB: its size has a fixed
-    bound whatever the input, and a full filter only lets more rows through."""
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
-    return keys.select(at.alias("at")).groupBy((F.col("at") / BITS_PER_BUCKET).cast("long").alias("bf_bucket")).agg(
-        F.bitmap_construct_agg(F.col("at") % BITS_PER_BUCKET).alias("bf_bits")
-    )
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
+
+
+def filter_bits(keys: int) -> int:
+    """Bits for so many keys: 16 to 32 each, as far as 2^28. A filter is broadcast, in 8,192 rows of 4 KB at most; beyond
+    some 100 million keys it fills up, which lets more rows through and never fewer."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys - 1).bit_length()))
+
+
+def bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A one-hash filter of ``key`` as at most ``bits / 32768`` rows (bucket, bitmap) of 4 KB."""
+    return positions_filter(keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("at")))
+
+
+def positions_filter(taken: DataFrame) -> DataFrame:
+    """The filter whose bits ``at`` are set."""
+    return taken.groupBy((F.col("at") / BITS_PER_BUCKET).cast("long").alias("bf_bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITS_PER_BUCKET).alias("bf_bits"))
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits: int = 1 << 22) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits: int) -> DataFrame:
     """Adds the boolean ``flag``: false if ``key`` is surely not in the filter. The filter's bounded rows are broadcast."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
     joined = df.withColumn("bf_at", at).join(

@@ -1,10 +1,10 @@
 """Exact dedup over a log-structured merge index of digests, with DataFrame functions only.
 
-Documents are dealt to memtables. Each memtable flushes one run: its digests in order, each with its best row so far and
-a count, written as a Parquet file with min/max statistics and a Bloom filter on the digest. Compaction merges the runs,
-keeps for each digest the best identifier (longest original text, then smallest doc_id) and writes the next level.
-Digests with more than one row are hits. A bit filter of fixed size lets hits through, and hits are verified byte by
-byte: they are grouped by the normalised text itself, so a digest that two texts share does no harm.
+Every text is normalised and digested once; what follows moves digests. Rows are dealt to memtables, and each memtable
+flushes one run: its digests in order, each with its best row so far and a count. A filter over the runs knows which
+digests can be in two of them; all others skip compaction, which merges the runs and keeps for each digest the best
+identifier (longest original text, then smallest doc_id). Digests of more than one row are hits. The texts of hits are
+read again and compared byte by byte: where two texts share a digest, their rows are grouped by the text itself.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import bit_filter, maybe_in, scratch, text_or_empty
+from gradeloom.llm.common import bit_filter, filter_bits, maybe_in, positions_filter, scratch, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLES, MEMTABLE_ROWS = 16, 1_000_000  # at least so many memtables, of about so many rows at most
@@ -22,23 +22,35 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
 
-def best_first(chars: str, doc_id: str) -> Column:
-    """Least for the row that stays: most code points, then smallest doc_id, a null doc_id last."""
-    return F.struct((-F.col(chars)).alias("less"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def best_first() -> Column:
+    """Least for the row that stays: most code points, then smallest doc_id, a null doc_id last, then the row's number."""
+    return F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
 
 
 def _keyed(docs: DataFrame, digest) -> DataFrame:
+    """row, doc_id, chars, text_sha256 and digest of every row."""
     text = text_or_empty()
-    return docs.select(F.col("doc_id"), F.length(text).cast("long").alias("chars"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length(text).cast("long").alias("chars"), normalised(text).alias("norm"))
+    return rows.select("row", "doc_id", "chars", sha256(F.col("norm")).alias("text_sha256"), digest(F.col("norm")).alias("digest"))
 
 
-def flush(docs: DataFrame, digest, memtables: int = MEMTABLES, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Sorted runs, one file for each memtable: run, digest, best, rows. A run's Bloom filter is as large as its digests ask for."""
-    n = max(memtables, -(-docs.count() // memtable_rows))  # Parquet's own row counts
-    rows = _keyed(docs, digest).select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n)).cast("int").alias("run"), "digest", best_first("chars", "doc_id").alias("best"))
+def flush(keyed: DataFrame, memtables: int = MEMTABLES, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """Sorted runs: run, digest, best, rows."""
+    n = max(memtables, -(-keyed.count() // memtable_rows))  # Parquet's own row counts
+    rows = keyed.select(F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("run"), "digest", best_first().alias("best"))
     run = rows.repartition(n, "run").groupBy("run", "digest").agg(F.min("best").alias("best"), F.count("*").alias("rows"))
-    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}
-    return scratch(run.sortWithinPartitions("run", "digest"), "run", ["run"], **options)
+    return scratch(run.sortWithinPartitions("run", "digest"), "run", ["run"])
+
+
+def shared_by_runs(runs: DataFrame) -> DataFrame:
+    """The runs' entries that another run may have too: a bit table tells which of its places two entries take."""
+    bits = filter_bits(runs.count())
+    taken = runs.select(F.pmod(F.xxhash64("digest"), F.lit(bits)).alias("at")).groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    return maybe_in(runs, "digest", scratch(positions_filter(taken), "filter"), "met", bits).where("met OR rows > 1").drop("met")
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -47,25 +59,43 @@ def compact(runs: DataFrame) -> DataFrame:
     return scratch(level.sortWithinPartitions("digest"), "level")
 
 
-def sha256(text: Column) -> Column:
-    return F.sha2(text, 256)
+def _texts_of(hits: DataFrame, keyed: DataFrame, docs: DataFrame, digest) -> DataFrame:
+    """row, doc_id, chars, norm, text_sha256, digest of at least the rows whose digest is a hit: read again by doc_id."""
+    bits = filter_bits(hits.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    ids = keyed.join(hits.select("digest"), "digest", "left_semi").select("doc_id")
+    again = maybe_in(docs, "doc_id", scratch(bit_filter(ids, "doc_id", bits), "filter"), "hit", bits).where("hit")
+    text = text_or_empty()
+    rows = again.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length(text).cast("long").alias("chars"), normalised(text).alias("norm"))
+    return rows.select("*", sha256(F.col("norm")).alias("text_sha256"), digest(F.col("norm")).alias("digest"))
+
+
+def _decided(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """What becomes of ``rows`` by the groups (key, best, rows) of more than one row."""
+    g = groups.select(F.col(key).alias("g_key"), F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"), F.col("rows").alias("size"))
+    joined = rows.join(g, rows[key] == g["g_key"], "left")
+    alone = F.col("size").isNull()
+    return joined.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256",
+    )
 
 
 def exact_dedup(docs: DataFrame, digest=sha256, memtables: int = MEMTABLES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters of [\\x20\\x09-\\x0D]; null counts as empty, and empty texts
-    are one group. Of equal texts the row with the most code points stays, then the smallest doc_id, null ids last. A
-    doc_id names a row: rows that repeat one share its decision. ``digest`` maps a normalised text to its key; a weak
-    one costs time but never merges different texts. Other columns are not read; an empty table gives no rows.
+    are one group. Of equal texts one row stays: that with the most code points, then the smallest doc_id, null ids
+    last; of rows that are equal in all of that, any one. ``digest`` maps a normalised text to its key; a weak one costs
+    time but never merges different texts. Other columns are not read; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    hits = compact(flush(docs, digest, memtables)).where("rows > 1")
-    keyed = maybe_in(_keyed(docs, digest), "digest", bit_filter(hits, "digest"), "hit")
-    group = keyed.where("hit").groupBy("digest", "norm").agg(F.min(best_first("chars", "doc_id")).alias("best"), F.count("*").alias("group_size"))
-    # written, so that the join deals both sides anew and Spark can split a group of many copies
-    group = scratch(group.where("group_size > 1").select(F.col("digest").alias("g_digest"), F.col("norm").alias("g_norm"), F.col("best.id").alias("keep"), "group_size"), "groups")
-    rows = keyed.select("doc_id", "digest", F.when(F.col("hit"), F.col("norm")).alias("verify"), F.sha2("norm", 256).alias("text_sha256"))
-    joined = rows.join(group, (rows.digest == F.col("g_digest")) & (rows.verify == F.col("g_norm")), "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    keyed = scratch(_keyed(docs, digest), "keyed")
+    hits = scratch(compact(shared_by_runs(flush(keyed, memtables))).where("rows > 1"), "hits")
+    texts = _texts_of(hits, keyed, docs, digest)
+    # byte verification: the digests that two texts share; copies combine before they are shuffled
+    shared = scratch(texts.select("digest", "norm").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "shared")
+    if shared.isEmpty():
+        return _decided(keyed, hits, "digest")
+    own = scratch(texts.join(shared, "digest", "left_semi"), "texts")
+    groups = scratch(own.groupBy("norm").agg(F.min(best_first()).alias("best"), F.count("*").alias("rows")).where("rows > 1"), "groups")
+    return _decided(keyed.join(shared, "digest", "left_anti"), hits, "digest").union(_decided(own, groups, "norm"))

@@ -90,6 +90,8 @@ def row_key():
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as drawn: each row as often as its source's passes show it, with all its columns."""
-    draws = draw_mix(docs, **options).select(F.col("key").alias("drawn_key"), "pass")
-    return docs.join(draws.hint("shuffle_hash"), row_key() == F.col("drawn_key")).select(*(docs[c] for c in docs.columns))
+    """``docs`` as drawn: each row as often as its source's passes show it, with all its columns, whatever their names."""
+    rows = docs.select(row_key().alias("key"), "doc_id", "source", F.struct("*").alias("row")).alias("r")
+    draws = draw_mix(docs, **options).select("key", "doc_id", "source").alias("d")
+    same = (F.col("r.key") == F.col("d.key")) & F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("r.source").eqNullSafe(F.col("d.source"))
+    return rows.join(draws.hint("shuffle_hash"), same).select("r.row").select("row.*")

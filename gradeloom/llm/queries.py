@@ -117,11 +117,12 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r G
 """
 
 _CHAT = r"""
-WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, turn, coalesce(text, '') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-x AS (SELECT p.conv_id, perspective, row_number() OVER (PARTITION BY p.conv_id, perspective ORDER BY turn NULLS LAST, role, text) AS i, role = perspective AS own,
-        CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || replace(role, '<|', '<\|') || '|>' END || chr(10) AS tag,
-        replace(text, '<|', '<\|') || '<|end|>' || chr(10) AS body FROM p JOIN t ON p.conv_id = t.conv_id),
+WITH t AS (SELECT conv_id, role, turn, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS DISTINCT FROM 'system'),
+x AS (SELECT p.conv_id, perspective, row_number() OVER (PARTITION BY p.conv_id, perspective ORDER BY turn NULLS LAST, role NULLS FIRST, text) AS i, role IS NOT DISTINCT FROM perspective AS own,
+        CASE WHEN role = 'system' THEN '<|system|>' WHEN role IS NOT DISTINCT FROM perspective THEN '<|assistant|>' WHEN role IS NULL THEN '<|user|>'
+          ELSE '<|user name=' || replace(replace(replace(replace(replace(role, '\', '\\'), '|', '\p'), '<', '\l'), chr(10), '\n'), chr(13), '\r') || '|>' END || chr(10) AS tag,
+        replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body FROM p JOIN t ON p.conv_id = t.conv_id),
 y AS (SELECT *, coalesce(sum(length(tag) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(tag) AS s FROM x)
 SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (own) AS n_spoken, string_agg(tag || body, '' ORDER BY i) AS text,
   coalesce(string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(body) AS BIGINT), ',' ORDER BY i) FILTER (own), '') AS mask,

@@ -3,7 +3,8 @@
 A Boolean trigram query is derived from each rule's regular expression: an OR of alternatives, each an AND of the
 trigrams that every match of it must hold. The index has the postings of the trigrams that the queries ask for, over
 texts with letters in lower case. Postings are intersected per alternative, and the rows that a rule is left with are
-verified by its expression. A rule with an alternative that has no trigram scans every row.
+verified by its expression. A rule with an alternative that has no trigram scans every row. Candidates are looked up by
+a bit filter, so that texts stay where they are read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import text_or_empty
+from gradeloom.llm.common import bit_filter, filter_bits, maybe_in, scratch, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -28,11 +29,12 @@ class Rule:
     least: int = 1
 
 
-# The three base kinds, in the order in which spans that start together are listed.
+# The three base kinds, in the order in which spans that start together are listed. Runs of the second and
+# third kind are as long as they can be, so asking for their least length within the expression gives the same spans.
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 # Further kinds.
 MORE = (
@@ -80,7 +82,7 @@ def trigram_query(pattern: str) -> list[list[str]]:
 
 
 def row_key() -> Column:
-    """Of equal rows the same, and never null; rows that happen to share one share candidates, not results."""
+    """Of equal rows the same, and never null; rows that happen to share one are verified for each other's sake."""
     return F.xxhash64("doc_id", "text")
 
 
@@ -92,14 +94,14 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
-    """(key, kinds): which rows may match which rules, by intersected postings; None if no rule has a query."""
+    """(key, kind): which rows may match which rules, by intersected postings; None if no rule has a query."""
     parts = [(r.kind, i, t, len(way)) for r in rules for i, way in enumerate(trigram_query(r.pattern)) for t in way]
     if not parts:
         return None
     need = docs.sparkSession.createDataFrame(parts, "kind string, way int, trigram string, need int")
     posted = postings(docs, sorted({p[2] for p in parts})).distinct()
     hit = posted.join(F.broadcast(need), "trigram").groupBy("key", "kind", "way").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return hit.where("n = need").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    return hit.where("n = need").select("key", "kind").distinct()
 
 
 def _matches(rule: Rule, order: int) -> Column:
@@ -137,11 +139,16 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = l
     full = [r.kind for r in rules if trigram_query(r.pattern) == [[]]]
     asked = candidates(docs, tuple(r for r in rules if r.kind not in full))
     rows = docs.withColumn("key", row_key())
-    rows = rows.withColumn("kinds", F.array().cast("array<string>")) if asked is None else rows.join(asked.hint("shuffle_hash"), "key", "left")
+    if asked is None:
+        rows = rows.withColumn("may", F.lit(False))
+    else:
+        asked = scratch(asked, "candidates")
+        bits = filter_bits(asked.count())
+        rows = maybe_in(rows, "key", scratch(bit_filter(asked, "key", bits), "filter"), "may", bits)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     for i, r in enumerate(rules):
         found = _matches(r, i)
-        rows = rows.withColumn(f"s_{r.kind}", found if r.kind in full else F.when(F.array_contains("kinds", r.kind), found).otherwise(none))
+        rows = rows.withColumn(f"s_{r.kind}", found if r.kind in full else F.when(F.col("may"), found).otherwise(none))
     every = [F.col(f"s_{r.kind}") for r in rules]
     return rows.select(
         "doc_id",

@@ -15,7 +15,7 @@ from gradeloom.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; extra columns may have them.
-CLASHES = ("key", "digest", "n", "shard", "kinds", "at", "hit", "pass", "block", "component", "size", "token", "low", "norm", "best", "bucket", "cid", "tokens")
+CLASHES = ("key", "digest", "n", "shard", "kinds", "at", "hit", "pass", "block", "component", "size", "token", "low", "norm", "best", "bucket", "cid", "tokens", "row", "r", "d", "drawn_key", "may", "met", "chars", "perspective", "turns", "entry", "alone", "parts", "keep", "stream", "ordinal", "ids", "own", "place", "label", "level", "text_key", "carried", "law", "slot")
 rng = random.Random(7)
 VOCABULARY = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
 
@@ -161,10 +161,12 @@ def test_quality(spark, empty, edge):
 def test_chat(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "user", "hi <|assistant|>"), (1, 2, "bot", "é!"), (1, 3, "guide", None), (1, 3, "guide", "tie"), (1, None, "bot", "late"),
-        (2, 0, None, ""), (3, 0, "system", "alone"), (None, 0, "user", "no id"), (None, 0, "user", "no id too"),
+        (2, 0, None, ""), (2, 1, "unknown", "x"), (3, 0, "system", "alone"), (None, 0, "user", "no id"), (None, 0, "user", "no id too"),
     ]
-    got = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit(1))).collect()
-    assert sorted((r["conv_id"] or 0, r["perspective"], r["n_turns"], r["n_spoken"]) for r in got) == [(0, "user", 1, 1), (0, "user", 1, 1), (1, "bot", 6, 2), (1, "guide", 6, 2), (1, "user", 6, 1), (2, "unknown", 1, 1)]
+    schema = "conv_id long, turn long, role string, text string"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in ("mask", *CLASHES)})
+    got = chat.rotate_perspectives(docs).collect()
+    assert sorted((r["conv_id"] or 0, r["perspective"] or "", r["n_turns"], r["n_spoken"]) for r in got) == [(0, "user", 1, 1), (0, "user", 1, 1), (1, "bot", 6, 2), (1, "guide", 6, 2), (1, "user", 6, 1), (2, "", 2, 1), (2, "unknown", 2, 1)]
     bot = next(r for r in got if r["perspective"] == "bot")
     parts = [tuple(map(int, s.split(":"))) for s in bot["mask"].split(",")]
     assert [bot["text"][a:b] for a, b in parts] == ["é!<|end|>\n", "late<|end|>\n"]
@@ -172,6 +174,36 @@ def test_chat(spark):
     assert "hi <\\|assistant|>" in bot["text"]
     assert "<|user name=guide|>\n<|end|>" in bot["text"]
     assert bot["masked_chars"] == sum(b - a for a, b in parts)
+    assert [r["text"] for r in got if r["perspective"] == "unknown"] == ["<|user|>\n<|end|>\n<|assistant|>\nx<|end|>\n"]
+    assert chat.rotate_perspectives(spark.createDataFrame([], schema)).count() == 0
+
+
+def parsed(text):
+    """(header, content) of each turn of a rendered dialogue."""
+    turns = re.findall(r"<\|(system|assistant|user|user name=[^|<\n]*)\|>\n(.*?)<\|end\|>\n", text, re.DOTALL)
+    assert "".join(f"<|{h}|>\n{b}<|end|>\n" for h, b in turns) == text
+    return turns
+
+
+def unescaped(text, marks):
+    return re.sub(r"\\(.)", lambda m: marks[m[1]], text, flags=re.DOTALL)
+
+
+def test_hostile_dialogues_come_back(spark):
+    r = random.Random(11)
+    odd = lambda: "".join(r.choice(["<", "|", ">", "\\", "\n", "\r", "a", "<|end|>\n", "<|assistant|>\n", "|>", "p", "l", "é"]) for _ in range(r.randint(0, 12)))
+    rows = [(c, i, odd() or "z", odd()) for c in range(40) for i in range(6)] + [(100, i, f"s{i % 3}", "x" * 500) for i in range(3000)]
+    talks = collections.defaultdict(list)
+    for c, i, role, text in rows:
+        talks[c].append((i, role, text))
+    got = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == sum(len({x[1] for x in t}) for t in talks.values())
+    names = {i[1]: m for m, i in chat.NAME_MARKS}
+    for x in got:
+        turns = parsed(x["text"])
+        assert [unescaped(b, {"\\": "\\", "|": "|"}) for _, b in turns] == [t for _, _, t in talks[x["conv_id"]]]
+        said = [x["perspective"] if h == "assistant" else unescaped(h.removeprefix("user name="), names) for h, _ in turns]
+        assert said == [role for _, role, _ in talks[x["conv_id"]]]
 
 
 # ---- 5
@@ -185,7 +217,13 @@ def test_exact_dedup(spark, edge, empty, digest):
     norm = lambda x: re.sub(r"[\x20\x09-\x0d]", "", x or "")
     for i, x in rows:
         groups[norm(x)].append((-len(x or ""), i is None, i or 0, i))
-    expected = sorted((repr(i), repr(min(groups[norm(x)])[3]), len(groups[norm(x)]), min(groups[norm(x)])[3] == i, hashlib.sha256(norm(x).encode()).hexdigest()) for i, x in rows)
+    expected, kept = [], set()  # of equal texts one row is kept: the best, and of equal best rows any one
+    for i, x in rows:
+        own = groups[norm(x)]
+        best = (-len(x or ""), i is None, i or 0, i) == min(own) and norm(x) not in kept
+        kept |= {norm(x)} if best else set()
+        expected.append((repr(i), repr(min(own)[3]), len(own), best, hashlib.sha256(norm(x).encode()).hexdigest()))
+    expected.sort()
     got = sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in dedup.exact_dedup(docs, digest).collect())
     assert got == expected
     assert dedup.exact_dedup(empty, digest).count() == 0
@@ -437,7 +475,7 @@ def test_alignment_matches_a_plain_table():
 
 def test_mixing(spark, edge, empty):
     rows = [(i, prose(5 + i % 30, i), "en", "big" if i % 4 else f"s{i % 12}", 1) for i in range(800)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in CLASHES if c != "pass"})
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in CLASHES})
     tokens = collections.Counter()
     for _, x, _, s, _ in rows:
         tokens[s] += len(x.split())
@@ -463,6 +501,7 @@ def test_mixing(spark, edge, empty):
         seen[r["doc_id"], r["pass"]] += 1
     assert max(seen.values()) == 1
     assert {i for i, _ in seen} == set(range(800))  # every row is shown
+    assert mixing.mix_sources(docs, entropy=0.9, repeats=3.0).columns == docs.columns
     for s in share:
         assert got[s] / got["big"] == pytest.approx(weight[s] / weight["big"], rel=0.06)
     again = mixing.draw_mix(docs, 0.9, 3.0, block_tokens=200).collect()
