@@ -325,30 +325,69 @@ def test_signature_tree_matches_all_pairs():
 # ---- 7
 
 
-def test_sharding(spark, edge, empty):
-    r = random.Random(1)
-    rows = [(i, "x" * r.randint(0, 400), r.choice(["en", "de", None]), r.choice(["a", "a", "b", None]), 1) for i in range(3000)] + [(5000 + i, "hot text " * 20, "en", "a", 1) for i in range(1500)] + [(None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in CLASHES})
-    got = sharding.kd_shards(docs).collect()
+def shards_of(spark, rows, **options):
+    """Rows by shard, after the promises that hold for any table."""
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in CLASHES}).repartition(4)
+    got = sharding.kd_shards(docs, **options).collect()
     assert len(got) == len(rows)
-    total = collections.Counter()
-    slots = collections.defaultdict(list)
+    by_shard = collections.defaultdict(list)
     for x in got:
-        total[x["shard"]] += x["size"]
-        slots[x["shard"]].append(x["slot"])
-    mean = sum(total.values()) / 40
-    assert set(total) == set(range(40))
-    assert max(total.values()) < 1.15 * mean
-    assert min(total.values()) > 0.85 * mean
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    text = {i: x for i, x, *_ in rows}
-    for x in got:
-        raw = (text[x["doc_id"]] or "").encode()
-        assert (x["size"], x["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
-    small = {x["text_crc32"]: x["shard"] for x in got if x["doc_id"] is None or x["doc_id"] < 3000}
-    assert all(small[x["text_crc32"]] == x["shard"] for x in got if x["doc_id"] is not None and x["doc_id"] < 3000 and x["size"] < 300)
+        by_shard[x["shard"]].append(x)
+    assert all(sorted(x["slot"] for x in own) == list(range(len(own))) for own in by_shard.values())
+    raw = lambda x: (x or "").encode()
+    assert sorted((repr(x["doc_id"]), x["size"], x["text_crc32"]) for x in got) == sorted((repr(i), len(raw(x)) + 16, zlib.crc32(raw(x))) for i, x, *_ in rows)
+    return by_shard
+
+
+def balance(by_shard):
+    total = [sum(x["size"] for x in own) for own in by_shard.values()]
+    return len(total), min(total) * 40 / sum(total), max(total) * 40 / sum(total)
+
+
+def test_sharding(spark, edge, empty):
+    r = random.Random(1)
+    some = [(i, "x" * r.randint(0, 400), r.choice(["en", "de", None]), r.choice(["a", "a", "b", None]), 1) for i in range(3000)]
+    hot = [(5000 + i, "hot text " * 20, "en", "a", 1) for i in range(1500)]
+    by_shard = shards_of(spark, some + hot + [(None, None, None, None, None)])
+    n, least, most = balance(by_shard)
+    assert (n, least > 0.85, most < 1.15) == (40, True, True)  # a point is up to an eighth of a shard here
+    small = {x["text_crc32"]: s for s, own in by_shard.items() for x in own if x["doc_id"] is None or x["doc_id"] < 3000}
+    assert all(small[x["text_crc32"]] == s for s, own in by_shard.items() for x in own if x["doc_id"] is not None and x["doc_id"] < 3000 and x["size"] < 300)
+    for rows in ([(None, "hot text " * 20, "en", "a", 1)] * 1500 + some, [(7, "hot text " * 20, "en", "a", 1)] * 1500 + some, [(None, "same", None, None, None)] * 2000, [(i, prose(6, i), "en", "a", 1) for i in range(2000)]):
+        n, least, most = balance(shards_of(spark, rows))
+        assert n == 40
+        assert least > 0.85
+        assert most < 1.15
     assert sharding.kd_shards(edge).count() == len(EDGE)
     assert sharding.kd_shards(empty).count() == 0
+    carried = sharding.kd_shards(edge, carry=edge.columns).select("carried.*")
+    assert sorted(map(repr, carried.collect())) == sorted(map(repr, edge.collect()))
+
+
+def test_tree_matches_a_plain_one(spark):
+    """Cuts of the plain tree, over all points in memory, to within the share that a bin may be off by."""
+    r = np.random.default_rng(3)
+    keys = np.stack([(r.integers(0, m, 4000) << sharding.TIE_BITS) + r.integers(0, 1 << sharding.TIE_BITS, 4000) for m in (200, 5, 2)], 1)
+    weight = r.integers(1, 100, 4000)
+    points = spark.createDataFrame([(*map(int, k), int(w)) for k, w in zip(keys, weight)], "k0 long, k1 long, k2 long, bytes long")
+    tree = sharding.grow(points, 8)
+    level = keys >> sharding.TIE_BITS
+    spread = np.maximum(1, np.ptp(level, axis=0))
+
+    def walk(n, own, k):
+        if k == 1:
+            assert tree.left[n] < 0
+            return
+        wide = np.ptp(level[own], axis=0) / spread
+        assert tree.dim[n] == int(np.argmax(wide))
+        goes = keys[own, tree.dim[n]] >= tree.cut[n]
+        want = weight[own].sum() * ((k + 1) // 2) / k
+        assert abs(weight[own[~goes]].sum() - want) <= max(100, sharding.COARSE * want)
+        walk(tree.left[n], own[~goes], (k + 1) // 2)
+        walk(tree.right[n], own[goes], k // 2)
+
+    walk(0, np.arange(4000), 8)
+    assert sorted(s for s in tree.shard if s >= 0) == list(range(8))
 
 
 # ---- 8
