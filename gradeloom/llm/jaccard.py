@@ -5,12 +5,14 @@ Exact for every pair of different texts. Two sets with |x & y| / |x | y| >= t sh
 its lead. That order puts frequent shingles last, by a fixed-size count
 sketch of the whole corpus, so common passages rarely meet. Sets that are equal are one class first. Within a cell
 (classes that share a prefix shingle) a signature tree prunes node pairs by their greatest possible overlap; what is
-left joins candidate components. Each component's sets are then brought together once, a large one in blocks that meet
-pairwise, and a signature tree with exact verification links them.
+left joins candidate components. Each component's sets are then brought together, and a signature tree with exact
+verification links them. A large cell or component is dealt into blocks: each is linked by itself first, and then only
+blocks meet that hold different components of near enough sizes, so a large group of near copies costs no pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import BITS_PER_BUCKET, Links, bit_filter, components, scratch
+from gradeloom.llm.common import BITS_PER_BUCKET, Links, bit_filter, components, filter_bits, scratch
 from gradeloom.llm.textscan import chunks, mix, raw, shingles, vector_sum
 
 SKETCH_BITS = 21
 SIGNATURE, LONGEST = 1024, 1 << 15  # bits of a signature: a power of two, the set's size at least as far as that goes
 LEAF, FANOUT = 64, 8
-BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 2048
-FILTER_BITS = 1 << 22
+CELL, BLOCK_TOKENS, BLOCK_SETS = 1024, 1_000_000, 2048  # classes in a block of a cell; shingles and sets in one of a component
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -38,13 +39,12 @@ def _lead_sql(n: str, percent: int):
     return F.expr(f"{n} - ({2 * percent} * {n} + {99 + percent}) div {100 + percent} + 1")
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Row ids, bytes and offsets of chunks of (doc_id, text) batches."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, bytes and offsets of chunks of (doc_id, text, ...) batches."""
     for batch in batches:
         data, off = raw(batch.column(1))
-        ids = batch.column(0)
         for lo, hi in chunks(off):
-            yield ids.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            yield batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
@@ -63,11 +63,11 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 def _profiles(docs: DataFrame, code: np.ndarray, n: int, percent: int) -> DataFrame:
     """Per document: set size, a 128-bit digest of the set, its prefix in the global order, its signature."""
     shared = docs.sparkSession.sparkContext.broadcast(code)
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def profile(batches):
         rank = shared.value
-        for ids, b, off in _batches(batches):
+        for part, b, off in _batches(batches):
             g, at = shingles(b, off, n)
             size, d1, d2, prefix, sig = [], [], [], [], []
             for lo, hi in zip(at[:-1], at[1:]):
@@ -90,10 +90,10 @@ def _profiles(docs: DataFrame, code: np.ndarray, n: int, percent: int) -> DataFr
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sig, pa.binary())], schema=kind
+                [part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sig, pa.binary())], schema=kind
             )
 
-    return docs.mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(profile, "doc_id long, text_key long, n long, d1 long, d2 long, prefix array<long>, sig binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -207,8 +207,8 @@ def _cells(percent: int):
     """Candidate links of each cell as a forest, small cells all at once."""
 
     def run(batches):
-        for table in _runs(batches, "token"):
-            token, cid, size, lead = (table[c].to_numpy() for c in ("token", "cid", "n", "lead"))
+        for table in _runs(batches, "cell"):
+            token, cid, size, lead = (table[c].to_numpy() for c in ("cell", "cid", "n", "lead"))
             full = table["sig"].to_pylist()
             sig = _signatures(full)
             possible = _long_enough(size, full, percent)
@@ -252,14 +252,47 @@ def _cells(percent: int):
     return run
 
 
-def _shared(batches):
-    """Rows of a partition sorted by token whose token occurs more than once, and leads one of its sets at least."""
-    for table in _runs(batches, "token"):
-        token, lead = table["token"].to_numpy(), table["lead"].to_numpy()
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        count = np.diff(np.concatenate((start, [len(token)])))
-        keep = np.repeat((count > 1) & np.logical_or.reduceat(lead, start), count)
-        yield from table.filter(pa.array(keep)).to_batches()
+def _meetings(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """``rows`` (group, cid, label, n, w) once for each ``place`` where they meet others of their group.
+
+    A row is in a block, of a total of about 1 in w: a large label's rows of a size level have blocks of their own, those
+    of small labels share some. Two blocks meet unless they hold one label only, or sizes too far apart to link. A
+    group of one label has no place."""
+    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    rows = rows.withColumn("level", level)
+    own = scratch(rows.groupBy(group, "label", "level").agg(F.sum("w").alias("weight")), "labels")
+    several = own.groupBy(group).agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select(group)
+    own = own.join(several, group)
+    pool = own.where("weight <= 0.5").groupBy(group, "level").agg(F.ceil(F.sum("weight")).alias("pool"))
+    rows = rows.join(own, [group, "label", "level"]).join(pool, [group, "level"], "left")
+    pure = F.col("weight") > 0.5
+    block = F.struct(
+        F.col("level"), F.when(pure, F.col("label")).otherwise(-1).alias("of"),
+        F.when(pure, F.pmod(F.xxhash64("cid"), F.ceil("weight"))).otherwise(F.pmod(F.xxhash64("label"), F.col("pool"))).alias("i"),
+    )
+    rows = scratch(rows.withColumn("block", block).drop("level", "weight", "pool"), "blocks")
+    blocks = rows.select(group, "block").distinct()
+    pairs = blocks.join(blocks.select(group, F.col("block").alias("other")), group).where("block <= other AND other.level - block.level <= 1 AND (block.of <> other.of OR block.of = -1)")
+    pairs = pairs.withColumn("place", F.xxhash64(group, "block", "other"))
+    ends = pairs.select(group, "block", "place").union(pairs.where("block <> other").select(group, "other", "place"))
+    return rows.join(ends, [group, "block"]).drop("block")
+
+
+def _candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """Candidate links (a, b) of all cells, from ``shared`` (token, cid, n, lead, sig, m: classes in the cell)."""
+
+    def link(cells: DataFrame) -> DataFrame:
+        cells = cells.select("cell", "cid", "n", "lead", "sig").repartition("cell").sortWithinPartitions("cell", "n", "cid")
+        return scratch(cells.mapInArrow(_cells(percent), "a long, b long"), "links")
+
+    blocks = F.ceil(F.col("m") / CELL)
+    first = link(shared.withColumn("cell", F.when(F.col("m") > CELL, F.xxhash64("token", F.pmod(F.xxhash64("token", "cid"), blocks))).otherwise(F.col("token"))))
+    large = shared.where(F.col("m") > CELL)
+    if large.isEmpty():
+        return first
+    labels = components(first).select(F.col("id").alias("cid"), F.col("component").alias("label"))
+    large = large.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")).withColumn("w", F.lit(1.0 / CELL))
+    return first.union(link(_meetings(large, "token", percent).withColumnRenamed("place", "cell")))
 
 
 def _verify(percent: int):
@@ -294,35 +327,60 @@ def _verify(percent: int):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Shingle sets of the documents in ``wanted`` (column cid); a bit filter of fixed size spares most others the work."""
-    bits = np.zeros((FILTER_BITS // BITS_PER_BUCKET, BITS_PER_BUCKET // 8), np.uint8)
-    for r in bit_filter(wanted, "cid", FILTER_BITS).collect():  # at most 128 rows of 4 KB
+    """Shingle sets of the documents in ``wanted`` (column cid, a written table); a bit filter spares most others the work."""
+    n_bits = filter_bits(wanted.count())
+    bits = np.zeros((n_bits // BITS_PER_BUCKET, BITS_PER_BUCKET // 8), np.uint8)
+    for r in bit_filter(wanted, "cid", n_bits).collect():  # at most 8,192 rows of 4 KB
         bits[r["bf_bucket"]] = np.frombuffer(r["bf_bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))
 
     def sets(batches):
         have = shared.value
         for batch in batches:
             h = batch.column(2).to_numpy()
             keep = (have[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0
-            for ids, b, off in _batches([batch.filter(pa.array(keep))]):
+            for part, b, off in _batches([batch.filter(pa.array(keep))]):
                 g, span = shingles(b, off, n)
                 each = [np.unique(g[lo:hi]).view(np.int64) for lo, hi in zip(span[:-1], span[1:])]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
                 flat = np.concatenate(each) if each else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cid", "tokens"])
 
     return docs.where("doc_id is not null").select("doc_id", "text", at.alias("at")).mapInArrow(sets, "cid long, tokens array<long>")
 
 
+def _linked(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Exact links (a, b) inside candidate components, from ``members`` (cid, comp, n, sig)."""
+
+    def verify(placed: DataFrame) -> DataFrame:
+        placed = scratch(placed.select("cid", "comp", "n", "sig", "place"), "placed")
+        sets = placed.join(_sets(docs, placed.select("cid").distinct(), n), "cid")
+        # a doc_id that repeats with another text brings more sets than its class has: only the class's own counts
+        sets = sets.where(F.size("tokens") == F.col("n"))
+        return scratch(sets.groupBy("place").applyInArrow(_verify(percent), "a long, b long"), "links")
+
+    members = members.withColumn("w", F.greatest(F.col("n") / BLOCK_TOKENS, F.lit(1.0 / BLOCK_SETS)))
+    weight = scratch(members.groupBy("comp").agg(F.ceil(F.sum("w")).alias("blocks"), F.sum("n").alias("tokens")), "weight")
+    packs = F.pmod(F.xxhash64("comp"), F.lit(1 + int(weight.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // BLOCK_TOKENS))
+    rows = members.join(weight, "comp")
+    first = verify(rows.withColumn("place", F.when(F.col("blocks") == 1, packs).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("blocks"))))))
+    large = weight.where("blocks > 1").select("comp")
+    if large.isEmpty():
+        return first
+    labels = components(first).select(F.col("id").alias("cid"), F.col("component").alias("label"))
+    split = members.join(large, "comp").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    return first.union(verify(_meetings(split, "comp", percent)))
+
+
 def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id long, text string): doc_id, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id long, text string): doc_id, n_shingles, component_id, text_key.
 
     Sets are of distinct ``shingle_words``-word shingles; two documents link at a Jaccard similarity of ``percent``
     hundredths or more; component_id is the least doc_id that links reach. A null, empty or blank text has an empty set
-    and is linked with nothing. Rows that repeat a doc_id with another text count as one document that has both texts'
-    links. A row without doc_id gets its size and a null component. Other columns are not read.
+    and is linked with nothing. Rows that repeat a doc_id with another text have a component each, unless theirs is the
+    least doc_id of both: then they count as one document that has both texts' links. A row without doc_id gets its size
+    and a null component. text_key is xxhash64 of the text, to join by beside doc_id. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     profiles = scratch(_profiles(docs, _sketch(docs, shingle_words), shingle_words, percent), "profiles")
@@ -330,33 +388,17 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     # written, so that joins with it deal both sides anew and Spark can split a class of many copies
     classes = scratch(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")), "classes")
     postings = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n").select("token", "cid", "n", (F.col("pos") < _lead_sql("n", percent)).alias("lead"))
-    shared = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, postings.schema)
+    postings = scratch(postings.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n").select("token", "cid", "n", (F.col("pos") < _lead_sql("n", percent)).alias("lead")), "postings")
+    # a cell counts if its token is in several classes, and leads one of their sets at least
+    cells = postings.groupBy("token").agg(F.count("*").alias("m"), F.max("lead").alias("led")).where("m > 1 AND led").select("token", "m")
     signed = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.any_value("sig").alias("sig"))
-    cells = shared.join(signed.select("cid", "sig"), "cid")
-    edges = cells.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(_cells(percent), "a long, b long")
-    members = scratch(
-        components(edges).withColumnsRenamed({"id": "cid", "component": "comp"}).join(signed.select("cid", "sig"), "cid").join(classes.select("cid", "n"), "cid"), "members"
-    )
-    weight = members.groupBy("comp").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks"), F.sum("n").alias("tokens")
-    )
-    packs = F.pmod(F.xxhash64("comp"), F.lit(1 + int(weight.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // BLOCK_TOKENS))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    placed = members.join(weight, "comp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        "cid", "comp", "n", "sig",
-        F.when(F.col("blocks") == 1, F.struct(F.lit(-1).cast("long").alias("c"), packs.alias("i"), F.lit(0).cast("long").alias("j")))
-        .otherwise(F.struct(F.col("comp").alias("c"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))).alias("place"),
-    )
-    sets = placed.join(_sets(docs, members.select("cid"), shingle_words), "cid")
-    # a doc_id that repeats with another text brings more sets than its class has: only the class's own counts
-    sets = sets.where(F.size("tokens") == F.col("n"))
-    found = sets.groupBy("place").applyInArrow(_verify(percent), "a long, b long")
-    labels = components(found)
+    shared = scratch(postings.join(cells, "token").join(signed.select("cid", "sig"), "cid"), "shared")
+    labels = components(_candidates(shared, percent)).withColumnsRenamed({"id": "cid", "component": "comp"})
+    members = scratch(labels.join(signed.select("cid", "sig"), "cid").join(classes.select("cid", "n"), "cid"), "members")
+    labels = components(_linked(docs, members, shingle_words, percent))
     return (
-        profiles.select("doc_id", "n", "d1", "d2")
+        profiles.select("doc_id", "text_key", "n", "d1", "d2")
         .join(classes.select("d1", "d2", "cid"), ["d1", "d2"], "left")
         .join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("cid")), "doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("cid")), "doc_id")).alias("component_id"), "text_key")
     )

@@ -45,7 +45,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_components(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

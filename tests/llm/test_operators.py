@@ -300,6 +300,22 @@ def test_large_component_in_blocks(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_large_cells_in_blocks(spark, monkeypatch):
+    """Near copies, a passage that most texts are made of, and a few others, in cells of many blocks."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    own, passage, rows = prose(80, 71).split(), prose(60, 72), []
+    for i in range(120):
+        w = list(own)
+        w[random.Random(i).randrange(80)] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, passage + " " + prose(12 + i % 9, 7300 + i // 2)) for i in range(120)]  # by twos alike, around the bound
+    rows += [(400 + i, " ".join(own[: 60 + i])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == classes(rows)
+
+
 def test_signature_tree_matches_all_pairs():
     r = np.random.default_rng(5)
     sets = []
