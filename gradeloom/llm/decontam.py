@@ -4,7 +4,7 @@ An item's seeds are all its word n-grams, however many items share them and howe
 stored once with its items. Seeds of a block of items have a bounded size and go to every task; further items are further
 blocks. Where a document has a seed, the window of words around it is aligned with every item behind it, so copies with
 words replaced, added or left out score as well. Windows with too few of the item's words for the score that counts are
-left out before, which loses nothing.
+left out before, which loses nothing. Items of fewer words than a seed has are found by their whole word sequence.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Items:
     at: np.ndarray  # start of each seed's places
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, dict[int, list[int]]]  # by number of words, below that of a seed: items of each sequence's hash
 
 
 def _items(ids: list[int], texts: list[str], n: int) -> Items:
@@ -45,14 +46,18 @@ def _items(ids: list[int], texts: list[str], n: int) -> Items:
     h, first, _, _ = words(data, off, loose=True)
     own = [h[a:b] for a, b in zip(first[:-1], first[1:])]
     gram, item, place = [], [], []
+    short: dict[int, dict[int, list[int]]] = {}
     for i, w in enumerate(own):
+        if 0 < len(w) < n:
+            whole = int(grams(w, np.array([0, len(w)]), len(w))[0][0])
+            short.setdefault(len(w), {}).setdefault(whole, []).append(i)
         g, q = grams(w, np.array([0, len(w)]), n)
         gram.append(g), item.append(np.full(len(g), i)), place.append(q)
     gram, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
     order = np.lexsort((place, item, gram))
     gram, item, place = gram[order].astype(np.uint64), item[order], place[order]
     seeds, at = np.unique(gram, return_index=True)
-    return Items(np.array(ids, np.int64), own, seeds, np.concatenate((at, [len(gram)])), item, place)
+    return Items(np.array(ids, np.int64), own, seeds, np.concatenate((at, [len(gram)])), item, place, short)
 
 
 def _filter(seeds: np.ndarray) -> np.ndarray:
@@ -64,8 +69,8 @@ def _filter(seeds: np.ndarray) -> np.ndarray:
 def _found(seeds: np.ndarray, may: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which n-grams are seeds, and which seeds they are."""
     hit = np.flatnonzero(may[g >> np.uint64(64 - _FILTER)])
-    if not len(hit):
-        return hit, hit
+    if not len(hit) or not len(seeds):
+        return hit[:0], hit[:0]
     k = np.minimum(np.searchsorted(seeds, g[hit]), len(seeds) - 1)
     same = seeds[k] == g[hit]
     return hit[same], k[same]
@@ -210,11 +215,27 @@ def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least
                     at = max(at, y)
             row, item, lo, hi = np.array(sorted(rest), np.int64).reshape(-1, 4).T
 
+    def short_ones(h, first, hits, low):
+        """Adds items of few words: whole sequences, from the left, without overlap."""
+        for m, items_of in items.short.items():
+            g, at = grams(h, first, m)
+            known = np.sort(np.array(list(items_of), np.uint64))
+            until: dict[tuple[int, int], int] = {}
+            for k in _found(known, _filter(known), g)[0].tolist():
+                begin = int(at[k])
+                r = int(np.searchsorted(first, begin, "right")) - 1
+                for i in items_of[int(g[k])]:
+                    if begin >= until.get((r, i), 0):
+                        until[r, i] = begin + m
+                        base = int(first[r])
+                        hits[low + r].append({"item_id": int(items.ids[i]), "score": MATCH * m, "share": 1.0, "first_word": begin - base, "last_word": begin - base + m})
+
     def find(texts: pa.Array) -> pa.Array:
         hits: list[list[dict]] = [[] for _ in range(len(texts))]
         data, offsets = raw(texts)
         for low, high in chunks(offsets):
             h, first, _, _ = words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], loose=True)
+            short_ones(h, first, hits, low)
             g, at = grams(h, first, n)
             hit, seed = _found(items.seeds, may, g)
             if not len(hit):
@@ -239,9 +260,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated passage: doc_id, item_id, score, share, first_word, last_word (end exclusive).
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Words are runs of letters and digits, case ignored. A
-    passage counts from a score of 0.4 times its item's best one, or of 25 words that match. Items of fewer than four
-    words have no seed and are never found; null and empty texts have no passage; items and documents that repeat each
-    have their own. Other columns are not read.
+    passage counts from a score of 0.4 times its item's best one, or of 25 words that match, and has a run of four words of
+    the item. Items of fewer than four words are found where their whole sequence stands; those without a word never.
+    Null and empty texts have no passage; items and documents that repeat each have their own. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     found = docs.select("doc_id", F.explode(passages(docs, benchmark)).alias("hit"))

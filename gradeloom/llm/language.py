@@ -22,7 +22,10 @@ BITS, ORDERS = 14, (1, 2, 3)
 UNKNOWN = "und"
 #: The bound of the labelled sample: about so many rows for each language.
 PER_LANGUAGE = 1500
+#: The bound of what is learnt: the languages with the most training rows, ties by name.
+LANGUAGES = 200
 SHARDS, ROUNDS = 8, 4
+ROWS = 32
 ALPHA, BETA, L1, L2 = 4.0, 0.5, 2e-3, 1e-3
 
 
@@ -40,7 +43,8 @@ def _letters() -> np.ndarray:
 
 
 def ngram_counts(column: pa.Array):
-    """For every row, in order: counts of hashed character n-grams of the whole text, or None without letters."""
+    """Chunks of rows in order, each as (rows, row, at, count): how many rows, and for each hashed character n-gram of a
+    row's whole text its number, sorted by row and n-gram. A row without letters has none."""
     data, offsets = raw(column)
     for lo, hi in chunks(offsets):
         b, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -48,6 +52,7 @@ def ngram_counts(column: pa.Array):
         begin = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))[off]
         code = np.concatenate((code, np.full(2, 32, np.uint32)))
         keep = np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))  # runs of other characters are one space
+        keep[begin[:-1]] = True  # whatever the row before ends with
         begin = np.concatenate(([0], np.cumsum(keep)))[begin]
         code = code[keep]
         if len(code) < 3:
@@ -58,21 +63,26 @@ def ngram_counts(column: pa.Array):
             h = h[: len(shifted)] * np.uint32(0x01000193) + shifted * np.uint32(0x9E3779B1) + np.uint32(n)
             x = h ^ (h >> np.uint32(15))
             hashed.append(((x * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int64))
-        for s, e in zip(begin[:-1], begin[1:]):
-            if e <= s or not (code[s:e] != 32).any():
-                yield None
-                continue
-            total = np.bincount(hashed[0][s:e], minlength=1 << BITS)
-            for n, x in zip(ORDERS[1:], hashed[1:]):
-                if e - s >= n:
-                    total += np.bincount(x[s : e - n + 1], minlength=1 << BITS)
-            yield total
-
-
-def _weighted(count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(count)
-    x = (1 + np.log(count[at])) * idf[at]
-    return at, x / (np.sqrt((x * x).sum()) or 1)
+        letters = np.concatenate(([0], np.cumsum(code != 32)))[begin]
+        real = np.diff(letters) > 0
+        size = np.diff(begin)
+        for first in range(0, hi - lo, ROWS):  # so many dense rows of counts at once
+            rows = np.arange(first, min(first + ROWS, hi - lo))
+            cells = []
+            for n, x in zip(ORDERS, hashed):
+                width = np.where(real[rows], np.maximum(size[rows] - n + 1, 0), 0)
+                row = np.repeat(rows - first, width)
+                at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begin[rows], width)
+                cells.append(row << BITS | x[at])
+            total = np.bincount(np.concatenate(cells), minlength=len(rows) << BITS)
+            used = np.flatnonzero(total)
+            yield len(rows), used >> BITS, used & ((1 << BITS) - 1), total[used]
+
+
+def _weighted(n: int, row: np.ndarray, at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, each row of unit length."""
+    x = (1 + np.log(count)) * idf[at]
+    return x / np.sqrt(np.maximum(np.bincount(row, x * x, minlength=n), 1e-300))[row]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -110,14 +120,14 @@ class LanguageModel:
 
         def predict(texts: pa.Array) -> pa.Array:
             lang, score = [], []
-            for count in ngram_counts(texts):
-                if count is None or not labels:
-                    lang.append(UNKNOWN), score.append(0.0)
-                    continue
-                at, x = _weighted(count, idf)
-                p = _softmax((w[:, at] @ x) / t)
-                k = int(p.argmax())
-                lang.append(labels[k]), score.append(float(p[k]))
+            for n, row, at, count in ngram_counts(texts):
+                x = _weighted(n, row, at, count, idf)
+                if labels:
+                    p = _softmax(np.stack([np.bincount(row, x * own[at], minlength=n) for own in w], 1) / t)
+                    best, top = p.argmax(axis=1), p.max(axis=1)
+                known = np.bincount(row, minlength=n) > 0
+                lang += [labels[best[i]] if labels and known[i] else UNKNOWN for i in range(n)]
+                score += [float(top[i]) if labels and known[i] else 0.0 for i in range(n)]
             return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
         return F.arrow_udf(predict, "lang string, score double")(text)
@@ -141,15 +151,18 @@ def _shard_round(state, turn: int):
     return step
 
 
-def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
+def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
     """Learns from ``docs`` (doc_id, text, lang): rows that are not held out and have a text and a lang.
 
     The sample has about ``per_language`` rows of each lang, picked by a hash of doc_id; document frequencies are
-    counted over all training rows. The model holds for any table; without rows it knows no language.
+    counted over all training rows. At most ``languages`` langs are learnt, those of the most rows: the state is of fixed
+    size for each. The model holds for any table; without rows it knows no language.
     """
     spark = docs.sparkSession
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    counted = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     labels = sorted(counts)
     if not labels:
         return LanguageModel([], np.ones(1 << BITS), np.zeros((0, 1 << BITS)), 1.0)
@@ -157,12 +170,10 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languag
     def frequencies(batches):
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for count in ngram_counts(batch.column(0)):
-                if count is not None:
-                    total += count > 0
+            for _, _, at, _ in ngram_counts(batch.column(0)):
+                total += np.bincount(at, minlength=1 << BITS)
         return total
 
-    rows = sum(counts.values())
     df = vector_sum(known.select("text"), frequencies, 1 << BITS, lambda total: total, slices=8)
     idf = np.log((1 + rows) / (1 + df)) + 1
 
@@ -174,7 +185,11 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languag
 
     def features(batches):
         for batch in batches:
-            got = [(i, *_weighted(count, idf)) for i, count in enumerate(ngram_counts(batch.column(3))) if count is not None]
+            got, base = [], 0
+            for n, row, at, count in ngram_counts(batch.column(3)):
+                x, ends = _weighted(n, row, at, count, idf), np.searchsorted(row, np.arange(n + 1))
+                got += [(base + i, at[s:e], x[s:e]) for i, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
+                base += n
             rows = pa.array([i for i, _, _ in got], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), ragged([at.astype(np.int32) for _, at, _ in got]), ragged([x.astype(np.float32) for _, _, x in got])], ["label", "shard", "rank", "at", "x"])
 

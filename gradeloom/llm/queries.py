@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
+from gradeloom.llm import pipeline
 from gradeloom.llm.chat import rotate_perspectives
 from gradeloom.llm.decontam import decontaminate
 from gradeloom.llm.dedup import exact_dedup
@@ -66,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_secret_scan, op3_quality, op4_chat_rotation, op5_exact_dedup, op6_ngram_jaccard, op7_kd_sharding, op8_token_counts, op9_decontamination, op10_mixing)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def _spans_sql() -> tuple[str, str]:

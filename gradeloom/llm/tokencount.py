@@ -58,10 +58,11 @@ def write_streams(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_
                 ids.append(end)
                 held.append(np.array(ids, np.uint16))
                 ready += len(ids)
-                while ready >= block:
-                    flat = np.concatenate(held)
-                    yield rows(0, [number], [flat[:block].tobytes()], pa.nulls(1, pa.int64()))
-                    held, number, ready = [flat[block:]], number + 1, ready - block
+                if ready >= block:
+                    flat, whole = np.concatenate(held), ready // block
+                    for i in range(whole):
+                        yield rows(0, [number + i], [flat[i * block : (i + 1) * block].tobytes()], pa.nulls(1, pa.int64()))
+                    held, number, ready = [flat[whole * block :]], number + whole, ready - whole * block
         if ready:
             yield rows(0, [number], [np.concatenate(held).tobytes()], pa.nulls(1, pa.int64()))
 
@@ -71,18 +72,24 @@ def write_streams(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_
 
 
 def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of flat files of uint16 ids (stream is a file's path); each file holds a whole number of blocks' bytes, a
-    last block may be padded with ids that follow the last separator."""
-    records = spark.read.format("binaryFile").load(path)
+    """Blocks (stream: a file's path, block, ids) of flat files of uint16 ids, however large.
+
+    Spark lists the files, without their contents; every block is a byte range that one task reads by itself through
+    Arrow's file systems, so a file is as parallel as its blocks are many. The last block is as long as what is left."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {2 * block}"))).alias("block"))
+
+    def read(batches):
+        from pyarrow import fs
 
-    def cut(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                flat, n = data.as_buffer(), 2 * block
-                for i in range(0, flat.size, n):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i // n], pa.int64()), pa.array([flat.slice(i, min(n, flat.size - i)).to_pybytes()], pa.binary())], ["stream", "block", "ids"])
+            for name, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, at = fs.FileSystem.from_uri(name)
+                with store.open_input_file(at) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([f.read_at(min(2 * block, f.size() - 2 * block * i), 2 * block * i)], pa.binary())], ["stream", "block", "ids"])
 
-    return records.select("path", "content").mapInArrow(cut, "stream string, block long, ids binary")
+    spread = ranges.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "path", "block")
+    return spread.mapInArrow(read, "stream string, block long, ids binary")
 
 
 def scan_separators(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:

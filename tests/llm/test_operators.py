@@ -74,6 +74,66 @@ def test_language_without_labels_knows_none(spark):
     assert language.identify_language(docs).first()["lang_pred"] == "und"
 
 
+def test_ngram_counts_match_a_plain_count():
+    import pyarrow as pa
+
+    texts = ["Ab, cd", None, "", "12 !!", " x", "é" * 5, prose(200, 5), "a", "ab"] * 9
+    got, base = {}, 0
+    for n, row, at, count in language.ngram_counts(pa.array(texts)):
+        for r, a, c in zip(row.tolist(), at.tolist(), count.tolist()):
+            got.setdefault(base + r, {})[a] = c
+        base += n
+    assert base == len(texts)
+    m = (1 << 32) - 1
+
+    def plain(text):
+        code = [ord(c.lower()[0]) if c.isalpha() else 32 for c in text]
+        whole = [c for i, c in enumerate(code) if c != 32 or i == 0 or code[i - 1] != 32]
+        out = collections.Counter()
+        for n in language.ORDERS:
+            for i in range(len(whole) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x01000193 + whole[i + k] * 0x9E3779B1 + k + 1) & m
+                h ^= h >> 15
+                out[((h * 0x85EBCA6B) & m) >> (32 - language.BITS)] += 1
+        return dict(out) if any(c != 32 for c in code) else None
+
+    for i, x in enumerate(texts):
+        assert got.get(i) == plain(x or "")
+
+
+def test_ftrl_matches_a_plain_pass():
+    """Steps on one feature after the other, as the update is written in papers."""
+    r = np.random.default_rng(6)
+    rows = [(int(r.integers(3)), np.sort(r.choice(20, 5, replace=False)), r.random(5)) for _ in range(60)]
+    z, n = np.zeros((3, 20)), np.zeros((3, 20))
+    language.ftrl(z, n, rows)
+    a, b, l1, l2 = language.ALPHA, language.BETA, language.L1, language.L2
+    pz, pn = [[0.0] * 20 for _ in range(3)], [[0.0] * 20 for _ in range(3)]
+
+    def w(k, i):
+        return 0.0 if abs(pz[k][i]) <= l1 else -(pz[k][i] - (l1 if pz[k][i] > 0 else -l1)) / ((b + pn[k][i] ** 0.5) / a + l2)
+
+    for label, at, x in rows:
+        own = [[w(k, i) for i in at] for k in range(3)]
+        e = [np.exp(sum(u * v for u, v in zip(own[k], x))) for k in range(3)]
+        for k in range(3):
+            for j, i in enumerate(at):
+                g = (e[k] / sum(e) - (k == label)) * x[j]
+                s = ((pn[k][i] + g * g) ** 0.5 - pn[k][i] ** 0.5) / a
+                pz[k][i] += g - s * own[k][j]
+                pn[k][i] += g * g
+    assert np.allclose(z, pz)
+    assert np.allclose(n, pn)
+
+
+def test_language_learns_the_most_frequent_labels_only(spark):
+    rows = [(i, prose(20, i), "big", "s", 1) for i in range(60)] + [(100 + i, prose(20, 500 + i), f"junk{i}", "s", 1) for i in range(50)] + [(200 + i, "zu ki " * 20, "small", "s", 1) for i in range(9)]
+    model = language.train_language(spark.createDataFrame(rows, SCHEMA), languages=2)
+    assert model.labels == ["big", "small"]
+
+
 def test_temperature_and_ftrl():
     r = np.random.default_rng(0)
     label = r.integers(0, 3, 2000)
@@ -438,6 +498,13 @@ def test_separator_scan_of_flat_files(spark, tmp_path):
     assert got["b.bin"] == [(300, False)]
 
 
+def test_long_texts_and_clashing_names_of_streams(spark):
+    docs = spark.createDataFrame([(1, prose(40000, 3)), (2, "x")], "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASHES})
+    coder = tokencount._encoding(tokencount.VOCABULARY)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs, block=16).collect()}
+    assert got == {1: len(coder.encode_ordinary(prose(40000, 3))), 2: 1}
+
+
 # ---- 9
 
 
@@ -454,7 +521,7 @@ def edited(text, seed, share):
 
 
 def test_decontamination(spark, edge, empty):
-    items = [(i, prose(50, 7000 + i)) for i in range(20)] + [(100, None), (101, "two words"), (None, "no id for this item at all"), (3, prose(50, 7003))]
+    items = [(i, prose(50, 7000 + i)) for i in range(20)] + [(100, None), (101, "two such words"), (None, "no id for this item at all"), (3, prose(50, 7003))]
     rows = []
     for i in range(20):
         clean = prose(300, 8000 + i)
@@ -503,6 +570,56 @@ def test_decontamination_of_adjacent_repeats(spark):
     assert found == [(r, 60 + 50 * k, 110 + 50 * k, 1.0) for r in (1, 2, 7, 300) for k in range(r)]
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "Two words"), (2, "solo"), (3, "..."), (4, "one two three"), (5, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "has two, WORDS two words here"), (2, "solo solo sol o"), (3, "two three words"), (4, "one two three two words"), (5, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["first_word"], r["last_word"], r["share"]) for r in decontam.decontaminate(docs, items).collect())
+    assert got == [(1, 1, 1, 3, 1.0), (1, 1, 3, 5, 1.0), (1, 5, 1, 3, 1.0), (1, 5, 3, 5, 1.0), (2, 2, 0, 1, 1.0), (2, 2, 1, 2, 1.0), (4, 1, 3, 5, 1.0), (4, 4, 0, 3, 1.0), (4, 5, 3, 5, 1.0)]
+
+
+def aligned(a, b):
+    """Best local score of two word lists, by the plain table."""
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if x == y else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+    return max(map(max, h))
+
+
+def test_decontamination_matches_aligning_everything(spark):
+    """Every item against every text: flagged are those with the score, and with four words of the item in a row."""
+    items = [(i, prose(12 + 3 * i, 7600 + i)) for i in range(8)]
+    rows = []
+    for i in range(60):
+        w = prose(80, 7700 + i).split()
+        part = edited(items[i % 8][1], i, 0.1 * (i % 6)).split()
+        rows.append((i, " ".join(w[:30] + part[: len(part) * (i % 5 + 1) // 5] + w[30:])))
+    expected = set()
+    for d, text in rows:
+        b = text.split()
+        runs = {tuple(b[k : k + 4]) for k in range(len(b) - 3)}
+        for i, item in items:
+            a = item.split()
+            if any(tuple(a[k : k + 4]) in runs for k in range(len(a) - 3)) and aligned(a, b) >= min(0.4 * 2 * len(a), 50):
+                expected.add((d, i))
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == expected
+    assert 20 < len(expected) < 60
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.1, 1.0), (0.2, 0.95), (0.3, 0.9), (0.4, 0.5)])
+def test_recall_of_edited_copies(spark, share, least):
+    """Items of 40 words with so many words left out, replaced or added, inside other text."""
+    items = [(i, prose(40, 7800 + i)) for i in range(150)]
+    rows = [(i, prose(50, 8900 + i) + " " + edited(x, 900 + i, share) + " " + prose(50, 9300 + i)) for i, x in items]
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    recall = len([i for i in range(150) if (i, i) in found]) / 150
+    print(f"recall at {share}: {recall:.3f}")
+    assert recall >= least
+    assert all(d == i for d, i in found)
+
+
 def test_slices_of_hits(monkeypatch):
     monkeypatch.setattr(decontam, "PLACES", 10)
     rows, times = np.array([0, 0, 1, 2, 2, 2, 3, 4]), np.array([3, 4, 4, 8, 8, 30, 1, 9])

@@ -40,4 +40,6 @@ def test_pipeline(spark):
     assert len(own) >= 0.8 * docs.count()
     got = corpus_pipeline.run(spark, DATA)
     assert {r["doc_id"] for r in got.collect()} == own
-    assert got.columns[:2] == ["doc_id", "size"]
+    assert got.columns == [*docs.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["text"] == text[r["doc_id"]] for r in got.collect())
