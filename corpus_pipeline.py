@@ -1,65 +1,5 @@
-"""A training corpus from ``documents`` in five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline's entry: its stages, and the run over a folder of tables. They live in ``gradeloom.llm.pipeline``."""
 
-from __future__ import annotations
+from gradeloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gradeloom.llm.common import scratch
-from gradeloom.llm.decontam import passages
-from gradeloom.llm.jaccard import jaccard_components
-from gradeloom.llm.language import UNKNOWN, train_language
-from gradeloom.llm.mixing import mix_sources
-from gradeloom.llm.sharding import kd_shards
-
-#: Rows in an Arrow batch: some MB of text, so that Python workers of all stages fit beside an executor's heap.
-BATCH_ROWS = "1000"
-LEAST_SCORE = 0.3  # of a text's language; one with letters has far more unless its words are of no language
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: without letters, or without a likely one."""
-    small_batches(spark)
-    found = train_language(docs).column()
-    return docs.where((found["lang"] != UNKNOWN) & (found["score"] >= LEAST_SCORE))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document of least doc_id; documents without one stay."""
-    small_batches(spark)
-    gone = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-
-
-def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    small_batches(spark)
-    return docs.where(F.size(passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))) == 0)
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources as far as the mix asks for; every document stays."""
-    return mix_sources(docs)
-
-
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row goes: 40 shards of near equal bytes."""
-    small_batches(spark)
-    return kd_shards(docs)
-
-
-STAGES = [("language_id", language_id), ("ngram_jaccard", near_duplicates), ("decontamination", benchmark_leaks), ("source_mixing", source_mix), ("kd_sharding", shards)]
-
-#: The stages learn, align and split by rules that SQL doesn't express; tests hold them against plain versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
