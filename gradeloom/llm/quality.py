@@ -22,7 +22,7 @@ GRADES = 3  # 0 toxic, 1 poor, 2 good
 SAMPLE = 20_000
 #: A hashed feature is learnt if at least so many, and such a share, of the sample's rows have it.
 ROWS, SHARE = 5, 0.002
-SHARDS, ROUNDS, RATE, L1, WORD, SHAPE = 8, 6, 0.5, 2e-3, 0.5, 0.5
+SHARDS, ROUNDS, RATE, L1, WORD, SHAPE = 8, 12, 1.0, 2e-2, 0.5, 0.5
 
 
 def _shape(b: np.ndarray, h: np.ndarray) -> list[int]:

@@ -209,12 +209,36 @@ def test_quality(spark, empty, edge):
     assert sum(x["kept"] == (x["doc_id"] % 3 == 2) for x in held) >= 145
     mean = [np.mean([x["expected_grade"] for x in held if x["doc_id"] % 3 == g]) for g in range(3)]
     assert mean[0] < mean[1] < mean[2]
+    by_grade = [[x["expected_grade"] for x in held if x["doc_id"] % 3 == g] for g in range(3)]
+    for g in (0, 1):  # both thresholds part their grades: share of pairs in order
+        assert np.mean([a < b for a in by_grade[g] for b in by_grade[g + 1]]) > 0.9
     assert quality.score_quality(edge, model).count() == len(EDGE)
     assert quality.score_quality(empty, model).count() == 0
     bare = quality.train_quality(docs, rated.limit(0))
     assert quality.score_quality(docs, bare).where("NOT kept").count() == 0
 
 
+def test_ordinal_step_follows_the_likelihood(monkeypatch):
+    """The step of one row against slopes of its log likelihood, found by small differences."""
+    monkeypatch.setattr(quality, "L1", 0.0)
+    r = np.random.default_rng(8)
+    for grade in range(4):
+        w, cut = r.normal(size=6), np.array([-1.0, 0.2, -0.4])
+        at, x = np.array([0, 2, 5]), r.random(3)
+
+        def loss(w, cut, grade=grade, at=at, x=x):
+            threshold = cut[0] + np.concatenate(([0], np.cumsum(np.exp(cut[1:]))))
+            above = np.concatenate(([1.0], 1 / (1 + np.exp(threshold - w[at] @ x)), [0.0]))
+            return -np.log(above[grade] - above[grade + 1])
+
+        slope = lambda f, v: np.array([(f(v + e) - f(v - e)) / 2e-6 for e in 1e-6 * np.eye(len(v))])
+        own = w.copy(), np.ones(6), cut.copy(), np.full(3, 1e-2)
+        quality.ordinal_pass(*own, [(grade, at, x)])
+        g, d = slope(lambda v: loss(v, cut), w), slope(lambda v: loss(w, v), cut)
+        assert np.allclose(own[0], w - quality.RATE * g / np.sqrt(1 + g * g), atol=1e-5)
+        assert np.allclose(own[2], cut - 0.1 * d / (np.sqrt(1e-2 + d * d) + 1e-6), atol=1e-5)
+
+
 # ---- 4
 
 
