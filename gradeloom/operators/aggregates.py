@@ -52,12 +52,17 @@ def section_score_map(graded: DataFrame) -> DataFrame:
 
 
 def subject_scores(graded: DataFrame, attempts: DataFrame, questions: DataFrame) -> DataFrame:
-    """Net marks of each attempt in every subject of its test, 0 without answers."""
+    """Net marks of each attempt in every subject of its test, 0 without answers.
+
+    A test's subjects, and an attempt's sums by subject, are few: they meet as one row for each attempt and are unfolded
+    after, so what is shuffled is attempts, not attempts times subjects."""
     subject = filled_or(F.col("subject"), "General")
-    domain = questions.select("test_id", subject.alias("subject")).distinct()
+    domain = questions.select("test_id", subject.alias("subject")).groupBy("test_id").agg(F.collect_set("subject").alias("subjects"))
     got = graded.groupBy("attempt_id", subject.alias("subject")).agg(F.sum("marks_obtained").alias("got"))
-    every = attempts.select(F.col("id").alias("attempt_id"), "test_id").join(domain, "test_id")
-    return every.join(got, ["attempt_id", "subject"], "left").select("attempt_id", "test_id", "subject", F.round(F.coalesce("got", F.lit(0.0)), 4).alias("score"))
+    got = got.groupBy("attempt_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "got"))).alias("got"))
+    every = attempts.select(F.col("id").alias("attempt_id"), "test_id").join(domain, "test_id").join(got, "attempt_id", "left")
+    rows = every.select("attempt_id", "test_id", F.explode("subjects").alias("subject"), "got")
+    return rows.select("attempt_id", "test_id", "subject", F.round(F.coalesce(F.try_element_at("got", F.col("subject")), F.lit(0.0)), 4).alias("score"))
 
 
 def subject_scores_pivot(scores: DataFrame, subjects: list[str]) -> DataFrame:

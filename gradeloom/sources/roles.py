@@ -126,11 +126,14 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer per (attempt, question): the greatest line in order of all its columns; a partial aggregate keeps the
-    shuffle to one row per key and task. One line in ten names a question of any paper, the others one of the attempt's."""
+    """One answer per (attempt, question): the greatest line in order of all its columns. Lines go by their attempt, so the
+    joins with attempts and the sums by attempt that follow find them in place; an attempt has few lines for a question, so
+    combining them before would spare no shuffle. One line in ten names a question of any paper, the others one of the
+    attempt's."""
     line = F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice")
     question = F.expr(f"CASE WHEN l_partkey % 10 = 9 THEN l_partkey ELSE l_orderkey div {ATTEMPTS} * {QUESTIONS} + l_partkey % {QUESTIONS} END")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", question.alias("question_id")).agg(F.max(line).alias("x"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", question.alias("question_id"), line.alias("x")).repartition("l_orderkey")
+    rows = lines.groupBy("l_orderkey", "question_id").agg(F.max("x").alias("x"))
     return rows.selectExpr(
         "l_orderkey AS attempt_id",
         "question_id",
