@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import sums_before
+
 END = "<|end|>\n"
 
 
@@ -54,26 +56,20 @@ def rotate_perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("syst
         )
 
     parts = F.transform("turns", lambda t: F.struct(tag(t).alias("tag"), F.concat(escaped(t["text"]), F.lit(END)).alias("body"), t["role"].eqNullSafe(F.col("perspective")).alias("own")))
-    kind = "struct<at:int,spans:array<string>,chars:int>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).alias("chars")).cast(kind)
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["tag"])
-        end = start + F.length(p["body"])
-        span = F.concat_ws(":", start, end)
-        return F.struct(
-            end.alias("at"),
-            F.when(p["own"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-            (acc["chars"] + F.when(p["own"], end - start).otherwise(0)).alias("chars"),
-        ).cast(kind)
-
-    done = seen.withColumn("parts", parts).withColumn("mask", F.aggregate("parts", begin, step))
+    before = sums_before(F.transform("parts", lambda p: F.length(p["tag"]) + F.length(p["body"])))
+
+    def span(p: Column, at: Column) -> Column:
+        start = at + F.length(p["tag"])
+        return F.when(p["own"], F.concat_ws(":", start, start + F.length(p["body"])))
+
+    learnt = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.when(p["own"], F.length(p["body"])).otherwise(0))
+    done = seen.withColumn("parts", parts).withColumn("spans", F.array_compact(F.zip_with("parts", before, span)))
     return done.select(
         "conv_id",
         "perspective",
         F.size("parts").cast("long").alias("n_turns"),
-        F.size("mask.spans").cast("long").alias("n_spoken"),
+        F.size("spans").cast("long").alias("n_spoken"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["tag"], p["body"])), "").alias("text"),
-        F.array_join("mask.spans", ",").alias("mask"),
-        F.col("mask.chars").cast("long").alias("masked_chars"),
+        F.array_join("spans", ",").alias("mask"),
+        learnt.alias("masked_chars"),
     )

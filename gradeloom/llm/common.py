@@ -114,3 +114,32 @@ class Links:
 
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def sums_before(values: Column) -> Column:
+    """For each item of an array<int> the sum of the items before it.
+
+    Items are summed in blocks of about the root of their number, and the blocks' sums likewise: an array that grows item
+    by item is copied for each, which long arrays can't bear."""
+
+    def running(a: Column) -> Column:
+        zero = F.array(F.lit(0)).cast("array<int>")
+        return F.aggregate(a, zero, lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x).cast("array<int>"))
+
+    def of(a: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a)))).cast("int")
+        last = F.greatest(F.lit(0), F.floor((F.size(a) - 1) / width)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: running(F.slice(a, i * width + 1, width)))
+        return let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        starts = running(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        own = F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, at: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: at + x))
+        return F.flatten(own)
+
+    return let(values, of)

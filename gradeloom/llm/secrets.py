@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import bit_filter, filter_bits, maybe_in, scratch, text_or_empty
+from gradeloom.llm.common import bit_filter, filter_bits, let, maybe_in, scratch, sums_before, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,7 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 SMALL_CLASS = 8  # a character class up to this size is written out
 
 
@@ -106,21 +107,20 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
 
 def _matches(rule: Rule, order: int) -> Column:
     """array<struct(start, kind order, end)> of the rule's spans in column ``text``, from the pieces between matches."""
-    whole = F.regexp_extract_all("text", F.lit(f"({rule.pattern})" if not rule.pattern.startswith("(?i)") else f"(?i)({rule.pattern[4:]})"), F.lit(1))
-    group = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    between = F.split("text", rule.pattern)
-    kind = "struct<at:int,spans:array<struct<start:int,kind:int,end:int>>>"
-    each = F.arrays_zip(whole.alias("w"), group.alias("g"), F.transform(F.slice(between, F.lit(1), F.size(whole)), F.length).alias("gap"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans")).cast(kind)
+    whole = F.regexp_extract_all("text", F.lit(f"({rule.pattern})" if not rule.pattern.startswith("(?i)") else f"(?i)({rule.pattern[4:]})"), F.lit(1)).alias("w")
+    group = [F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)).alias("g")] if rule.group else []
+    between = F.transform(F.split("text", rule.pattern), F.length).alias("gap")  # and a last one, after all matches
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["w"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        spans = F.when(F.length(x["g"]) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans")).cast(kind)
+    def span(x: Column, before: Column) -> Column:
+        start = before + x["gap"]
+        own = F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + F.length(x["w"])).alias("end"))
+        return F.when(F.length(x["g" if group else "w"]) >= rule.least, own)
 
-    return F.when(F.regexp_like("text", F.lit(rule.pattern)), F.aggregate(each, empty, step, lambda a: a["spans"])).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    def spans(each: Column) -> Column:
+        return F.array_compact(F.zip_with(each, sums_before(F.transform(each, lambda x: x["gap"] + F.length(x["w"]))), span))
+
+    matches = F.filter(F.arrays_zip(whole, *group, between), lambda x: x["w"].isNotNull())
+    return F.when(F.regexp_like("text", F.lit(rule.pattern)), let(matches, spans).cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -145,7 +145,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = l
         asked = scratch(asked, "candidates")
         bits = filter_bits(asked.count())
         rows = maybe_in(rows, "key", scratch(bit_filter(asked, "key", bits), "filter"), "may", bits)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(SPANS)
     for i, r in enumerate(rules):
         found = _matches(r, i)
         rows = rows.withColumn(f"s_{r.kind}", found if r.kind in full else F.when(F.col("may"), found).otherwise(none))
