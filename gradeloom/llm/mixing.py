@@ -18,6 +18,7 @@ from gradeloom.llm.common import scratch, text_or_empty
 #: Share of the greatest possible entropy, most passes over a source, tokens in a block.
 ENTROPY, REPEATS, BLOCK_TOKENS = 0.9, 1.5, 1_000_000
 GRID = 33
+BAND_BLOCKS = 1024  # that one window sums up
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,6 +49,18 @@ def find_exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float =
     return min(1.0, max(lo, limit))
 
 
+def spent_before(per_block: DataFrame, band_blocks: int = BAND_BLOCKS) -> DataFrame:
+    """Adds ``before``, what a pass spends on the blocks before: summed by bands of blocks and then inside a band, so that no
+    window holds all blocks of a large source."""
+    banded = per_block.withColumn("band", F.floor(F.col("block") / band_blocks))
+    earlier = lambda w: F.coalesce(F.sum("spent").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = banded.groupBy("source", "pass", "band").agg(F.sum("spent").alias("spent"))
+    bands = bands.select(F.struct("source", "pass", "band").alias("at"), earlier(Window.partitionBy("source", "pass").orderBy("band")).alias("in_bands"))
+    inside = banded.withColumn("inside", earlier(Window.partitionBy("source", "pass", "band").orderBy("block")))
+    found = inside.join(bands, F.struct("source", "pass", "band") == F.col("at"))
+    return found.withColumn("before", F.col("in_bands") + F.col("inside")).drop("at", "in_bands", "inside", "band")
+
+
 def draw_mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, budget: float | None = None) -> DataFrame:
     """One row per drawn row: key, doc_id, source, n_tokens, copies, pass, block, pos.
 
@@ -74,9 +87,8 @@ def draw_mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
     block = F.pmod(F.xxhash64("key", "pass", F.lit("block")), F.col("blocks"))
     dealt = seen.select("key", "doc_id", "source", "n_tokens", "copies", "pass", block.alias("block"), F.xxhash64("key", "pass").alias("rank"), ((F.col("passes") - F.col("pass")) * F.col("tokens")).alias("left"))
     # blocks of a source come in the order of their number, which the hash of a pass deals anew
-    per_block = dealt.groupBy("source", "pass", "block").agg(F.sum(cost).alias("spent"), F.first("left").alias("left"))
-    before = F.coalesce(F.sum("spent").over(Window.partitionBy("source", "pass").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_block = per_block.withColumn("before", before).where(F.col("before") < F.col("left"))
+    per_block = scratch(dealt.groupBy("source", "pass", "block").agg(F.sum(cost).alias("spent"), F.first("left").alias("left")), "mix-blocks")
+    per_block = spent_before(per_block).where(F.col("before") < F.col("left"))
     own = Window.partitionBy("source", "pass", "block").orderBy("rank", "key")
     paid = F.coalesce(F.sum(cost).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = dealt.drop("left").withColumn("paid", paid).withColumn("pos", F.row_number().over(own) - 1)

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, decontam, dedup, jaccard, language, mixing, quality, secrets, sharding, tokencount
+from gradeloom.llm import chat, common, decontam, dedup, jaccard, language, mixing, quality, secrets, sharding, tokencount
 from gradeloom.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -147,6 +149,14 @@ def test_temperature_and_ftrl():
     assert (w[:, 2:] == 0).all()  # inside the L1 band
 
 
+def test_sums_before(spark):
+    r = random.Random(3)
+    arrays = [[r.randrange(50) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 15, 16, 17, 1000)] + [None]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>")
+    got = {x["i"]: x["s"] for x in rows.select("i", common.sums_before(F.col("a")).alias("s")).collect()}
+    assert got == {i: None if a is None else list(itertools.accumulate(a[:-1], initial=0)) if a else [] for i, a in enumerate(arrays)}
+
+
 # ---- 2
 
 
@@ -173,6 +183,9 @@ def test_secrets(spark, edge, empty):
         assert r["spans"] == line(own)
         assert r["base_sha256"] == hashlib.sha256(line([s for s in own if s[1] < 3]).encode()).hexdigest()
         assert r["n_hex"] == sum(k == 2 for _, k, _ in own)
+    many = " ".join(f"{i:024x}" for i in range(20_000))  # as many spans in one text
+    found = secrets.scan_secrets(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()
+    assert found["n_hex"] == 20_000 and found["spans"] == ",".join(f"hex:{25 * i}:{25 * i + 24}" for i in range(20_000))
     assert secrets.scan_secrets(edge).count() == len(EDGE)
     assert secrets.scan_secrets(empty).count() == 0
 
@@ -707,3 +720,45 @@ def test_mixing(spark, edge, empty):
     assert half == pytest.approx(sum(tokens.values()) / 2, rel=0.1)
     assert mixing.mix_sources(edge).select("doc_id").distinct().count() == len({r[0] for r in EDGE})
     assert mixing.draw_mix(empty).count() == 0
+
+
+def test_drawn_blocks_match_a_plain_pass(spark):
+    rows = [(i if i % 50 else None, prose(3 + i % 9, i % 290), "en", (None, "s", "tt", "tt", "tt", "u", "u")[i % 7], 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for budget in (None, 1500.0):
+        drawn = mixing.draw_mix(docs, 0.97, 4.0, block_tokens=100, budget=budget).collect()
+        groups, size = collections.Counter(), {}
+        for x in docs.select(mixing.row_key().alias("key"), "doc_id", "source", "text").collect():
+            groups[x["key"], x["doc_id"], x["source"]] += 1
+            size[x["key"]] = max(1, len(x["text"].split()))
+        tokens = collections.Counter()
+        for (key, _, source), copies in groups.items():
+            tokens[source] += copies * size[key]
+        total = sum(tokens.values())
+        share = {s: n / total for s, n in tokens.items()}
+        e = mixing.find_exponent(spark.createDataFrame(list(share.items()), "source string, share double"), 0.97, 4.0)
+        norm = sum(v**e for v in share.values())
+        spend = budget or max(v ** (1 - e) for v in share.values()) * norm * total
+        want = []
+        for source, n in tokens.items():
+            passes = share[source] ** e / norm * spend / n
+            passes = round(passes) if abs(passes - round(passes)) < 1e-9 else passes
+            own = spark.createDataFrame([(k,) for (k, _, s) in groups if s == source], "key long").distinct()
+            for p in range(math.ceil(passes)):
+                order = own.select("key", F.pmod(F.xxhash64("key", F.lit(p).cast("long"), F.lit("block")), F.lit(-(-n // 100))).alias("block"), F.xxhash64("key", F.lit(p).cast("long")).alias("rank")).collect()
+                spent, place = 0, collections.Counter()
+                for x in sorted(order, key=lambda x: (x["block"], x["rank"], x["key"])):
+                    if spent < (passes - p) * n:
+                        want.append((x["key"], source, p, x["block"], place[x["block"]]))
+                    place[x["block"]] += 1
+                    spent += size[x["key"]] * sum(c for (k, _, s), c in groups.items() if (k, s) == (x["key"], source))
+        assert sorted(want, key=repr) == sorted(((x["key"], x["source"], x["pass"], x["block"], x["pos"]) for x in drawn), key=repr)
+
+
+def test_spending_by_bands(spark):
+    r = random.Random(5)
+    rows = [(s, p, b, r.randrange(100)) for s in (None, "a") for p in range(2) for b in r.sample(range(60), 40)]
+    got = mixing.spent_before(spark.createDataFrame(rows, "source string, pass int, block long, spent long"), band_blocks=7).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x["before"] == sum(n for s, p, b, n in rows if (s, p) == (x["source"], x["pass"]) and b < x["block"])
