@@ -24,8 +24,8 @@ SUBJECT_NAMES = {
 
 
 def python_strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; each run of it is looked at once, however long."""
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def filled_or(c: Column, default) -> Column:
@@ -43,7 +43,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.lower(c), r"[^a-z0-9\p{L}\p{N}]+", "")  # ASCII first: asking for a category is slow
 
 
 def content_hash(text: Column, options: Column) -> Column:
@@ -53,8 +53,7 @@ def content_hash(text: Column, options: Column) -> Column:
 
 
 def _loose(c: Column, label: str) -> Column:
-    one = F.regexp_replace(python_strip(F.lower(c)), r"(?U)\s+", " ")
-    return F.regexp_replace(F.regexp_replace(one, label, ""), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.regexp_replace(python_strip(F.lower(c)), label, ""), "[^a-z0-9]+", "")
 
 
 def guard_hash(text: Column, options: Column) -> Column:

@@ -94,7 +94,8 @@ def fingerprints(bank: DataFrame) -> DataFrame:
 
 def signatures(prints: DataFrame) -> DataFrame:
     """What duplicates are found by: id, hashes, intent, confidence, a hash of the anchor, its distinct tokens."""
-    return prints.select("id", "content_hash", "guard_hash", "intent", "confidence", F.sha2("anchor", 256).alias("anchor_hash"), F.array_distinct(tokenize(F.col("anchor"))).alias("tokens"))
+    tokens = F.array_remove(F.array_distinct(F.split("anchor", " ")), "")  # an anchor is its tokens, parted by blanks
+    return prints.select("id", "content_hash", "guard_hash", "intent", "confidence", F.sha2("anchor", 256).alias("anchor_hash"), tokens.alias("tokens"))
 
 
 def near_duplicate_pairs(signed: DataFrame) -> DataFrame:

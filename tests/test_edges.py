@@ -2,6 +2,8 @@
 
 import datetime
 import os
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,25 @@ def test_jdbc_reads_rows_without_a_key_and_beyond_the_bounds(spark):
     got = files.read_jdbc(spark, url, "USERS", "ID", 0, 20, 4, **options)
     assert got.rdd.getNumPartitions() == 4
     assert found(got) == found(rows)
+
+
+def test_text_functions_against_plain_python(spark):
+    """Strip, both question hashes' bodies and anchor tokens over white space of several kinds, letters of several scripts."""
+    texts = ["", " ", " a ", " É  A-1 ", "(12)  Of\nWhat?", "[3] x_y", "7.  z", "1 ) e", "ß 漢字 ٣", "a a b", "\t12) 12) c\r\n"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+    label = r"(?U)^[\(\[]?\d+[\)\.\]]\s*"
+    got = df.select("v", t.python_strip(F.col("v")).alias("s"), t.letters(F.col("v")).alias("l"), t._loose(F.col("v"), label).alias("g")).collect()
+    for r in got:
+        low = r["v"].lower().strip()
+        assert r["s"] == r["v"].strip()
+        assert r["l"] == "".join(c for c in r["v"].lower() if unicodedata.category(c)[0] in "LN")
+        assert r["g"] == re.sub("[^a-z0-9]+", "", re.sub(r"^[\(\[]?\d+[\)\.\]]\s*", "", low))
+    none = F.lit(None).cast("array<string>")
+    prints = df.select(F.col("i").alias("id"), *(F.lit("").alias(c) for c in ("content_hash", "guard_hash", "intent")), F.lit(0.5).alias("confidence"), t.anchor_text(F.col("v"), none).alias("anchor"))
+    for r in papers.signatures(prints).collect():
+        assert r["tokens"] == list(dict.fromkeys(re.findall("[a-z0-9]+", texts[r["id"]].lower())))
+
+
+def test_a_long_run_of_white_space_is_stripped_in_one_pass(spark):
+    inner = F.concat(F.lit(" a"), F.repeat(F.lit(" "), F.lit(1_000_000)), F.lit("b "))
+    assert spark.range(1).select(F.length(t.python_strip(inner)).alias("n")).first()["n"] == 1_000_002
