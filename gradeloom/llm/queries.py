@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradeloom.llm import pipeline
 from gradeloom.llm.chat import rotate_perspectives
+from gradeloom.llm.common import let
 from gradeloom.llm.decontam import decontaminate
 from gradeloom.llm.dedup import exact_dedup
 from gradeloom.llm.jaccard import jaccard_components
 from gradeloom.llm.language import identify_language
+from gradeloom.llm.lexical import search_lexical
 from gradeloom.llm.mixing import draw_mix
 from gradeloom.llm.quality import graded, score_quality, train_quality
+from gradeloom.llm.runs import find_runs
 from gradeloom.llm.secrets import RULES, scan_secrets
 from gradeloom.llm.sharding import kd_shards
+from gradeloom.llm.simhash import simhash_components
 from gradeloom.llm.tokencount import count_tokens
 
 
@@ -64,8 +69,45 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw_mix(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_lexical(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where one text in ten goes on periodically from a word on: h = crc32 of the decimal doc_id, g = h div
+    10; if h % 10 = 0, each word i >= a is the original word a + (i - a) % p. A text without doc_id stays as it is."""
+
+    def tail(words: Column) -> Column:
+        n = F.size(words)
+        a = (F.col("g") % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + F.col("g") % 8)).cast("int")
+        turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i >= a, a + (i - a) % p).otherwise(i)))
+        return F.when(n > 0, F.array_join(turned, " ")).otherwise("")
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    turned = F.when(F.col("text").isNotNull() & (F.col("h") % 10 == 0), let(words, tail)).otherwise(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", h).withColumn("g", F.floor(F.col("h") / 10)).select("doc_id", turned.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(periodic_tails(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda top, x: F.when(top.isNull() | (x["length"] * top["period"] > top["length"] * x["period"]), x).otherwise(top))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col("best")[c].alias(c) for c in ("start", "length", "period")), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_secret_scan, op3_quality, op4_chat_rotation, op5_exact_dedup, op6_ngram_jaccard, op7_kd_sharding, op8_token_counts, op9_decontamination, op10_mixing)
+    own = (op1_language_id, op2_secret_scan, op3_quality, op4_chat_rotation, op5_exact_dedup, op6_ngram_jaccard, op7_kd_sharding, op8_token_counts, op9_decontamination, op10_mixing, op11_lexical_search, op12_periodic_runs, op13_simhash)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
@@ -130,6 +172,20 @@ SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (own) AS n_spo
 FROM y GROUP BY conv_id, perspective
 """
 
+_LEXICAL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t),
+d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM t),
+p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM d GROUP BY doc_id, term),
+v AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+k AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+x AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM k JOIN v USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS i FROM x WHERE score > 0)
+SELECT item_id, CAST(i AS INTEGER) AS rank, doc_id, score FROM r WHERE i <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _secrets_sql(), "op4_chat_rotation": _CHAT, "op5_exact_dedup": _DEDUP, "op6_ngram_jaccard": _JACCARD}
+    return {"op2_secret_scan": _secrets_sql(), "op4_chat_rotation": _CHAT, "op5_exact_dedup": _DEDUP, "op6_ngram_jaccard": _JACCARD, "op11_lexical_search": _LEXICAL}

@@ -62,15 +62,15 @@ def chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(b: np.ndarray, off: np.ndarray, loose: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(b: np.ndarray, off: np.ndarray, loose: bool = False, latin: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, first word of each row (rows + 1), and byte ranges of the words.
 
     b: bytes of some rows, off: their offsets from 0. Words are runs without [\\x20\\x09-\\x0D], A-Z lower-cased;
-    loose: runs of ASCII letters and digits and other characters, Latin-1 capitals lower-cased as well.
+    loose: runs of ASCII letters and digits and other characters, with ``latin`` Latin-1 capitals lower-cased as well.
     """
     n = len(b)
     low = _LOWER[b]
-    if loose and n > 1:
+    if loose and latin and n > 1:
         cap = np.flatnonzero((b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)) + 1
         low[cap] += 0x20
     inside = ~(_NOT_WORD if loose else _SPACE)[b]
