@@ -45,10 +45,12 @@ def section_scores(graded: DataFrame) -> DataFrame:
 
 
 def section_score_map(graded: DataFrame) -> DataFrame:
-    """The same as one map<subject, map<section, score>> for each attempt."""
+    """The same as one map<subject, map<section, score>> for each attempt, both in order of their names."""
     flat = section_scores(graded)
-    by_subject = flat.groupBy("attempt_id", "subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "score")))).alias("sections"))
-    return by_subject.groupBy("attempt_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "sections"))).alias("section_results"))
+    sections = flat.groupBy("attempt_id", "subject").agg(F.array_sort(F.collect_list(F.struct("section", "score"))).alias("sections"))
+    subjects = sections.groupBy("attempt_id").agg(F.array_sort(F.collect_list(F.struct("subject", "sections"))).alias("subjects"))
+    nested = F.map_from_entries(F.transform("subjects", lambda s: F.struct(s["subject"], F.map_from_entries(s["sections"]))))
+    return subjects.select("attempt_id", nested.alias("section_results"))
 
 
 def subject_scores(graded: DataFrame, attempts: DataFrame, questions: DataFrame) -> DataFrame:

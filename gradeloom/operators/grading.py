@@ -48,7 +48,18 @@ def grade_answers(answers: DataFrame, questions: DataFrame, attempts: DataFrame,
     """
     key = questions.select(F.col("id").alias("question_id"), F.col("test_id").alias("q_test"), "question_type", "correct_option", "marks", "subject", "section")
     sat = attempts.select(F.col("id").alias("attempt_id"), "test_id").join(tests.select(F.col("id").alias("test_id"), penalty(F.col("negative_marks")).alias("penalty")), "test_id")
-    rows = answers.join(sat, "attempt_id").join(key, "question_id").where("q_test = test_id")
+    return marked(answers.join(sat, "attempt_id").join(key, "question_id").where("q_test = test_id"))
+
+
+def grade_in_place(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """The same over a layout by cell: the answers stay where they are. Both have (test_id, slot), questions their test's
+    penalty."""
+    key = questions.select("test_id", "slot", "question_id", "question_type", "correct_option", "marks", "subject", "section", penalty(F.col("test_negative")).alias("penalty"))
+    return marked(answers.join(key, ["test_id", "slot", "question_id"]))
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """Adds is_correct, attempted, net and marks_obtained to answers that have their question's key and penalty."""
     right = is_correct(F.col("question_type"), F.col("selected_option"), F.col("answer_text"), F.col("correct_option"))
     tried = F.col("selected_option").isNotNull() | F.col("answer_text").isNotNull()
     rows = rows.withColumn("is_correct", right).withColumn("attempted", tried)
@@ -57,9 +68,9 @@ def grade_answers(answers: DataFrame, questions: DataFrame, attempts: DataFrame,
     return rows.withColumn("net", net).withColumn("marks_obtained", shown)
 
 
-def attempt_scores(graded: DataFrame) -> DataFrame:
-    """Score of each attempt, truncated toward zero."""
-    return graded.groupBy("attempt_id").agg(F.sum("net").cast("int").alias("score"), F.count("*").alias("graded"))
+def attempt_scores(graded: DataFrame, *cell: str) -> DataFrame:
+    """Score of each attempt, truncated toward zero. ``cell``: columns that an attempt decides and its rows are dealt by."""
+    return graded.groupBy(*cell, "attempt_id").agg(F.sum("net").cast("int").alias("score"), F.count("*").alias("graded")).drop(*cell)
 
 
 def rank_questions(questions: DataFrame) -> DataFrame:

@@ -62,7 +62,18 @@ def questions_left_answers(attempts: DataFrame, questions: DataFrame, graded: Da
     q = questions.select("test_id", F.col("id").alias("question_id"), "question_number", "question_type", "correct_option", "marks")
     t = tests.select(F.col("id").alias("test_id"), "question_paper_url")
     got = graded.select("attempt_id", "question_id", "is_correct", "marks_obtained", "time_spent_seconds", "selected_option", "answer_text")
-    rows = attempts.select(F.col("id").alias("attempt_id"), "test_id").join(t, "test_id").join(q, "test_id").join(got, ["attempt_id", "question_id"], "left")
+    return _answer_rows(attempts.select(F.col("id").alias("attempt_id"), "test_id").join(t, "test_id").join(q, "test_id").join(got, ["attempt_id", "question_id"], "left"))
+
+
+def questions_left_answers_in_place(attempts: DataFrame, questions: DataFrame, graded: DataFrame) -> DataFrame:
+    """The same over a layout by cell (test_id, slot), where nothing is moved."""
+    q = questions.select("test_id", "slot", "question_id", "question_number", "question_type", "correct_option", "marks", "question_paper_url")
+    got = graded.select("test_id", "slot", "attempt_id", "question_id", "is_correct", "marks_obtained", "time_spent_seconds", "selected_option", "answer_text")
+    every = attempts.select("test_id", "slot", "attempt_id").join(q, ["test_id", "slot"])
+    return _answer_rows(every.join(got, ["test_id", "slot", "attempt_id", "question_id"], "left"))
+
+
+def _answer_rows(rows: DataFrame) -> DataFrame:
     number = F.col("question_type").isin("NUMERIC", "INTEGER")
     return rows.select(
         "attempt_id", "question_id", "question_number", F.coalesce("is_correct", F.lit(False)).alias("is_correct"), F.coalesce("marks_obtained", F.lit(0.0)).alias("marks_obtained"),
@@ -91,12 +102,22 @@ def tests_with_config(tests: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def question_hierarchy(questions: DataFrame, chapters: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Chapter and subject name of each question; General where there is no subject."""
     c = chapters.select(F.col("id").alias("chapter_id"), F.col("name").alias("chapter"), "subject_id")
     s = subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject_name"))
     rows = questions.select("id", "chapter_id").join(c, "chapter_id", "left").join(s, "subject_id", "left")
     return rows.select("id", "chapter", F.coalesce("subject_name", F.lit("General")).alias("subject_name"))
 
 
+def attempt_subject(attempts: DataFrame, tests: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Title of each attempt's test and the name of the test's subject, General where there is none. Names meet the tests
+    first, so attempts are joined once."""
+    s = subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject_name"))
+    t = tests.select(F.col("id").alias("test_id"), "title", "subject_id").join(s, "subject_id", "left")
+    rows = attempts.select(F.col("id").alias("attempt_id"), "student_id", "test_id").join(t, "test_id", "left")
+    return rows.select("attempt_id", "student_id", "test_id", "title", F.coalesce("subject_name", F.lit("General")).alias("subject_name"))
+
+
 def range_match(questions: DataFrame, plan: DataFrame) -> DataFrame:
     """The first section, by (start_q, end_q), of a question's test and subject whose range holds its number."""
     q = questions.select("id", "test_id", subject_key(F.col("subject")).alias("s"), F.coalesce("question_number", F.lit(0)).alias("no"), section_key(F.col("section")).alias("k"))
@@ -137,6 +158,13 @@ def unattempted(attempts: DataFrame, questions: DataFrame, answers: DataFrame) -
     return every.join(answers.select("attempt_id", "question_id"), ["attempt_id", "question_id"], "left_anti").select("attempt_id", "question_id")
 
 
+def unattempted_in_place(attempts: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """The same over a layout by cell (test_id, slot), where nothing is moved."""
+    every = attempts.select("test_id", "slot", "attempt_id").join(questions.select("test_id", "slot", "question_id"), ["test_id", "slot"])
+    by = ["test_id", "slot", "attempt_id", "question_id"]
+    return every.join(answers.select(*by), by, "left_anti").select("attempt_id", "question_id")
+
+
 def first_attempts(attempts: DataFrame, tests: DataFrame, users: DataFrame) -> DataFrame:
     """The first attempt of each (student, test) with what its alert says."""
     first = attempts.groupBy("student_id", "test_id").agg(F.min_by(F.struct("id", "started_at"), F.struct("started_at", "id")).alias("a"))

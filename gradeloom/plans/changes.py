@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeloom.operators import grading
 from gradeloom.operators import maintenance as op
 from gradeloom.plans.grading import GRADED, now
 from gradeloom.plans.registry import query
@@ -88,8 +87,8 @@ def evolve_schema(spark, d):
 
 @query("SELECT user_id, max(ts) AS last_active_at, arg_max(event_type, ts) AS current_path FROM events GROUP BY 1")
 def stream_heartbeat_latest(spark, d):
-    out = activity.run_to_table(activity.latest_heartbeat(activity.event_stream(spark, d)), folder(spark, "heartbeat"), "complete")
-    return out.withColumn("last_active_at", F.col("last_active_at").cast("timestamp_ntz"))
+    out = activity.heartbeats(spark, folder(spark, "heartbeat")).drain(activity.heartbeat_rows(activity.event_stream(spark, d)))
+    return out.select("user_id", F.col("last_active_at").cast("timestamp_ntz").alias("last_active_at"), "current_path")
 
 
 @query("""WITH m AS (SELECT user_id, unnest(range(5)) AS i, date_trunc('minute', ts) AS t FROM events) SELECT t + to_minutes(i + 1) AS until, count(DISTINCT user_id) AS active FROM m GROUP BY 1""")
@@ -99,7 +98,7 @@ def stream_active_now(spark, d):
 
 @query("SELECT user_id AS attempt_id, count(*) AS switches FROM events WHERE event_type = 'view' GROUP BY 1")
 def stream_tab_switches(spark, d):
-    return activity.run_to_table(activity.tab_switches(activity.event_stream(spark, d)), folder(spark, "tabs"), "complete")
+    return activity.counters(spark, folder(spark, "tabs"), "attempt_id long", "switches").drain(activity.tab_switches(activity.event_stream(spark, d)))
 
 
 @query("SELECT event_id, attempt_id, n, 'Tab switch ' || n || ' recorded' AS warning FROM (SELECT event_id, user_id AS attempt_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view')")
@@ -109,7 +108,7 @@ def tab_switch_warnings(spark, d):
 
 @query("SELECT user_id AS attempt_id, k AS question, count(*) AS seconds FROM ev WHERE event_type = 'click' GROUP BY 1, 2")
 def stream_time_on_question(spark, d):
-    return activity.run_to_table(activity.ticks_per_question(activity.event_stream(spark, d)), folder(spark, "ticks"), "complete")
+    return activity.counters(spark, folder(spark, "ticks"), "attempt_id long, question int", "seconds").drain(activity.ticks_per_question(activity.event_stream(spark, d)))
 
 
 @query("""SELECT attempt_id, question, CAST(sum(s) AS BIGINT) AS seconds FROM (SELECT user_id AS attempt_id, k AS question, coalesce((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) // 1000000, 0) AS s FROM ev) GROUP BY 1, 2""")
@@ -137,10 +136,11 @@ def stream_auto_submit(spark, d):
   x AS (SELECT s.id, p.payment_id, coalesce(g, s.grade) AS grade FROM p JOIN students s ON s.id = p.id WHERE NOT s.is_paid)
   SELECT id, payment_id, grade, grade || 'th' AS standard, CASE grade WHEN 11 THEN TIMESTAMP '2001-03-31 23:59:59' WHEN 12 THEN TIMESTAMP '2001-05-31 23:59:59' ELSE TIMESTAMP '2001-06-30 12:00:00' END AS premium_expiry FROM x""")
 def stream_payment_capture(spark, d):
-    """Captured payments are drained from the stream; the merge takes the first of each unpaid user."""
+    """Captured payments merge into the table of paid users, batch by batch; the first of each unpaid user counts."""
     paid = activity.event_stream(spark, d).where("event_type = 'purchase'").selectExpr("event_id", "user_id", "ts", "CASE WHEN k % 3 = 0 THEN 11 WHEN k % 3 = 1 THEN 12 END AS grade")
-    captured = activity.run_to_table(paid, folder(spark, "payments"))
-    return activity.captured_payments(captured, roles.students(spark, d), now())
+    students = roles.students(spark, d)
+    table = activity.payments(spark, folder(spark, "payments")).drain(paid, lambda rows, batch: activity.payment_rows(rows, students, batch))
+    return activity.paid_users(table, students, now())
 
 
 UPDATES = ["event_id", "ts", "k AS job_id", "CASE WHEN event_type = 'click' THEN CAST(value AS INT) END AS progress", "CASE WHEN event_type = 'error' THEN 'failed ' || event_id END AS message", "CASE WHEN event_type IN ('signup', 'error') THEN event_type END AS status"]
@@ -151,8 +151,8 @@ JOBS = """j AS (SELECT k AS job_id, arg_max(CAST(trunc(value) AS INT), ts) FILTE
 
 @query(f"WITH {JOBS} SELECT * FROM j")
 def stream_job_status(spark, d):
-    out = activity.run_to_table(activity.job_status(activity.event_stream(spark, d).selectExpr(*UPDATES)), folder(spark, "jobs"), "complete")
-    return out.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+    table = activity.jobs(spark, folder(spark, "jobs")).drain(activity.job_rows(activity.event_stream(spark, d).selectExpr(*UPDATES)))
+    return activity.job_values(table).withColumns({"job_id": F.col("job_id").cast("int"), "updated_at": F.col("updated_at").cast("timestamp_ntz")})
 
 
 @query(f"WITH {JOBS} SELECT job_id, updated_at FROM j WHERE updated_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR")
@@ -170,13 +170,13 @@ def stream_job_expiry(spark, d):
 
 @query(f"WITH {GRADED} SELECT attempt_id, question_id, is_correct, marks_obtained FROM graded")
 def stream_grade(spark, d):
-    """Answers arrive as files and are graded against static keys."""
-    answers = roles.answers(spark, d)
-    answers.write.parquet(inbox := folder(spark, "inbox"))
-    arriving = spark.readStream.schema(answers.schema).parquet(inbox)
-    keys = (roles.questions(spark, d), roles.attempts(spark, d), roles.tests(spark, d))
-    graded = activity.grade_as_they_arrive(arriving, lambda rows: grading.grade_answers(rows, *keys)).select("attempt_id", "question_id", "is_correct", "marks_obtained")
-    return activity.run_to_table(graded, folder(spark, "graded"))
+    """Lines and attempts arrive as two streams; each submitted answer is graded as it comes, and the last one counts."""
+    lines = spark.readStream.schema(roles.LINE).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    orders = spark.readStream.schema(roles.ORDER).option("pathGlobFilter", "orders.parquet").parquet(d)
+    submitted = activity.submitted_answers(roles.raw_answers(lines), roles.as_attempts(orders), "20000 days", "20000 days")
+    questions, tests = roles.questions(spark, d), roles.tests(spark, d)
+    table = activity.graded_answers(spark, folder(spark, "graded"), roles.LINE_ORDER)
+    return table.drain(submitted, lambda rows, _: activity.grade_batch(rows, questions, tests)).select("attempt_id", "question_id", "is_correct", "marks_obtained")
 
 
 @query("SELECT DISTINCT o_custkey AS student_id, o_orderkey // 480 AS test_id FROM orders")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import aggregates as agg
 from gradeloom.operators import grading as op
 from gradeloom.plans.registry import query
-from gradeloom.sources import roles
+from gradeloom.sources import layout, roles
 
 def now():
     return F.lit(roles.REFERENCE_NOW).cast("timestamp_ntz")
@@ -31,6 +31,12 @@ def graded(spark, d):
     return op.grade_answers(roles.answers(spark, d), roles.questions(spark, d), roles.attempts(spark, d), roles.tests(spark, d))
 
 
+def papers(spark, d) -> layout.Papers:
+    """The bucketed layout of the attempts, questions and answers: written once for a state of their tables."""
+    build = lambda path: layout.write_papers(roles.attempts(spark, d), roles.questions(spark, d), roles.tests(spark, d), roles.answers(spark, d), path)
+    return layout.kept_papers(spark, d, build)
+
+
 @query(f"""WITH {GRADED} SELECT attempt_id, question_id, is_correct FROM graded WHERE question_type IN ('MCQ', 'SCQ')""")
 def grade_choice(spark, d):
     return graded(spark, d).where(F.col("question_type").isin(*op.CHOICE_TYPES)).select("attempt_id", "question_id", "is_correct")
@@ -48,7 +54,9 @@ def apply_negative(spark, d):
 
 @query(f"""WITH {GRADED} SELECT attempt_id, CAST(trunc(sum(net)) AS INT) AS score, count(*) AS graded FROM graded GROUP BY 1""")
 def grade_attempt(spark, d):
-    return op.attempt_scores(graded(spark, d))
+    own = papers(spark, d)
+    rows = op.grade_in_place(own.answers, own.questions)
+    return op.attempt_scores(rows, "test_id", "slot")
 
 
 SHEET = r"""ranked AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY coalesce(question_number, 0), id) - 1 AS question_index FROM questions),
@@ -152,6 +160,15 @@ def section_scores(spark, d):
     return agg.section_scores(op.grade_sheet(roles.sheet_marks(spark, d), roles.attempts(spark, d), roles.questions(spark, d)))
 
 
+@query(f"""WITH {SHEET}, s AS (SELECT attempt_id, coalesce(nullif(subject, ''), 'General') AS subject, coalesce(nullif(section, ''), 'Section A') AS section, round(sum(CASE WHEN choice AND same THEN marks WHEN choice THEN negative_marks ELSE 0 END), 4) AS score FROM sheet GROUP BY 1, 2, 3),
+  m AS (SELECT attempt_id, subject, string_agg('"' || section || '":' || CAST(score AS VARCHAR), ',' ORDER BY section) AS sections FROM s GROUP BY 1, 2)
+  SELECT attempt_id, '{{' || string_agg('"' || subject || '":{{' || sections || '}}', ',' ORDER BY subject) || '}}' AS section_results FROM m GROUP BY 1""")
+def section_score_map(spark, d):
+    """The stored result of a scanned attempt, as JSON."""
+    nested = agg.section_score_map(op.grade_sheet(roles.sheet_marks(spark, d), roles.attempts(spark, d), roles.questions(spark, d)))
+    return nested.select("attempt_id", F.to_json("section_results").alias("section_results"))
+
+
 SUBJECT_SCORES = r"""dom AS (SELECT DISTINCT test_id, coalesce(subject, 'General') AS subject FROM questions),
 got AS (SELECT attempt_id, coalesce(subject, 'General') AS subject, sum(marks_obtained) AS got FROM graded GROUP BY 1, 2),
 ss AS (SELECT a.id AS attempt_id, a.test_id, dom.subject, round(coalesce(got, 0.0), 4) AS score FROM attempts a JOIN dom USING (test_id) LEFT JOIN got ON got.attempt_id = a.id AND got.subject = dom.subject)"""

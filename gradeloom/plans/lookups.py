@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import aggregates as agg
 from gradeloom.operators import joins as op
-from gradeloom.plans.grading import GRADED, RELEVANT, graded, now
+from gradeloom.operators.grading import grade_in_place
+from gradeloom.plans.grading import GRADED, RELEVANT, now, papers
 from gradeloom.plans.registry import query
 from gradeloom.sources import roles
 
@@ -129,7 +130,8 @@ LEFT_ANSWERS = f"""WITH {GRADED} SELECT a.id AS attempt_id, q.id AS question_id,
 
 
 def attempt_questions(spark, d):
-    return op.questions_left_answers(roles.attempts(spark, d), roles.questions(spark, d), graded(spark, d), roles.tests(spark, d))
+    own = papers(spark, d)
+    return op.questions_left_answers_in_place(own.attempts, own.questions, grade_in_place(own.answers, own.questions))
 
 
 @query(LEFT_ANSWERS)
@@ -164,6 +166,11 @@ def join_hierarchy(spark, d):
     return op.question_hierarchy(roles.questions(spark, d), roles.chapters(spark, d), roles.subjects(spark, d))
 
 
+@query("""SELECT a.id AS attempt_id, a.student_id, a.test_id, t.title, coalesce(s.name, 'General') AS subject_name FROM attempts a LEFT JOIN tests t ON t.id = a.test_id LEFT JOIN subjects s ON s.id = t.subject_id""")
+def join_attempt_subject(spark, d):
+    return op.attempt_subject(roles.attempts(spark, d), roles.tests(spark, d), roles.subjects(spark, d))
+
+
 MATCH = f"""bp AS (SELECT *, {sql_subject_key('subject')} AS s, {sql_section_key('section_name')} AS bk FROM blueprint),
 qk AS (SELECT id, test_id, {sql_subject_key('subject')} AS s, coalesce(question_number, 0) AS no, {sql_section_key('section')} AS k FROM questions),
 rm AS (SELECT DISTINCT ON (qk.id) qk.id, qk.test_id, qk.s AS subject, section_name, q_count, 'range' AS how FROM qk JOIN bp ON bp.test_id = qk.test_id AND bp.s = qk.s AND no BETWEEN start_q AND end_q ORDER BY qk.id, start_q, end_q, pos),
@@ -197,7 +204,8 @@ def blueprint_membership(spark, d):
 
 @query("SELECT a.id AS attempt_id, q.id AS question_id FROM attempts a JOIN questions q ON q.test_id = a.test_id WHERE NOT EXISTS (SELECT 1 FROM answers x WHERE x.attempt_id = a.id AND x.question_id = q.id)")
 def unattempted_questions(spark, d):
-    return op.unattempted(roles.attempts(spark, d), roles.questions(spark, d), roles.answers(spark, d))
+    own = papers(spark, d)
+    return op.unattempted_in_place(own.attempts, own.questions, own.answers)
 
 
 @query("""SELECT a.id AS attempt_id, a.student_id, a.test_id, coalesce(nullif(u.full_name, ''), u.email) AS student_name, t.title AS test_title, coalesce(w.email, '') AS teacher_email, a.started_at

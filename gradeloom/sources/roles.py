@@ -112,8 +112,25 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz"
+LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+#: What settles which of several answers to a question is the last: all columns of the line in this order.
+LINE_ORDER = "struct<l_linenumber:int,l_suppkey:long,l_quantity:double,l_returnflag:string,l_linestatus:string,l_extendedprice:double>"
+_LAST = ("l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice")
+_QUESTION = f"CASE WHEN l_partkey % 10 = 9 THEN l_partkey ELSE l_orderkey div {ATTEMPTS} * {QUESTIONS} + l_partkey % {QUESTIONS} END"
+_ANSWER = (
+    "CASE x.l_returnflag WHEN 'A' THEN 'a' WHEN 'R' THEN ' R' END AS selected_option",
+    "CASE WHEN x.l_linestatus = 'O' THEN CASE x.l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(x.l_quantity AS BIGINT) || 'd' WHEN 2 THEN ' ' || CAST(x.l_quantity AS BIGINT) WHEN 3 THEN CAST(x.l_quantity AS BIGINT) || '.0' ELSE CAST(x.l_quantity AS BIGINT) || '' END END AS answer_text",
+    "CAST(x.l_quantity AS INT) AS time_spent_seconds",
+)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return as_attempts(table(spark, sf_dir, "orders"))
+
+
+def as_attempts(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "o_orderkey AS id",
         "CASE WHEN o_orderkey % 101 = 0 THEN o_custkey + 5000000 ELSE o_custkey END AS student_id",
         f"o_orderkey div {ATTEMPTS} AS test_id",
@@ -130,18 +147,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     joins with attempts and the sums by attempt that follow find them in place; an attempt has few lines for a question, so
     combining them before would spare no shuffle. One line in ten names a question of any paper, the others one of the
     attempt's."""
-    line = F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice")
-    question = F.expr(f"CASE WHEN l_partkey % 10 = 9 THEN l_partkey ELSE l_orderkey div {ATTEMPTS} * {QUESTIONS} + l_partkey % {QUESTIONS} END")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", question.alias("question_id"), line.alias("x")).repartition("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_QUESTION).alias("question_id"), F.struct(*_LAST).alias("x")).repartition("l_orderkey")
     rows = lines.groupBy("l_orderkey", "question_id").agg(F.max("x").alias("x"))
-    return rows.selectExpr(
-        "l_orderkey AS attempt_id",
-        "question_id",
-        "CASE x.l_returnflag WHEN 'A' THEN 'a' WHEN 'R' THEN ' R' END AS selected_option",
-        "CASE WHEN x.l_linestatus = 'O' THEN CASE x.l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(x.l_quantity AS BIGINT) || 'd' WHEN 2 THEN ' ' || CAST(x.l_quantity AS BIGINT) WHEN 3 THEN CAST(x.l_quantity AS BIGINT) || '.0' ELSE CAST(x.l_quantity AS BIGINT) || '' END END AS answer_text",
-        "CAST(x.l_quantity AS INT) AS time_spent_seconds",
-        "x.l_linenumber AS line",
-    )
+    return rows.selectExpr("l_orderkey AS attempt_id", "question_id", *_ANSWER, "x.l_linenumber AS line")
+
+
+def raw_answers(lines: DataFrame) -> DataFrame:
+    """An answer for each line as it comes, several for a question among them, given on the line's own date. That date may be
+    years before or after the attempt's."""
+    rows = lines.select("l_orderkey", F.expr(_QUESTION).alias("question_id"), F.struct(*_LAST).alias("x"), F.col("l_shipdate").alias("answered_at"))
+    return rows.selectExpr("l_orderkey AS attempt_id", "question_id", "x AS seq", *_ANSWER, "answered_at")
 
 
 def sheet_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
