@@ -1,123 +1,126 @@
-"""Benchmark decontamination: n-gram seeds bring training passages to test items, Smith-Waterman scores them.
-
-An item's seeds are all its word n-grams, however many items share them and however often the corpus uses them; each is
-stored once with its items. Seeds of a block of items have a bounded size and go to every task; further items are further
-blocks. Where a document has a seed, the window of words around it is aligned with every item behind it, so copies with
-words replaced, added or left out score as well. Windows with too few of the item's words for the score that counts are
-left out before, which loses nothing. Items of fewer words than a seed has are found by their whole word sequence.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores them.
+
+An item's seeds are its 3-word n-grams; an item of fewer than 20 words has its pairs of words instead, adjacent ones and
+such with one word between. Documents' n-grams that may be seeds are a table, and so are seeds and items: joins bring them
+together, so a benchmark may have any size. In every stretch of an item the seed that corpus and benchmark use least is
+rare: one hit of it is enough. The frequent ones take a second route: two of them must hit in line, as far apart in the text
+as in the item, give or take what edits shift. The window around hits is aligned with the item, so copies with words
+replaced, added or left out score as well; windows with too few of the item's words for the score that counts are left out
+before, which loses nothing. Items of fewer than four words are found by their whole word sequence. Equal texts are one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.textscan import chunks, grams, raw, words
+from gradeloom.llm.common import BITS_PER_BUCKET, filter_bits, maybe_in, positions_filter, scratch
+from gradeloom.llm.textscan import chunks, grams, mix, ragged, raw, words
 
-SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Contaminated: an alignment of so large a share of the best score of the item's words, or of so many words of score.
 SHARE, WORDS = 0.4, 25
-BLOCK_BYTES = 4_000_000
-PLACES = 1 << 18  # of seeds in items, worked on at once; one row's are kept together up to there
-_FILTER = 22
-HIT = "array<struct<item_id:long,score:int,share:double,first_word:long,last_word:long>>"
-
-
-@dataclass
-class Items:
-    """A block of items: word hashes, and seeds as sorted hashes with the (item, position) lists behind them."""
-
-    ids: np.ndarray
-    texts: list[np.ndarray]
-    seeds: np.ndarray
-    at: np.ndarray  # start of each seed's places
-    item: np.ndarray
-    place: np.ndarray
-    short: dict[int, dict[int, list[int]]]  # by number of words, below that of a seed: items of each sequence's hash
-
-
-def _items(ids: list[int], texts: list[str], n: int) -> Items:
-    data, off = raw(pa.array(texts, pa.string()))
-    h, first, _, _ = words(data, off, loose=True)
-    own = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-    gram, item, place = [], [], []
-    short: dict[int, dict[int, list[int]]] = {}
-    for i, w in enumerate(own):
-        if 0 < len(w) < n:
-            whole = int(grams(w, np.array([0, len(w)]), len(w))[0][0])
-            short.setdefault(len(w), {}).setdefault(whole, []).append(i)
-        g, q = grams(w, np.array([0, len(w)]), n)
-        gram.append(g), item.append(np.full(len(g), i)), place.append(q)
-    gram, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
-    order = np.lexsort((place, item, gram))
-    gram, item, place = gram[order].astype(np.uint64), item[order], place[order]
-    seeds, at = np.unique(gram, return_index=True)
-    return Items(np.array(ids, np.int64), own, seeds, np.concatenate((at, [len(gram)])), item, place, short)
-
-
-def _filter(seeds: np.ndarray) -> np.ndarray:
-    may = np.zeros(1 << _FILTER, bool)
-    may[seeds >> np.uint64(64 - _FILTER)] = True
-    return may
-
-
-def _found(seeds: np.ndarray, may: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which n-grams are seeds, and which seeds they are."""
-    hit = np.flatnonzero(may[g >> np.uint64(64 - _FILTER)])
-    if not len(hit) or not len(seeds):
-        return hit[:0], hit[:0]
-    k = np.minimum(np.searchsorted(seeds, g[hit]), len(seeds) - 1)
-    same = seeds[k] == g[hit]
-    return hit[same], k[same]
-
-
-def _blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """Benchmarks of any size as blocks of about 4 MB of text."""
-    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    n = 1 + int(known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BLOCK_BYTES
-    return [known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
-
-
-def seed_items(block: DataFrame, n: int = SEED_WORDS) -> Items:
-    """The items of a block with their seeds."""
-    rows = sorted((r["item_id"], r["text"]) for r in block.collect())  # a block is bounded
-    return _items([i for i, _ in rows], [t for _, t in rows], n)
-
-
-def slices(rows: np.ndarray, times: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of hits (row, number of places) of at most PLACES places, or of one hit: whole rows where they fit."""
-    out: list[tuple[int, int]] = []
-    used, last = 0, 0
-    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
-        total = int(times[lo:hi].sum())
-        if used and used + total > PLACES:
-            out.append((last, lo))
-            used, last = 0, lo
-        if total > PLACES:
-            at = lo
-            for i in range(lo, hi):
-                if used and used + times[i] > PLACES:
-                    out.append((at, i))
-                    used, at = 0, i
-                used += int(times[i])
-            out.append((at, hi))
-            used, last = 0, hi
-        else:
-            used += total
-    if last < len(rows):
-        out.append((last, len(rows)))
-    return out
-
-
-def enough(pairs: list[tuple[np.ndarray, np.ndarray]], needed: np.ndarray) -> np.ndarray:
-    """Whether the words of the item that occur in the window could make the score if all of them matched in order."""
-    return np.array([MATCH * int(np.isin(a, b).sum()) >= least for (a, b), least in zip(pairs, needed)], bool)
+SHORTEST, PAIRS = 4, 20  # words from which an item is aligned, and from which its seeds have three words
+STRETCH = 4  # places of an item of which the rarest seed is rare
+CANDIDATES = 256  # windows of a text that are aligned in one row, about
+KINDS = ("whole1", "whole2", "whole3", "adjacent", "apart", "triple")
+
+
+def gram_kind(h: np.ndarray, first: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a kind's n-grams inside rows, different for each kind, and the word at which each begins."""
+    salt = np.uint64(KINDS.index(kind) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
+    if kind == "apart":
+        g, at = grams(h, first, 3)
+        g = mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + 2] * np.uint64(0x165667B19E3779F9)) if len(at) else g
+    else:
+        g, at = grams(h, first, {"adjacent": 2, "triple": 3}.get(kind) or int(kind[-1]))
+    return mix(g ^ salt) if len(g) else g, at
+
+
+def item_kinds(n: int) -> tuple[str, ...]:
+    """The kinds of seeds of an item of so many words."""
+    if n < SHORTEST:
+        return (f"whole{n}",) if n else ()
+    return ("triple",) if n >= PAIRS else ("adjacent", "apart")
+
+
+def needed(n, share: float = SHARE, least: int = WORDS):
+    """The score that counts for an item of so many words."""
+    return np.minimum(share * MATCH * n, MATCH * least)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes and seeds of (key, text) rows."""
+    for batch in batches:
+        data, off = raw(batch.column(1))
+        h, first, _, _ = words(data[off[0] : off[-1]], off - off[0], loose=True)
+        own = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+        seeds, places = [], []
+        for w in own:
+            found = [gram_kind(w, np.array([0, len(w)]), k) for k in item_kinds(len(w))]
+            seeds.append(np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in found)]).view(np.int64))
+            places.append(np.concatenate([np.zeros(0, np.int64), *(at for _, at in found)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), ragged([w.view(np.int64) for w in own]), ragged(seeds), ragged(places)], ["key", "words", "seeds", "places"])
+
+
+def _hits(docs: DataFrame, seeds: DataFrame, kinds: list[str]) -> DataFrame:
+    """(text_key, seed, at) for the n-grams of ``docs`` (text_key, text) that are seeds, and few that aren't."""
+    bits = filter_bits(seeds.count())
+    shift = np.uint64(64 - (bits - 1).bit_length())
+    may = np.zeros((bits // BITS_PER_BUCKET, BITS_PER_BUCKET // 8), np.uint8)
+    for r in positions_filter(seeds.select(F.shiftrightunsigned("seed", int(shift)).alias("at"))).collect():  # at most 8,192 rows of 4 KB
+        may[r["bf_bucket"]] = np.frombuffer(r["bf_bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(may.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = shared.value
+        for batch in batches:
+            data, off = raw(batch.column(1))
+            for lo, hi in chunks(off):
+                h, first, _, _ = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], loose=True)
+                for kind in kinds:
+                    g, at = gram_kind(h, first, kind)
+                    bit = g >> shift
+                    kept = np.flatnonzero((have[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    row = np.searchsorted(first, at[kept], "right") - 1
+                    key = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(g[kept].view(np.int64)), pa.array(at[kept] - first[row])], ["text_key", "seed", "at"])
+
+    return docs.mapInArrow(run, "text_key binary, seed long, at long")
+
+
+def _ranked(seeds: DataFrame, hits: DataFrame) -> DataFrame:
+    """Seeds with whether they are rare: of a stretch of their item the one that corpus and benchmark have least."""
+    used = hits.groupBy("seed").agg(F.count("*").alias("corpus"))
+    shared = seeds.groupBy("seed").agg(F.count("*").alias("items"))
+    counted = seeds.join(shared, "seed").join(used, "seed", "left")
+    order = Window.partitionBy("key", F.expr(f"place div {STRETCH}")).orderBy(F.coalesce("corpus", F.lit(0)) + F.col("items"), "place", "seed")
+    return counted.where("corpus > 0").select("key", "n", "seed", "place", (F.row_number().over(order) == 1).alias("rare"))
+
+
+def _windows(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(text_key, key, lo, hi): word ranges around hits in line, one rare or two frequent ones. A hit's start is where its
+    item would begin; two grids of cells as long as the item hold starts that lie together."""
+    start = F.col("at") - F.col("place")
+    cell = lambda shift: F.floor((F.col("start") + shift) / F.col("n"))
+    grids = F.explode(F.array(F.struct(F.lit(0).alias("grid"), cell(F.lit(0)).alias("i")), F.struct(F.lit(1).alias("grid"), cell(F.floor(F.col("n") / 2)).alias("i")))).alias("cell")
+    rows = hits.join(seeds, "seed").withColumn("start", start)
+    whole = rows.where(F.col("n") < SHORTEST).select("text_key", "key", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    found = rows.where(F.col("n") >= SHORTEST).select("text_key", "key", "n", "start", "rare", grids)
+    found = found.groupBy("text_key", "key", "n", "cell").agg(F.count("*").alias("hits"), F.max("rare").alias("rare"), F.min("start").alias("first"), F.max("start").alias("last")).where("hits > 1 OR rare")
+    slack = F.floor(F.col("n") / 3) + SHORTEST
+    return found.select("text_key", "key", F.greatest(F.lit(0), F.col("first") - slack).alias("lo"), (F.col("last") + F.col("n") + slack).alias("hi")).union(whole).distinct()
+
+
+def enough(item_words: list[np.ndarray], window: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the words of each item that occur in a window could make its score if all of them matched in order."""
+    size = np.array([len(w) for w in item_words])
+    there = np.isin(np.concatenate(item_words), window)
+    return MATCH * np.add.reduceat(there.astype(np.int64), np.cumsum(size) - size) >= least
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
@@ -160,110 +163,128 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
     return list(zip(best.tolist(), begin.tolist(), end.tolist()))
 
 
-def contamination(items: Items, n: int = SEED_WORDS, share: float = SHARE, least: int = WORDS):
-    """A function from a text column to its contaminated passages."""
-    may = _filter(items.seeds)
-    score_needed = np.array([min(share * MATCH * len(w), MATCH * least) for w in items.texts])
-
-    def windows(h, first, rows, at, seed):
-        """(row, item, first word, last word) around seeds of one item that lie together."""
-        times = np.diff(items.at)[seed]
-        which = np.repeat(items.at[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, start = items.item[which], np.repeat(at, times) - items.place[which]
-        row = np.repeat(rows, times)
-        order = np.lexsort((start, item, row))
-        row, item, start = row[order], item[order], start[order]
-        size = np.array([len(w) for w in items.texts])[item]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])))
-        step = (start - start[new][np.cumsum(new) - 1]) // size  # item-sized steps of a run, with overlap
-        new[1:] |= step[1:] != step[:-1]
-        head = np.flatnonzero(new)
-        tail = np.concatenate((head[1:], [len(new)])) - 1
-        slack = size[head] // 3 + n
-        lo = np.maximum(first[row[head]], start[head] - slack)
-        hi = np.minimum(first[row[head] + 1], start[tail] + size[head] + slack)
-        return row[head], item[head], lo, hi
-
-    def seeded(item, window):
-        """Whether a window has an n-gram of the item."""
-        g = [grams(x, np.array([0, len(x)]), n)[0] for x in (items.texts[item], window)]
-        return bool(np.isin(*g).any())
-
-    def passages_of(h, first, row, item, lo, hi, taken, hits, low):
-        """Aligns windows, adds passages to their rows' hits best first, and aligns again what they leave of a window.
-        ``taken``: the passages of each (row, item), which never overlap."""
-        while len(row):
-            pairs = [(items.texts[i], h[a:b]) for i, a, b in zip(item, lo, hi)]
-            can = np.flatnonzero(enough(pairs, score_needed[item]))
-            order = can[np.argsort((hi - lo)[can], kind="stable")]  # alike sizes together
-            found = []
-            for part in np.split(order, np.arange(64, len(order), 64)):
-                for k, (score, begin, end) in zip(part, align([pairs[k] for k in part])):
-                    if score >= score_needed[item[k]]:
-                        found.append((-score, int(row[k]), int(item[k]), int(lo[k]) + begin, int(lo[k]) + end, int(lo[k]), int(hi[k])))
-            for less, r, i, begin, end, _, _ in sorted(found):
-                own = taken.setdefault((r, i), [])
-                if all(end <= x or y <= begin for x, y in own):
-                    own.append((begin, end))
-                    base = int(first[r])
-                    hits[low + r].append({"item_id": int(items.ids[i]), "score": -less, "share": -less / (MATCH * len(items.texts[i])), "first_word": begin - base, "last_word": end - base})
-            rest = set()
-            for _, r, i, _, _, at, stop in found:
-                for x, y in [*sorted(x for x in taken[r, i] if x[0] < stop and x[1] > at), (stop, stop)]:
-                    if MATCH * (x - at) >= score_needed[i] and seeded(i, h[at:x]):
-                        rest.add((r, i, at, x))
-                    at = max(at, y)
-            row, item, lo, hi = np.array(sorted(rest), np.int64).reshape(-1, 4).T
-
-    def short_ones(h, first, hits, low):
-        """Adds items of few words: whole sequences, from the left, without overlap."""
-        for m, items_of in items.short.items():
-            g, at = grams(h, first, m)
-            known = np.sort(np.array(list(items_of), np.uint64))
-            until: dict[tuple[int, int], int] = {}
-            for k in _found(known, _filter(known), g)[0].tolist():
-                begin = int(at[k])
-                r = int(np.searchsorted(first, begin, "right")) - 1
-                for i in items_of[int(g[k])]:
-                    if begin >= until.get((r, i), 0):
-                        until[r, i] = begin + m
-                        base = int(first[r])
-                        hits[low + r].append({"item_id": int(items.ids[i]), "score": MATCH * m, "share": 1.0, "first_word": begin - base, "last_word": begin - base + m})
-
-    def find(texts: pa.Array) -> pa.Array:
-        hits: list[list[dict]] = [[] for _ in range(len(texts))]
-        data, offsets = raw(texts)
-        for low, high in chunks(offsets):
-            h, first, _, _ = words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], loose=True)
-            short_ones(h, first, hits, low)
-            g, at = grams(h, first, n)
-            hit, seed = _found(items.seeds, may, g)
-            if not len(hit):
-                continue
-            at = at[hit]
-            rows = np.searchsorted(first, at, "right") - 1
-            taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for x, y in slices(rows, np.diff(items.at)[seed]):
-                passages_of(h, first, *windows(h, first, rows[x:y], at[x:y], seed[x:y]), taken, hits, low)
-        return pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int32()), ("share", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])))
-
-    return find
-
-
-def passages(docs: DataFrame, benchmark: DataFrame) -> Column:
-    """The contaminated passages of column ``text`` of ``docs``, as an array column to use on ``docs``."""
-    found = [F.arrow_udf(contamination(seed_items(block)), HIT)("text") for block in _blocks(benchmark)]
-    return F.concat(*found) if len(found) > 1 else found[0]
+def best_passages(h: np.ndarray, own: list[np.ndarray], key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(candidate, score, first word, last word) of a text ``h``: candidate k aligns the words ``own[k]`` of item ``key[k]``
+    with the window lo[k] to hi[k]. Windows are aligned, passages taken best first, and what they leave of a window is aligned
+    again; those of one item never overlap. An item of few words is its window, taken from the left."""
+    out: list[tuple[int, int, int, int]] = []
+    taken: dict[int, list[tuple[int, int]]] = {}
+    short = np.flatnonzero([len(w) < SHORTEST for w in own])
+    for k in short[np.argsort(lo[short], kind="stable")].tolist():
+        ranges = taken.setdefault(int(key[k]), [(-1, -1)])
+        if lo[k] >= ranges[-1][1]:
+            ranges.append((int(lo[k]), int(hi[k])))
+            out.append((k, MATCH * len(own[k]), int(lo[k]), int(hi[k])))
+    least = needed(np.array([len(w) for w in own], np.float64))
+    work = [(k, int(lo[k]), min(int(hi[k]), len(h))) for k in range(len(own)) if len(own[k]) >= SHORTEST]
+    while work:
+        can = []
+        work.sort(key=lambda x: x[1:])
+        at = 0
+        while at < len(work):  # the items of one window at once
+            end = at
+            while end < len(work) and work[end][1:] == work[at][1:]:
+                end += 1
+            part = work[at:end]
+            fit = enough([own[k] for k, _, _ in part], h[part[0][1] : part[0][2]], least[[k for k, _, _ in part]])
+            can += [x for x, fits in zip(part, fit) if fits]
+            at = end
+        can.sort(key=lambda x: (x[2] - x[1], len(own[x[0]])))  # alike sizes together
+        found = []
+        for i in range(0, len(can), 64):
+            part = can[i : i + 64]
+            for (k, a, b), (score, begin, end) in zip(part, align([(own[k], h[a:b]) for k, a, b in part])):
+                if score >= least[k]:
+                    found.append((-score, k, a + begin, a + end, a, b))
+        for less, k, begin, end, _, _ in sorted(found):
+            ranges = taken.setdefault(int(key[k]), [])
+            if all(end <= x or y <= begin for x, y in ranges):
+                ranges.append((begin, end))
+                out.append((k, -less, begin, end))
+        rest = {}
+        for _, k, _, _, at, stop in found:
+            for x, y in [*sorted(x for x in taken[int(key[k])] if x[0] < stop and x[1] > at), (stop, stop)]:
+                if MATCH * (x - at) >= least[k]:
+                    rest[int(key[k]), at, x] = k
+                at = max(at, y)
+        work = [(k, a, b) for (_, a, b), k in rest.items()]
+    return out
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of (text_key, text, candidates) rows."""
+    kind = pa.schema([("text_key", pa.binary()), ("item_id", pa.int64()), ("score", pa.int32()), ("share", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+    for batch in batches:
+        data, off = raw(batch.column(1))
+        lists = batch.column(2)
+        cut, flat = lists.offsets.to_numpy(), lists.values
+        item, key, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("item_id", "key", "lo", "hi"))
+        word_lists = flat.field("words")
+        at, w = word_lists.offsets.to_numpy(), word_lists.values.to_numpy().view(np.uint64)
+        rows = []
+        for r in range(batch.num_rows):
+            h = words(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]), loose=True)[0]
+            c = slice(cut[r], cut[r + 1])
+            own = [w[a:b] for a, b in zip(at[c.start : c.stop], at[c.start + 1 : c.stop + 1])]
+            text_key = batch.column(0)[r].as_py()
+            for k, score, begin, end in best_passages(h, own, key[c], lo[c], hi[c]):
+                rows.append((text_key, int(item[c][k]), score, score / (MATCH * len(own[k])), begin, end))
+        columns = list(zip(*rows)) if rows else [[]] * len(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, kind)], schema=kind)
+
+
+def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Contaminated passages of the different texts of ``docs``: text_key (binary, md5), item_id, score, share, first_word,
+    last_word."""
+    texts = docs.where(F.length("text") > 0).select(text_key(), "text")
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    known = scratch(known.withColumn("key", F.monotonically_increasing_id()), "items")
+    items = known.select("key", "text").mapInArrow(_items, "key long, words array<long>, seeds array<long>, places array<long>")
+    items = scratch(items.join(known.select("key", "item_id"), "key").withColumn("n", F.size("words")), "item-words")
+    seeds = items.select("key", "n", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("key", "n", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
+    kinds = sorted({k for r in items.select(F.least("n", F.lit(PAIRS)).alias("n")).distinct().collect() for k in item_kinds(r["n"])})  # at most six
+    hits = scratch(_hits(texts, seeds, kinds).distinct(), "hits")
+    found = scratch(_windows(hits, _ranked(seeds, hits)), "windows")
+    each = found.groupBy("text_key").agg(F.ceil(F.count("*") / CANDIDATES).alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    rows = found.join(each, "text_key").join(items.select("key", "item_id", "words"), "key")
+    candidates = rows.groupBy("text_key", part.alias("part")).agg(F.collect_list(F.struct("key", "item_id", "words", "lo", "hi")).alias("candidates"))
+    keys = each.select("text_key")
+    bits = filter_bits(n_keys := keys.count())
+    wanted = positions_filter(keys.select(F.pmod(F.xxhash64("text_key"), F.lit(bits)).alias("at"))) if n_keys else None
+    own = maybe_in(texts, "text_key", wanted, "may", bits).where("may").drop("may") if n_keys else texts.limit(0)
+    own = own.groupBy("text_key").agg(F.any_value("text").alias("text"))
+    return own.join(candidates.drop("part"), "text_key").select("text_key", "text", "candidates").mapInArrow(_aligned, "text_key binary, item_id long, score int, share double, first_word long, last_word long")
+
+
+def text_key():
+    return F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated passage: doc_id, item_id, score, share, first_word, last_word (end exclusive).
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Words are runs of letters and digits, case ignored. A
-    passage counts from a score of 0.4 times its item's best one, or of 25 words that match, and has a run of four words of
-    the item. Items of fewer than four words are found where their whole sequence stands; those without a word never.
-    Null and empty texts have no passage; items and documents that repeat each have their own. Other columns are not read.
+    passage counts from a score of 0.4 times its item's best one, or of 25 words that match. Items of fewer than four words
+    are found where their whole sequence stands; those without a word never. Null and empty texts have no passage; items and
+    documents that repeat each have their own. Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
-    found = docs.select("doc_id", F.explode(passages(docs, benchmark)).alias("hit"))
-    return found.select("doc_id", "hit.*")
+    found = passages(docs, benchmark)
+    return docs.select("doc_id", text_key()).join(found, "text_key").select("doc_id", "item_id", "score", "share", "first_word", "last_word")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text has a contaminated passage, all their columns kept. Rows that can't be among
+    them, by a bit filter, stay where they are."""
+    gone = scratch(passages(docs, benchmark).select(F.col("text_key").alias("leaked_text_key")).distinct(), "leaked")
+    n = gone.count()
+    if not n:
+        return docs
+    bits = filter_bits(n)
+    wanted = positions_filter(gone.select(F.pmod(F.xxhash64("leaked_text_key"), F.lit(bits)).alias("at")))
+    names = docs.columns
+    marked = docs.select(F.struct(*names).alias("row"), text_key())
+    marked = maybe_in(marked, "text_key", wanted, "may", bits)
+    clear = marked.where("NOT may").select("row.*")
+    rest = marked.where("may").join(gone, F.col("text_key") == F.col("leaked_text_key"), "left_anti").select("row.*")
+    return clear.union(rest)

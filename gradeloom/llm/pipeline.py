@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import scratch
-from gradeloom.llm.decontam import passages
+from gradeloom.llm.decontam import without_leaks
 from gradeloom.llm.jaccard import jaccard_components
 from gradeloom.llm.language import UNKNOWN, train_language
 from gradeloom.llm.mixing import mix_sources
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     small_batches(spark)
-    return docs.where(F.size(passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))) == 0)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
