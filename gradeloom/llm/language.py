@@ -1,12 +1,15 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Trained with follow-the-regularised-leader steps and elastic-net penalties: shards of a bounded labelled sample learn
-side by side and their states are averaged after each round. A temperature, fitted on sample rows that no shard learns
-from, calibrates the probabilities. Document frequencies come from every training row.
+side by side; executors average their states after each round, slice by slice, and the slices go on to the next round as a
+table, so the driver never holds a state. It gets the weights that aren't zero at the end. A temperature, fitted on sample
+rows that no shard learns from, calibrates the probabilities; executors sum its loss. Document frequencies come from every
+training row.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,8 +25,9 @@ BITS, ORDERS = 14, (1, 2, 3)
 UNKNOWN = "und"
 #: The bound of the labelled sample: about so many rows for each language.
 PER_LANGUAGE = 1500
-#: The bound of what is learnt: the languages with the most training rows, ties by name.
-LANGUAGES = 200
+SLICES, SLICE = 64, 1 << BITS - 6  # in which a state goes from round to round, and the features of each
+LEAST = 1e-5  # a class of less probability than that takes no step
+MANY = 64  # languages from which a batch of rows is scored by one matrix product
 SHARDS, ROUNDS = 8, 4
 ROWS = 32
 ALPHA, BETA, L1, L2 = 4.0, 0.5, 2e-3, 1e-3
@@ -96,15 +100,18 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def ftrl(z: np.ndarray, n: np.ndarray, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-    """One pass of follow-the-regularised-leader; z, n: classes x features, changed in place."""
+    """One pass of follow-the-regularised-leader; z, n: classes x features, changed in place. A row moves the classes that
+    its probabilities call for, few once they part."""
+    w = weights(z, n)
     for label, at, x in rows:
-        own = weights(z[:, at], n[:, at])
-        p = _softmax(own @ x)
+        p = _softmax(w[:, at] @ x)
         p[label] -= 1
-        g = p[:, None] * x
-        step = (np.sqrt(n[:, at] + g * g) - np.sqrt(n[:, at])) / ALPHA
-        z[:, at] += g - step * own
-        n[:, at] += g * g
+        moved = np.flatnonzero(np.abs(p) >= LEAST)
+        cell = np.ix_(moved, at)
+        g = p[moved, None] * x
+        more = n[cell] + g * g
+        new = z[cell] + g - (np.sqrt(more) - np.sqrt(n[cell])) / ALPHA * w[cell]
+        z[cell], n[cell], w[cell] = new, more, weights(new, more)
 
 
 @dataclass
@@ -123,7 +130,7 @@ class LanguageModel:
             for n, row, at, count in ngram_counts(texts):
                 x = _weighted(n, row, at, count, idf)
                 if labels:
-                    p = _softmax(np.stack([np.bincount(row, x * own[at], minlength=n) for own in w], 1) / t)
+                    p = _softmax(logits_of(w, n, row, at, x) / t)
                     best, top = p.argmax(axis=1), p.max(axis=1)
                 known = np.bincount(row, minlength=n) > 0
                 lang += [labels[best[i]] if labels and known[i] else UNKNOWN for i in range(n)]
@@ -138,32 +145,125 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _shard_round(state, turn: int):
-    """What a shard does in a round: one pass over its rows from the common state."""
+def logits_of(w: np.ndarray, n: int, row: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of n rows, given as (row, feature, weight) cells, for all classes of w."""
+    if len(w) < MANY:
+        return np.stack([np.bincount(row, x * own[at], minlength=n) for own in w], 1)
+    used, column = np.unique(at, return_inverse=True)
+    dense = np.zeros((n, len(used)), w.dtype)
+    dense[row, column] = x
+    return (dense @ w[:, used].T).astype(np.float64)
+
+
+def _packed(a: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
-    def step(key, table):
-        z, n = (a.copy() for a in state.value)
+
+def _whole(state: pa.Table, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """z and n of a state's slices; zero where there are none yet."""
+    z, n = np.zeros((c, 1 << BITS)), np.zeros((c, 1 << BITS))
+    for i, own_z, own_n in zip(state["slice"].to_pylist(), state["z"].to_pylist(), state["n"].to_pylist()):
+        part = slice(i * SLICE, (i + 1) * SLICE)
+        z[:, part], n[:, part] = (np.frombuffer(zlib.decompress(x)).reshape(c, SLICE) for x in (own_z, own_n))
+    return z, n
+
+
+def _shard_round(turn: int, c: int):
+    """What a shard does in a round: one pass over its rows from the common state, which it gives back in slices."""
+
+    def step(table, state):
+        if not table.num_rows:
+            return pa.table({"slice": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "z": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
+        z, n = _whole(state, c)
         table = table.sort_by("rank")  # the same model however the rows arrive
         rows = list(zip(table["label"].to_pylist(), pieces(table["at"]), pieces(table["x"])))
         ftrl(z, n, [rows[i] for i in np.random.default_rng(turn).permutation(len(rows))])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+        cut = [slice(i * SLICE, (i + 1) * SLICE) for i in range(SLICES)]
+        return pa.table({"slice": pa.array(range(SLICES), pa.int32()), "shard": pa.array([table["shard"][0].as_py()] * SLICES, pa.int32()), "z": pa.array([_packed(z[:, x]) for x in cut], pa.binary()), "n": pa.array([_packed(n[:, x]) for x in cut], pa.binary())})
 
     return step
 
 
-def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
+def _mean(table):
+    """The mean of the shards' states of a slice."""
+    table = table.sort_by("shard")
+    z, n = (np.mean([np.frombuffer(zlib.decompress(x)) for x in table[c].to_pylist()], axis=0) for c in ("z", "n"))
+    return pa.table({"slice": table["slice"].slice(0, 1), "z": pa.array([_packed(z)], pa.binary()), "n": pa.array([_packed(n)], pa.binary())})
+
+
+def _sparse(c: int):
+    """The weights of a state's slices that aren't zero."""
+
+    def run(batches):
+        for batch in batches:
+            for i, z, n in zip(*(batch.column(x).to_pylist() for x in range(3))):
+                w = weights(*(np.frombuffer(zlib.decompress(x)).reshape(c, SLICE) for x in (z, n)))
+                label, at = np.nonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array((at + i * SLICE).astype(np.int32)), pa.array(w[label, at])], ["label", "at", "w"])
+
+    return run
+
+
+def _log_loss(logits: np.ndarray, label: np.ndarray, rows: int, temperatures: np.ndarray) -> np.ndarray:
+    """Summed log loss at each temperature. Targets are smoothed by 1 / (rows + 2), so that rows without a mistake don't ask
+    for certainty."""
+    c = logits.shape[1]
+    target = np.full(logits.shape, 1 / (rows + 2) / max(1, c - 1))
+    target[np.arange(len(label)), label] = 1 - 1 / (rows + 2)
+    return np.array([-(target * np.log(np.maximum(_softmax(logits / t), 1e-12))).sum() for t in temperatures])
+
+
+def _search(loss) -> float:
+    """The temperature of least loss: a grid of its logarithm, then a finer one about the best."""
+    lo, hi = np.log(0.05), np.log(20)
+    for _ in range(2):
+        grid = np.linspace(lo, hi, 41)
+        best = int(np.argmin(loss(np.exp(grid))))
+        lo, hi = grid[max(0, best - 1)], grid[min(40, best + 1)]
+    return float(np.exp(grid[best]))
+
+
+def fit_temperature(logits: np.ndarray, label: np.ndarray) -> float:
+    """The temperature of least log loss; 1 without rows."""
+    return _search(lambda t: _log_loss(logits, label, len(label), t)) if len(label) else 1.0
+
+
+def _temperature(kept: DataFrame, w: np.ndarray) -> float:
+    """The same for rows (label, at, x) that executors hold: only sums come to the driver."""
+    rows = kept.count()
+    if not rows:
+        return 1.0
+    shared = kept.sparkSession.sparkContext.broadcast(w)
+
+    def loss(temperatures: np.ndarray) -> np.ndarray:
+        def part(batches):
+            total = np.zeros(len(temperatures))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, ROWS):
+                    batch = pa.Table.from_batches([whole.slice(lo, ROWS)])
+                    at, x = pieces(batch["at"]), pieces(batch["x"])
+                    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+                    total += _log_loss(logits_of(shared.value, len(at), row, np.concatenate(at), np.concatenate(x)), batch["label"].to_numpy(), rows, temperatures)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(temperatures)), pa.int32()), pa.array(total)], ["i", "loss"])
+
+        sums = kept.select("label", "at", "x").mapInArrow(part, "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss"))
+        return np.array([r["loss"] for r in sums.orderBy("i").collect()])
+
+    return _search(loss)
+
+
+def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from ``docs`` (doc_id, text, lang): rows that are not held out and have a text and a lang.
 
     The sample has about ``per_language`` rows of each lang, picked by a hash of doc_id; document frequencies are
-    counted over all training rows. At most ``languages`` langs are learnt, those of the most rows: the state is of fixed
-    size for each. The model holds for any table; without rows it knows no language.
+    counted over all training rows. Every lang is learnt; a shard's task holds 400 KB for each. The model holds for any
+    table; without rows it knows no language.
     """
     spark = docs.sparkSession
-    known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counted = known.groupBy("lang").agg(F.count("*").alias("n"))
-    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    labels = sorted(counts)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}  # a row for each language
+    rows, labels = sum(counts.values()), sorted(counts)
     if not labels:
         return LanguageModel([], np.ones(1 << BITS), np.zeros((0, 1 << BITS)), 1.0)
 
@@ -177,9 +277,8 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE, languages:
     df = vector_sum(known.select("text"), frequencies, 1 << BITS, lambda total: total, slices=8)
     idf = np.log((1 + rows) / (1 + df)) + 1
 
-    share = F.create_map(*(F.lit(x) for k in labels for x in (k, min(1.0, per_language / counts[k]))))
-    number = F.create_map(*(F.lit(x) for i, k in enumerate(labels) for x in (k, i)))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
+    number = spark.createDataFrame([(k, i, min(1.0, per_language / counts[k])) for i, k in enumerate(labels)], "lang string, label int, share double")
+    drawn = known.join(F.broadcast(number), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * float(1 << 30))  # a row for each language
     deal = F.pmod(F.xxhash64("doc_id", F.lit("deal")), F.lit(5 * SHARDS)).cast("int")
     schema = "label int, shard int, rank long, at array<int>, x array<float>"
 
@@ -193,41 +292,19 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE, languages:
             rows = pa.array([i for i, _, _ in got], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), ragged([at.astype(np.int32) for _, at, _ in got]), ragged([x.astype(np.float32) for _, _, x in got])], ["label", "shard", "rank", "at", "x"])
 
-    sample = scratch(drawn.select(F.element_at(number, F.col("lang")).alias("label"), deal.alias("shard"), F.xxhash64("doc_id", "text").alias("rank"), "text").mapInArrow(features, schema), "lid-sample")
+    sample = scratch(drawn.select("label", deal.alias("shard"), F.xxhash64("doc_id", "text").alias("rank"), "text").mapInArrow(features, schema), "lid-sample")
     c = len(labels)
-    z, n = np.zeros((c, 1 << BITS)), np.zeros((c, 1 << BITS))
     learn = sample.where(f"shard < {4 * SHARDS}").withColumn("shard", F.col("shard") % SHARDS)
+    kind = "slice int, shard int, z binary, n binary"
+    state = spark.createDataFrame([], kind).drop("shard")
     for turn in range(ROUNDS):
-        step = _shard_round(spark.sparkContext.broadcast((z, n)), turn)
-        states = learn.groupBy("shard").applyInArrow(step, "shard int, z binary, n binary").orderBy("shard").collect()  # SHARDS states of fixed size
-        if states:
-            z = np.mean([np.frombuffer(s["z"]).reshape(c, -1) for s in states], axis=0)
-            n = np.mean([np.frombuffer(s["n"]).reshape(c, -1) for s in states], axis=0)
-    w = weights(z, n)
-    kept = sample.where(f"shard >= {4 * SHARDS}").select("label", "at", "x").toArrow()  # a fifth of the bounded sample
-    logits = np.array([w[:, a] @ x for a, x in zip(pieces(kept["at"]), pieces(kept["x"]))]).reshape(-1, c)
-    return LanguageModel(labels, idf, w, fit_temperature(logits, kept["label"].to_numpy()))
-
-
-def fit_temperature(logits: np.ndarray, label: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm; 1 without rows.
-
-    Targets are smoothed by 1 / (rows + 2), so that rows without a mistake don't ask for certainty.
-    """
-    if not len(logits):
-        return 1.0
-    rows, c = logits.shape
-    target = np.full((rows, c), 1 / (rows + 2) / max(1, c - 1))
-    target[np.arange(rows), label] = 1 - 1 / (rows + 2)
-
-    def loss(t: float) -> float:
-        return -(target * np.log(np.maximum(_softmax(logits / np.exp(t)), 1e-12))).sum(axis=1).mean()
-
-    lo, hi, g = np.log(0.05), np.log(20), (np.sqrt(5) - 1) / 2
-    for _ in range(40):
-        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
-    return float(np.exp((lo + hi) / 2))
+        every = state.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+        states = learn.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_shard_round(turn, c), kind)
+        state = scratch(states.groupBy("slice").applyInArrow(_mean, "slice int, z binary, n binary"), "lid-state")
+    cells = state.mapInArrow(_sparse(c), "label int, at int, w double").toArrow()  # weights that aren't zero
+    w = np.zeros((c, 1 << BITS))
+    w[cells["label"].to_numpy(), cells["at"].to_numpy()] = cells["w"].to_numpy()
+    return LanguageModel(labels, idf, w, _temperature(sample.where(f"shard >= {4 * SHARDS}"), w))
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

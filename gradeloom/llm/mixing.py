@@ -106,4 +106,4 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(row_key().alias("key"), "doc_id", "source", F.struct("*").alias("row")).alias("r")
     draws = draw_mix(docs, **options).select("key", "doc_id", "source").alias("d")
     same = (F.col("r.key") == F.col("d.key")) & F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("r.source").eqNullSafe(F.col("d.source"))
-    return rows.join(draws.hint("shuffle_hash"), same).select("r.row").select("row.*")
+    return rows.join(draws, same).select("r.row").select("row.*")

@@ -130,10 +130,28 @@ def test_ftrl_matches_a_plain_pass():
     assert np.allclose(n, pn)
 
 
-def test_language_learns_the_most_frequent_labels_only(spark):
-    rows = [(i, prose(20, i), "big", "s", 1) for i in range(60)] + [(100 + i, prose(20, 500 + i), f"junk{i}", "s", 1) for i in range(50)] + [(200 + i, "zu ki " * 20, "small", "s", 1) for i in range(9)]
-    model = language.train_language(spark.createDataFrame(rows, SCHEMA), languages=2)
-    assert model.labels == ["big", "small"]
+def test_four_hundred_languages_are_learnt(spark):
+    """Each has 12 words of its own; no cap leaves one out."""
+    r = random.Random(8)
+    own = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)] for _ in range(400)]
+    rows = [(k * 6 + i, " ".join(r.choices(own[k], k=12)), f"l{k:03d}", "s", 1) for k in range(400) for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.train_language(docs)
+    assert len(model.labels) == 400
+    got = language.identify_language(docs, model).where("held_out").collect()
+    right = sum(x["lang_pred"] == f"l{x['doc_id'] // 6:03d}" for x in got)
+    print(f"400 languages: {right} of {len(got)} held-out rows right, {np.count_nonzero(model.w)} weights")
+    assert right >= 0.9 * len(got)
+    assert 12 * np.count_nonzero(model.w) < 20_000_000
+
+
+def test_scores_are_the_same_by_either_way(monkeypatch):
+    r = np.random.default_rng(3)
+    w, row = r.normal(size=(70, 1 << language.BITS)), np.sort(r.integers(0, 9, 200))
+    at, x = r.permutation(1 << language.BITS)[:200], r.random(200)
+    many = language.logits_of(w, 9, row, at, x)
+    monkeypatch.setattr(language, "MANY", 100)
+    assert np.allclose(many, language.logits_of(w, 9, row, at, x))
 
 
 def test_temperature_and_ftrl():
