@@ -103,15 +103,17 @@ def _ranked(seeds: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def _windows(hits: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(text_key, key, lo, hi): word ranges around hits in line, one rare or two frequent ones. A hit's start is where its
-    item would begin; two grids of cells as long as the item hold starts that lie together."""
+    """(text_key, key, lo, hi): word ranges around hits in line, one rare one or two at different places of the item. A hit's
+    start is where its item would begin; two grids of cells, as long as a short item or half a long one, hold starts that
+    lie together."""
     start = F.col("at") - F.col("place")
-    cell = lambda shift: F.floor((F.col("start") + shift) / F.col("n"))
-    grids = F.explode(F.array(F.struct(F.lit(0).alias("grid"), cell(F.lit(0)).alias("i")), F.struct(F.lit(1).alias("grid"), cell(F.floor(F.col("n") / 2)).alias("i")))).alias("cell")
+    width = F.when(F.col("n") < PAIRS, F.col("n")).otherwise(F.floor(F.col("n") / 2))
+    cell = lambda shift: F.floor((F.col("start") + shift) / width)
+    grids = F.explode(F.array(F.struct(F.lit(0).alias("grid"), cell(F.lit(0)).alias("i")), F.struct(F.lit(1).alias("grid"), cell(F.floor(width / 2)).alias("i")))).alias("cell")
     rows = hits.join(seeds, "seed").withColumn("start", start)
     whole = rows.where(F.col("n") < SHORTEST).select("text_key", "key", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
-    found = rows.where(F.col("n") >= SHORTEST).select("text_key", "key", "n", "start", "rare", grids)
-    found = found.groupBy("text_key", "key", "n", "cell").agg(F.count("*").alias("hits"), F.max("rare").alias("rare"), F.min("start").alias("first"), F.max("start").alias("last")).where("hits > 1 OR rare")
+    found = rows.where(F.col("n") >= SHORTEST).select("text_key", "key", "n", "start", "place", "rare", grids)
+    found = found.groupBy("text_key", "key", "n", "cell").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("rare").alias("rare"), F.min("start").alias("first"), F.max("start").alias("last")).where("low < high OR rare")
     slack = F.floor(F.col("n") / 3) + SHORTEST
     return found.select("text_key", "key", F.greatest(F.lit(0), F.col("first") - slack).alias("lo"), (F.col("last") + F.col("n") + slack).alias("hi")).union(whole).distinct()
 
@@ -222,13 +224,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_lists = flat.field("words")
         at, w = word_lists.offsets.to_numpy(), word_lists.values.to_numpy().view(np.uint64)
         rows = []
-        for r in range(batch.num_rows):
-            h = words(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]), loose=True)[0]
-            c = slice(cut[r], cut[r + 1])
-            own = [w[a:b] for a, b in zip(at[c.start : c.stop], at[c.start + 1 : c.stop + 1])]
-            text_key = batch.column(0)[r].as_py()
-            for k, score, begin, end in best_passages(h, own, key[c], lo[c], hi[c]):
-                rows.append((text_key, int(item[c][k]), score, score / (MATCH * len(own[k])), begin, end))
+        for first_row, last_row in chunks(off):
+            every, first, _, _ = words(data[off[first_row] : off[last_row]], off[first_row : last_row + 1] - off[first_row], loose=True)
+            for r in range(first_row, last_row):
+                h = every[first[r - first_row] : first[r - first_row + 1]]
+                c = slice(cut[r], cut[r + 1])
+                own = [w[a:b] for a, b in zip(at[c.start : c.stop], at[c.start + 1 : c.stop + 1])]
+                for k, score, begin, end in best_passages(h, own, key[c], lo[c], hi[c]):
+                    rows.append((batch.column(0)[r].as_py(), int(item[c][k]), score, score / (MATCH * len(own[k])), begin, end))
         columns = list(zip(*rows)) if rows else [[]] * len(kind)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, kind)], schema=kind)
 
