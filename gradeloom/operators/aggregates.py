@@ -104,7 +104,11 @@ def relevant_subjects(stream: Column) -> Column:
 
 def student_subject_accuracy(graded: DataFrame, attempts: DataFrame, students: DataFrame) -> DataFrame:
     """Accuracy by student and subject, for subjects of the student's stream and General."""
-    rows = graded.join(attempts.select(F.col("id").alias("attempt_id"), "student_id"), "attempt_id")
+    return accuracy_of(graded.join(attempts.select(F.col("id").alias("attempt_id"), "student_id"), "attempt_id"), students)
+
+
+def accuracy_of(rows: DataFrame, students: DataFrame) -> DataFrame:
+    """The same for graded answers that have their student_id."""
     sums = rows.groupBy("student_id", F.coalesce("subject", F.lit("General")).alias("subject")).agg(F.count_if("is_correct").alias("correct"), F.count("*").alias("total"))
     own = students.select(F.col("id").alias("student_id"), relevant_subjects(F.col("stream")).alias("relevant"))
     kept = sums.join(own, "student_id").where(F.array_contains("relevant", F.col("subject")) | (F.col("subject") == "General"))

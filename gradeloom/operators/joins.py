@@ -118,22 +118,29 @@ def attempt_subject(attempts: DataFrame, tests: DataFrame, subjects: DataFrame)
     return rows.select("attempt_id", "student_id", "test_id", "title", F.coalesce("subject_name", F.lit("General")).alias("subject_name"))
 
 
-def range_match(questions: DataFrame, plan: DataFrame) -> DataFrame:
-    """The first section, by (start_q, end_q), of a question's test and subject whose range holds its number."""
+def section_matches(questions: DataFrame, plan: DataFrame) -> DataFrame:
+    """For each question the first section, by (start_q, end_q), of its test and subject whose range holds its number, and
+    the first of the same normalised name: one join and one aggregate for both."""
     q = questions.select("id", "test_id", subject_key(F.col("subject")).alias("s"), F.coalesce("question_number", F.lit(0)).alias("no"), section_key(F.col("section")).alias("k"))
-    b = plan.select("test_id", subject_key(F.col("subject")).alias("s"), "section_name", "start_q", "end_q", "pos", "q_count")
-    rows = q.join(b, ["test_id", "s"]).where("no BETWEEN start_q AND end_q")
-    return rows.groupBy("id", "test_id").agg(F.min_by(F.struct("s", "section_name", "q_count"), F.struct("start_q", "end_q", "pos")).alias("m")).select("id", "test_id", F.col("m.s").alias("subject"), "m.section_name", "m.q_count", F.lit("range").alias("how"))
+    b = plan.select("test_id", subject_key(F.col("subject")).alias("s"), section_key(F.col("section_name")).alias("b"), "section_name", "start_q", "end_q", "pos", "q_count")
+    inside, named = F.col("no").between(F.col("start_q"), F.col("end_q")), F.col("k") == F.col("b")
+    order, found = F.struct("start_q", "end_q", "pos"), F.struct("s", "section_name", "q_count")
+    rows = q.join(b, ["test_id", "s"]).where(inside | named)
+    return rows.groupBy("id", "test_id").agg(F.min_by(found, F.when(inside, order)).alias("by_range"), F.min_by(found, F.when(named, order)).alias("by_name"))
+
+
+def _matched(rows: DataFrame, found: Column, how: Column) -> DataFrame:
+    return rows.select("id", "test_id", found["s"].alias("subject"), found["section_name"].alias("section_name"), found["q_count"].alias("q_count"), how.alias("how"))
+
+
+def range_match(questions: DataFrame, plan: DataFrame) -> DataFrame:
+    """The section of each question whose range holds its number."""
+    return _matched(section_matches(questions, plan).where("by_range IS NOT NULL"), F.col("by_range"), F.lit("range"))
 
 
 def matched_sections(questions: DataFrame, plan: DataFrame) -> DataFrame:
     """Range matches, then sections of the same normalised name for the rest; what matches neither is dropped."""
-    by_range = range_match(questions, plan)
-    rest = questions.join(by_range.select("id"), "id", "left_anti")
-    q = rest.select("id", "test_id", subject_key(F.col("subject")).alias("s"), section_key(F.col("section")).alias("k"))
-    b = plan.select("test_id", subject_key(F.col("subject")).alias("s"), section_key(F.col("section_name")).alias("k"), "section_name", "q_count", "start_q", "end_q", "pos")
-    by_name = q.join(b, ["test_id", "s", "k"]).groupBy("id", "test_id").agg(F.min_by(F.struct("s", "section_name", "q_count"), F.struct("start_q", "end_q", "pos")).alias("m"))
-    return by_range.unionByName(by_name.select("id", "test_id", F.col("m.s").alias("subject"), "m.section_name", "m.q_count", F.lit("name").alias("how")))
+    return _matched(section_matches(questions, plan), F.coalesce("by_range", "by_name"), F.when(F.col("by_range").isNotNull(), "range").otherwise("name"))
 
 
 def loose_sections(questions: DataFrame, plan: DataFrame) -> DataFrame:

@@ -20,14 +20,26 @@ def blueprint_targets(plan: DataFrame) -> DataFrame:
     return by_section.join(by_subject, ["test_id", "subject"])
 
 
-def conformance(plan: DataFrame, saved: DataFrame) -> DataFrame:
-    """Targets beside actual counts of ``saved`` (test_id, subject, section), and a message where they differ."""
-    s = saved.select("test_id", subject_key(F.col("subject")).alias("subject"), section_key(F.col("section")).alias("section"))
-    n_section = s.groupBy("test_id", "subject", "section").agg(F.count("*").alias("actual"))
-    n_subject = s.groupBy("test_id", "subject").agg(F.count("*").alias("subject_actual"))
-    rows = blueprint_targets(plan).join(n_section, ["test_id", "subject", "section"], "left").join(n_subject, ["test_id", "subject"], "left")
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("actual", "subject_actual")})
+BALANCED = ("Physics", "Chemistry", "Biology")
+
+
+def compared(plan: DataFrame, saved: DataFrame) -> DataFrame:
+    """A row for each section of the plan or of ``saved`` (test_id, subject, section): expected and actual counts of the
+    section and its subject, and whether the plan names the subjects that must balance.
 
+    Plan and questions meet as one table that goes by test, so one shuffle serves every count; a test is a paper."""
+    own = plan.select("test_id", subject_key(F.col("subject")).alias("subject"), section_key(F.col("section_name")).alias("section"), "section_name", "q_count", "pos", F.col("subject").alias("named"))
+    got = saved.select("test_id", subject_key(F.col("subject")).alias("subject"), section_key(F.col("section")).alias("section"), F.lit(True).alias("saved"))
+    both = own.unionByName(got, allowMissingColumns=True).repartition("test_id")
+    sections = both.groupBy("test_id", "subject", "section").agg(
+        F.max_by("q_count", "pos").alias("expected"), F.min_by("section_name", "pos").alias("label"), F.min("pos").alias("pos"), F.count("saved").alias("actual"),
+        *(F.coalesce(F.max(F.col("named") == s), F.lit(False)).alias(f"has_{s.lower()}") for s in BALANCED),
+    )
+    subject = Window.partitionBy("test_id", "subject")
+    return sections.withColumns({"subject_expected": F.sum("expected").over(subject), "subject_actual": F.sum("actual").over(subject), "subject_pos": F.min("pos").over(subject)})
+
+
+def _messages(rows: DataFrame) -> DataFrame:
     def message(who, actual, expected):
         kind = F.when(F.col(actual) < F.col(expected), "Under").when(F.col(actual) > F.col(expected), "Over")
         return F.concat(who, F.lit(": "), kind, F.format_string("-extracted (%d/%d)", actual, expected))
@@ -35,16 +47,23 @@ def conformance(plan: DataFrame, saved: DataFrame) -> DataFrame:
     return rows.withColumn("message", message(F.concat_ws(" / ", "subject", "label"), "actual", "expected")).withColumn("subject_message", message(F.col("subject"), "subject_actual", "subject_expected"))
 
 
+def conformance(plan: DataFrame, saved: DataFrame) -> DataFrame:
+    """Targets beside actual counts of ``saved`` (test_id, subject, section), and a message where they differ."""
+    return _messages(compared(plan, saved).where("pos IS NOT NULL"))
+
+
 def subject_balance(plan: DataFrame, saved: DataFrame) -> DataFrame:
-    """Whether named subjects have equal counts, with messages where no earlier message names them."""
-    c = conformance(plan, saved)
-    n = saved.groupBy("test_id").agg(*(F.count_if(subject_key(F.col("subject")) == s).alias(s.lower()) for s in ("Physics", "Chemistry", "Biology")))
-    has = plan.groupBy("test_id").agg(*(F.max(F.col("subject") == s).alias(f"has_{s.lower()}") for s in ("Physics", "Chemistry", "Biology")))
-    told = c.groupBy("test_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("pos", "message")))), lambda x: x["message"]).alias("sections"),
-        F.transform(F.array_sort(F.collect_set(F.when(F.col("subject_message").isNotNull(), F.struct("subject_pos", "subject_message")))), lambda x: x["subject_message"]).alias("subjects"),
-    )
-    rows = has.join(n, "test_id", "left").join(told, "test_id", "left").fillna(0, ["physics", "chemistry", "biology"])
+    """Whether named subjects have equal counts, with messages where no earlier message names them; counts by subject."""
+    planned = F.col("pos").isNotNull()
+    rows = _messages(compared(plan, saved)).groupBy("test_id").agg(
+        F.max(planned).alias("planned"),
+        *(F.max(f"has_{s.lower()}").alias(f"has_{s.lower()}") for s in BALANCED),
+        *(F.sum(F.when(F.col("subject") == s, F.col("actual")).otherwise(0)).alias(s.lower()) for s in BALANCED),
+        F.transform(F.array_sort(F.collect_list(F.when(planned & F.col("message").isNotNull(), F.struct("pos", "message")))), lambda x: x["message"]).alias("sections"),
+        F.transform(F.array_sort(F.collect_set(F.when(planned & F.col("subject_message").isNotNull(), F.struct("subject_pos", "subject_message")))), lambda x: x["subject_message"]).alias("subjects"),
+        F.array_sort(F.collect_set(F.when(F.col("subject_actual") > 0, F.struct(F.col("subject").alias("s"), F.col("subject_actual").alias("n"))))).alias("counts"),
+        F.sum("actual").alias("total_saved"),
+    ).where("planned")
     errors = F.concat("sections", "subjects")
     names = lambda e, *s: F.exists(e, lambda m: F.lit(False) if not s else (m.contains(s[0]) if len(s) == 1 else m.contains(s[0]) | m.contains(s[1])))
     off_pc = F.col("has_physics") & F.col("has_chemistry") & (F.col("physics") != F.col("chemistry"))
@@ -58,17 +77,19 @@ def subject_balance(plan: DataFrame, saved: DataFrame) -> DataFrame:
     return rows.withColumn("errors", F.when(F.col("b_message").isNotNull(), F.array_append("errors", F.col("b_message"))).otherwise(F.col("errors")))
 
 
-def symmetry_report(plan: DataFrame, saved: DataFrame) -> DataFrame:
-    rows = subject_balance(plan, saved)
+def _symmetry(rows: DataFrame) -> DataFrame:
     good = (F.size(F.concat("sections", "subjects")) == 0) & ~F.col("off_pc") & ~F.col("off_b")
-    return rows.select("test_id", good.alias("is_symmetrical"), F.when(good, "Success").otherwise(F.array_join("errors", " | ")).alias("symmetry_message"))
+    return rows.withColumn("is_symmetrical", good).withColumn("symmetry_message", F.when(good, "Success").otherwise(F.array_join("errors", " | ")))
+
+
+def symmetry_report(plan: DataFrame, saved: DataFrame) -> DataFrame:
+    return _symmetry(subject_balance(plan, saved)).select("test_id", "is_symmetrical", "symmetry_message")
 
 
 def parsing_report(plan: DataFrame, extracted: DataFrame, saved: DataFrame) -> DataFrame:
     """The report of each test as a JSON document."""
-    counts = saved.groupBy("test_id", subject_key(F.col("subject")).alias("s")).agg(F.count("*").alias("n"))
-    counts = counts.groupBy("test_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("subject_counts"), F.sum("n").alias("total_saved"))
-    rows = symmetry_report(plan, saved).join(extracted.groupBy("test_id").agg(F.count("*").alias("total_extracted")), "test_id", "left").join(counts, "test_id", "left")
+    total = extracted.groupBy("test_id").agg(F.count("*").alias("total_extracted"))
+    rows = _symmetry(subject_balance(plan, saved)).withColumn("subject_counts", F.when(F.size("counts") > 0, F.map_from_entries("counts"))).join(total, "test_id", "left")
     doc = F.struct(F.coalesce("total_extracted", F.lit(0)).alias("total_extracted"), F.coalesce("total_saved", F.lit(0)).alias("total_saved"), "subject_counts", "is_symmetrical", "symmetry_message", F.when(F.col("is_symmetrical"), "Balanced").otherwise("Invalid").alias("status"))
     return rows.select("test_id", F.to_json(doc).alias("report"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradeloom.operators import maintenance as op
 from gradeloom.plans.grading import GRADED, now
 from gradeloom.plans.registry import query
-from gradeloom.sources import roles
+from gradeloom.sources import evolving, roles, stored
 from gradeloom.sources.files import folder
 from gradeloom.streaming import activity
 
@@ -64,6 +67,52 @@ def delete_user_cascade(spark, d):
     return counted(op.delete_users(users.where("id % 13 = 4 OR id = 10000001"), users, roles.items(spark, d), roles.tests(spark, d), roles.attempts(spark, d)))
 
 
+def stored_exam(spark, d) -> stored.Exam:
+    """The exam's tables as stored ones, children by their parent's key."""
+    path = folder(spark, "exam")
+    put = lambda name, df, key: stored.store(df, f"{path}/{name}", key, 16)
+    tabs = roles.events(spark, d).where("event_type = 'view'").select(F.col("user_id").alias("attempt_id"), "event_id", "ts")
+    return stored.Exam(
+        put("tests", roles.tests(spark, d).select("id", "title", "created_by"), "id"), put("configs", roles.configs(spark, d).select("id", "test_id"), "test_id"),
+        put("questions", roles.questions(spark, d).select("id", "test_id"), "test_id"), put("attempts", roles.attempts(spark, d).select("id", "test_id", "student_id"), "test_id"),
+        put("answers", roles.answers(spark, d).select("attempt_id", "question_id"), "attempt_id"), put("activity", tabs, "attempt_id"),
+    )
+
+
+@query("""WITH l AS (SELECT id FROM attempts WHERE test_id IN (2, 5))
+  SELECT 'tests' AS what, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM tests WHERE id NOT IN (2, 5) UNION ALL SELECT 'configs', count(*), CAST(sum(id) AS BIGINT) FROM configs WHERE test_id NOT IN (2, 5) UNION ALL SELECT 'questions', count(*), CAST(sum(id) AS BIGINT) FROM questions WHERE test_id NOT IN (2, 5)
+  UNION ALL SELECT 'attempts', count(*), CAST(sum(id) AS BIGINT) FROM attempts WHERE test_id NOT IN (2, 5) UNION ALL SELECT 'answers', count(*), CAST(sum(question_id) AS BIGINT) FROM answers WHERE attempt_id NOT IN (SELECT id FROM l) UNION ALL SELECT 'activity', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT id FROM l)""")
+def stored_cascade_delete(spark, d):
+    """Deletes two tests from stored tables and reads what is left, tab activity included."""
+    own = stored_exam(spark, d)
+    own.delete_tests(spark.createDataFrame([(2,), (5,)], "id long"))
+    left = {name: getattr(own, name).read() for name in ("tests", "configs", "questions", "attempts", "answers", "activity")}
+    ids = {"answers": "question_id", "activity": "event_id"}
+    parts = [df.agg(F.lit(name).alias("what"), F.count("*").alias("n"), F.sum(ids.get(name, "id")).alias("ids")) for name, df in left.items()]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("""WITH l AS (SELECT id, arg_max(full_name, seq) FILTER (full_name IS NOT NULL) AS full_name, arg_max(is_premium, seq) FILTER (is_premium IS NOT NULL) AS is_premium, arg_max(fee_override, seq) FILTER (fee_override IS NOT NULL) AS fee_override FROM patches GROUP BY id)
+  SELECT s.id, coalesce(l.full_name, s.full_name) AS full_name, coalesce(l.is_premium, s.is_premium) AS is_premium, coalesce(l.fee_override, s.fee_override) AS fee_override FROM students s LEFT JOIN l ON l.id = s.id""")
+def stored_patch_rows(spark, d):
+    """The same patches on a stored table: partitions without a patched row aren't read."""
+    fields = ["full_name", "is_premium", "fee_override"]
+    own = stored.store(roles.students(spark, d).select("id", *fields), folder(spark, "students"), "id", 64)
+    own.patch(roles.patches(spark, d), fields)
+    return own.read()
+
+
+@query("SELECT id, CAST(CAST(id % 9 AS INT) AS DOUBLE) AS marks, false AS is_premium, CAST(-1.0 AS DOUBLE) AS negative_marks FROM questions WHERE id % 3 = 0 UNION ALL SELECT id, CAST(CAST(id % 9 AS INT) AS DOUBLE), CASE WHEN id % 2 = 0 THEN true END, CAST(-1.0 AS DOUBLE) FROM questions WHERE id % 3 = 1 UNION ALL SELECT id, marks + 0.5, true, negative_marks FROM questions WHERE id % 3 = 2")
+def evolve_files(spark, d):
+    """Files of three schema versions in one folder, read under the last."""
+    q, path = roles.questions(spark, d), folder(spark, "versions")
+    q.where("id % 3 = 0").selectExpr("id", "CAST(id % 9 AS INT) AS marks").write.parquet(f"{path}/v1")
+    q.where("id % 3 = 1").selectExpr("id", "CAST(id % 9 AS INT) AS marks", "CASE WHEN id % 2 = 0 THEN true END AS is_premium").write.parquet(f"{path}/v2")
+    q.where("id % 3 = 2").selectExpr("id", "marks + 0.5D AS marks", "true AS is_premium", "negative_marks").write.parquet(f"{path}/v3")
+    schema = StructType.fromDDL("id long, marks double, is_premium boolean, negative_marks double")
+    return evolving.read_versions(spark, path, schema, {"is_premium": False, "negative_marks": -1.0})
+
+
 @query("SELECT email, count(*) AS n FROM students GROUP BY 1 HAVING count(*) > 1")
 def unique_violations(spark, d):
     return op.unique_violations(roles.students(spark, d), "email")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import aggregates as agg
 from gradeloom.operators import grading as op
+from gradeloom.operators.rollups import Rollups
 from gradeloom.plans.registry import query
 from gradeloom.sources import layout, roles
+from gradeloom.sources.files import folder, written
 
 def now():
     return F.lit(roles.REFERENCE_NOW).cast("timestamp_ntz")
@@ -210,6 +212,13 @@ ACCURACY = f"""ac AS (SELECT x.student_id, x.subject, CAST(floor(correct / total
 az AS (SELECT * FROM ac UNION ALL SELECT s.id, unnest({RELEVANT}), 0 FROM students s WHERE s.id NOT IN (SELECT student_id FROM ac))"""
 
 
+def in_place(spark, d):
+    """Graded answers with their attempt's student, over the layout: nothing is moved."""
+    own = papers(spark, d)
+    rows = op.grade_in_place(own.answers, own.questions).join(own.attempts.select("test_id", "slot", "attempt_id", "student_id", "started_at"), ["test_id", "slot", "attempt_id"])
+    return rows.select("student_id", "subject", "is_correct", "started_at")
+
+
 def accuracy(spark, d):
     return agg.student_subject_accuracy(graded(spark, d), roles.attempts(spark, d), roles.students(spark, d))
 
@@ -227,7 +236,40 @@ def student_subject_zero_fill(spark, d):
 @query(f"""WITH {GRADED}, {ACCURACY}, o AS (SELECT student_id, count(*) FILTER (status = 'submitted') AS completed, count(*) AS attempted, CAST(floor(avg(coalesce(score, 0)) + 0.5) AS BIGINT) AS avg_score FROM attempts GROUP BY 1)
   SELECT o.*, coalesce(r, 0) AS accuracy_rate FROM o LEFT JOIN (SELECT student_id, CAST(floor(avg(accuracy) + 0.5) AS BIGINT) AS r FROM az GROUP BY 1) USING (student_id)""")
 def student_kpis(spark, d):
-    return agg.student_kpis(roles.attempts(spark, d), agg.with_zero_subjects(accuracy(spark, d), roles.students(spark, d)))
+    rows, own = in_place(spark, d), roles.students(spark, d)
+    return agg.student_kpis(roles.attempts(spark, d), agg.with_zero_subjects(written(agg.accuracy_of(rows, own), "accuracy"), own))
+
+
+def rolled_up(spark, d) -> Rollups:
+    """The stored statistics, filled by attempts until the end of 1997 and then refreshed by those after."""
+    own, graded_rows, sat = Rollups(spark, folder(spark, "rollups")), in_place(spark, d), roles.attempts(spark, d)
+    early = "started_at < timestamp_ntz'1998-01-01 00:00:00'"
+    own.refresh(sat.where(early), graded_rows.where(early), 0)
+    own.refresh(sat.where(f"coalesce(NOT {early}, true)"), graded_rows.where(f"coalesce(NOT {early}, true)"), 1)
+    return own
+
+
+STUDENT_KPIS = f"""WITH {GRADED}, {ACCURACY}, o AS (SELECT student_id, count(*) FILTER (status = 'submitted') AS completed, count(*) AS attempted, CAST(floor(avg(coalesce(score, 0)) + 0.5) AS BIGINT) AS avg_score FROM attempts GROUP BY 1)
+  SELECT o.*, coalesce(r, 0) AS accuracy_rate FROM o LEFT JOIN (SELECT student_id, CAST(floor(avg(accuracy) + 0.5) AS BIGINT) AS r FROM az GROUP BY 1) USING (student_id)"""
+
+
+@query(STUDENT_KPIS)
+def student_kpis_refreshed(spark, d):
+    return rolled_up(spark, d).student_kpis(roles.students(spark, d))
+
+
+@query("SELECT test_id, count(*) AS submission_count, round(avg(coalesce(score, 0)), 4) AS average_score FROM attempts GROUP BY 1")
+def test_stats_refreshed(spark, d):
+    return rolled_up(spark, d).test_stats()
+
+
+TEACHER_KPIS = """WITH s AS (SELECT test_id, count(*) AS n, round(avg(coalesce(score, 0)), 4) AS m FROM attempts GROUP BY 1)
+  SELECT created_by, count(*) AS total_tests, count(*) FILTER (is_published) AS published, CAST(sum(coalesce(n, 0)) AS BIGINT) AS submissions, CAST(floor(avg(coalesce(m, 0)) + 0.5) AS BIGINT) AS avg_performance FROM tests LEFT JOIN s ON s.test_id = tests.id GROUP BY 1"""
+
+
+@query(TEACHER_KPIS)
+def teacher_kpis_refreshed(spark, d):
+    return rolled_up(spark, d).teacher_kpis(roles.tests(spark, d))
 
 
 @query("""WITH s AS (SELECT test_id, count(*) AS n, round(avg(coalesce(score, 0)), 4) AS m FROM attempts GROUP BY 1)

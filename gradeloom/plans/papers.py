@@ -12,8 +12,8 @@ from gradeloom.operators import papers as op
 from gradeloom.plans.grading import FIVE, GRADED, SUBJECT_SCORES, graded
 from gradeloom.plans.lookups import LEFT_ANSWERS, MATCH, VISIBLE, attempt_questions, sql_section_key, sql_subject_key, visible
 from gradeloom.plans.registry import query
-from gradeloom.sources import roles
-from gradeloom.sources.files import written
+from gradeloom.sources import pages, roles
+from gradeloom.sources.files import folder, written
 
 
 def plan(spark, d):
@@ -31,7 +31,11 @@ def blueprint_targets(spark, d):
 
 
 def saved(spark, d):
-    """The questions that the quotas keep, under their sections' names."""
+    """The questions that the quotas keep, under their sections' names, worked out once."""
+    return written(kept(spark, d), "saved")
+
+
+def kept(spark, d):
     trimmed = op.quota_trim(joins.matched_sections(roles.questions(spark, d), plan(spark, d)), roles.questions(spark, d))
     return trimmed.select("test_id", "id", "subject", F.col("section_name").alias("section"), "rank")
 
@@ -89,7 +93,7 @@ def missing_sections(spark, d):
 
 @query(f"WITH {SAVED} SELECT test_id, id, subject, section, rank FROM saved")
 def quota_trim(spark, d):
-    return saved(spark, d)
+    return kept(spark, d)
 
 
 # A bank's hashes as SQL; options are a list of their values there.
@@ -167,7 +171,7 @@ def staged(rows, own):
 @query(f"WITH RECURSIVE {PRINTS}, placed AS (SELECT fp.*, {sql_subject_key('subject')} || '/section a' AS place, r.quota FROM fp JOIN (SELECT test_id, max(q_count) AS quota FROM blueprint WHERE section_name = 'Section A' GROUP BY 1) r USING (test_id)), {STAGED} SELECT * FROM staged")
 def greedy_dedup_quota(spark, d):
     """The bank's tests: a section for each subject, with the q_count of the blueprint's Section A."""
-    rows = prints(spark, d).withColumn("section", F.lit("Section A"))
+    rows = written(prints(spark, d).drop("options").withColumn("section", F.lit("Section A")), "prints")
     room = plan(spark, d).where("section_name = 'Section A'").groupBy("test_id").agg(F.max("q_count").alias("q_count"))
     own = rows.groupBy("test_id", "subject", F.col("section").alias("section_name")).agg(F.min("id").alias("pos"))
     return staged(rows, own.join(room, "test_id"))
@@ -179,7 +183,7 @@ def stage_questions(spark, d):
     q = roles.questions(spark, d)
     matched = joins.matched_sections(q, plan(spark, d)).select("id", F.col("subject").alias("m_subject"), F.col("section_name").alias("m_section"))
     rows = q.join(matched, "id").selectExpr("id", "test_id", "question_text || ' ' || brand AS question_text", "m_subject AS subject", "m_section AS section", "CAST(NULL AS map<string,string>) AS options", "question_number", "page_number", "question_type", "false AS has_visual", "false AS has_bbox")
-    return staged(op.fingerprints(rows), plan(spark, d))
+    return staged(written(op.fingerprints(rows).drop("options"), "prints"), plan(spark, d))
 
 
 @query(f"WITH {PRINTS} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY test_id, content_hash ORDER BY coalesce(question_number, 0), id) AS r, content_hash FROM fp) WHERE r = 1 OR content_hash = ''")
@@ -246,6 +250,24 @@ def page_bounds(spark, d):
     return pages.select("page", F.ceil(F.col("total") / 25).alias("pages"), (F.col("page") * 25 + 1).alias("from_row"), F.least((F.col("page") + 1) * 25, F.col("total")).alias("to_row"), "total")
 
 
+def item_pages(spark, d):
+    """The page index of the items, newest first, in as many ranges as the session has shuffle partitions."""
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pages.write_pages(roles.items(spark, d).select("id", "title", "created_at"), (F.col("created_at").desc(), F.col("id")), folder(spark, "pages"), ranges)
+
+
+@query("SELECT id, title, created_at, (SELECT count(*) FROM items) AS total FROM items ORDER BY created_at DESC, id LIMIT 25 OFFSET 25 * 5")
+def page_by_index(spark, d):
+    """Page 5 of the items: the ranges that hold it are read, however far in it lies."""
+    index = item_pages(spark, d)
+    return index.page(5, 25).crossJoin(index.total())
+
+
+@query("SELECT p.p AS page, CAST(ceil(n / 25) AS BIGINT) AS pages, p.p * 25 + 1 AS from_row, least((p.p + 1) * 25, n) AS to_row, n AS total FROM (SELECT count(*) AS n FROM items) c, range(3) p(p)")
+def page_bounds_by_index(spark, d):
+    return pages.page_bounds(item_pages(spark, d).total(), spark.range(3).withColumnRenamed("id", "page"), 25)
+
+
 @query("SELECT id, title, created_at, total_marks FROM tests ORDER BY created_at DESC, id LIMIT 5")
 def top_recent_tests(spark, d):
     return roles.tests(spark, d).orderBy(F.col("created_at").desc(), "id").limit(5).select("id", "title", "created_at", "total_marks")

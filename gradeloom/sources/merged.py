@@ -1,4 +1,4 @@
-"""Keyed tables that streams merge batches into: each batch counts once, and only what it changes is written.
+"""Keyed tables that batches, of streams or not, merge into: each batch counts once, and only what it changes is written.
 
 A table is a folder of partial rows and a log. A batch adds its own partial rows (one for each key that it touches) to a
 new folder and then one line to the log, which makes them visible; a batch that the log has is left out when it is tried

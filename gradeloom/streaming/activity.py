@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gradeloom.functions.text import premium_expiry
 from gradeloom.operators.grading import marked, penalty
-from gradeloom.streaming.tables import MergeTable
+from gradeloom.sources.merged import MergeTable
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
