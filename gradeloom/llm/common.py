@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -12,8 +13,12 @@ BITS_PER_BUCKET = 32768  # what bitmap_construct_agg packs into one binary
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process does the
+    warehouse serve in its place."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:

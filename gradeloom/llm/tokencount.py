@@ -1,22 +1,24 @@
 """Token counts by a separator scan of flat token streams that have no index.
 
-A stream is a run of token ids in which an end-of-document id follows each document; it is held as blocks of a fixed
-number of ids that know nothing of documents. Every block is searched by itself, vectorised; a prefix scan over the
+A stream is a flat file of token ids in which an end-of-document id follows each document, and nothing says where. It is
+read by byte ranges of a fixed number of ids. Every such block is searched by itself, vectorised; a prefix scan over the
 blocks' summaries stitches the documents that blocks cut.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import scratch
+from gradeloom.llm.common import scratch, shared_folder
 
 #: A public byte-level vocabulary, its free id, and ids in a block.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,61 +37,76 @@ def _encoding(path: str):
 
 
 def write_streams(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_OF_DOCUMENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Tokenises whole texts into flat streams, one for each input partition, in the shared folder.
+    """Tokenises whole texts into flat files of little-endian uint16 ids, one for each input partition, in the shared folder.
 
-    Returns blocks (stream, block, ids: little-endian uint16) and the manifest (stream, ordinal, doc_id), which the scan
-    doesn't read. The end-of-document id never comes from a text.
-    """
+    Returns the files (stream, path, length) and the manifest (stream, ordinal, doc_id), which the scan doesn't read. The
+    end-of-document id never comes from a text. A file's name is its attempt's own and counts only if Spark has committed
+    that attempt's rows, so a task that is tried again, or twice at once, leaves the result as it is. The vocabulary goes to
+    the executors with the job."""
+    spark = docs.sparkSession
+    spark.sparkContext.addFile(vocabulary)
+    name, folder = os.path.basename(vocabulary), f"{shared_folder(spark)}/gradeloom/flat-{uuid.uuid4().hex}"
 
     def encode(batches):
-        coder, stream = _encoding(vocabulary), TaskContext.get().partitionId()
-        held, ordinal, number, ready = [], 0, 0, 0
-
-        def rows(kind, at, ids, doc):
-            n = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([stream] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary()), doc], ["kind", "stream", "at", "ids", "doc_id"])
+        from pyarrow import fs
 
-        for batch in batches:
-            n = batch.num_rows
-            yield rows(1, np.arange(ordinal, ordinal + n), [None] * n, batch.column(0))
-            ordinal += n
-            for text in batch.column(1):
-                ids = coder.encode_ordinary(text.as_py() or "")
-                ids.append(end)
-                held.append(np.array(ids, np.uint16))
-                ready += len(ids)
-                if ready >= block:
-                    flat, whole = np.concatenate(held), ready // block
-                    for i in range(whole):
-                        yield rows(0, [number + i], [flat[i * block : (i + 1) * block].tobytes()], pa.nulls(1, pa.int64()))
-                    held, number, ready = [flat[whole * block :]], number + whole, ready - whole * block
-        if ready:
-            yield rows(0, [number], [np.concatenate(held).tobytes()], pa.nulls(1, pa.int64()))
-
-    both = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind int, stream long, at long, ids binary, doc_id long")
-    both = scratch(both, "streams", ["kind"], compression="zstd")
-    return both.where("kind = 0").select("stream", F.col("at").alias("block"), "ids"), both.where("kind = 1").select("stream", F.col("at").alias("ordinal"), "doc_id")
-
-
-def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks (stream: a file's path, block, ids) of flat files of uint16 ids, however large.
-
-    Spark lists the files, without their contents; every block is a byte range that one task reads by itself through
-    Arrow's file systems, so a file is as parallel as its blocks are many. The last block is as long as what is left."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {2 * block}"))).alias("block"))
+        coder, stream = _encoding(SparkFiles.get(name)), TaskContext.get().partitionId()
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        path = f"stream-{stream}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.ids"
+        held, ordinal, ready, length = [], 0, 0, 0
+
+        def rows(kind, numbers, doc, path=None):
+            n = len(numbers)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([stream] * n, pa.int64()), pa.array(numbers, pa.int64()), pa.array([path] * n, pa.string()), doc], ["kind", "stream", "number", "path", "doc_id"])
+
+        with store.open_output_stream(f"{at}/{path}") as f:
+            for batch in batches:
+                n = batch.num_rows
+                yield rows(1, np.arange(ordinal, ordinal + n), batch.column(0))
+                ordinal += n
+                for text in batch.column(1):
+                    ids = coder.encode_ordinary(text.as_py() or "")
+                    ids.append(end)
+                    held.append(np.array(ids, np.uint16))
+                    ready += len(ids)
+                    if ready >= block:
+                        f.write(np.concatenate(held).tobytes())
+                        held, length, ready = [], length + 2 * ready, 0
+            if ready:
+                f.write(np.concatenate(held).tobytes())
+        yield rows(0, [length + 2 * ready], pa.nulls(1, pa.int64()), f"{folder}/{path}")
+
+    both = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind int, stream long, number long, path string, doc_id long")
+    both = scratch(both, "streams", ["kind"])
+    return both.where("kind = 0").select("stream", "path", F.col("number").alias("length")), both.where("kind = 1").select("stream", F.col("number").alias("ordinal"), "doc_id")
+
+
+def flat_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stream: a file's path, path, length) of the flat files of a folder; Spark lists them, without their contents."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "path", "length")
+
+
+def read_flat(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks (stream, block, ids) of flat files (stream, path, length) of uint16 ids, however large.
+
+    Every block is a byte range that one task reads by itself through Arrow's file systems, so a file is as parallel as its
+    blocks are many. The last block is as long as what is left."""
+    ranges = files.where("length > 0").select("stream", "path", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {2 * block}"))).alias("block"))
+    kind = ranges.schema["stream"].dataType.simpleString()
 
     def read(batches):
         from pyarrow import fs
 
         for batch in batches:
-            for name, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, (name, number) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 store, at = fs.FileSystem.from_uri(name)
                 with store.open_input_file(at) as f:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([f.read_at(min(2 * block, f.size() - 2 * block * i), 2 * block * i)], pa.binary())], ["stream", "block", "ids"])
+                    ids = f.read_at(min(2 * block, f.size() - 2 * block * number), 2 * block * number)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([number], pa.int64()), pa.array([ids], pa.binary())], ["stream", "block", "ids"])
 
-    spread = ranges.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "path", "block")
-    return spread.mapInArrow(read, "stream string, block long, ids binary")
+    spread = ranges.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "stream", "block")
+    return spread.mapInArrow(read, f"stream {kind}, block long, ids binary")
 
 
 def scan_separators(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
@@ -129,6 +146,6 @@ def scan_separators(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, stream, ordinal; a null or empty text has 0."""
-    blocks, manifest = write_streams(docs, vocabulary, block=block)
-    counts = scan_separators(blocks)
+    files, manifest = write_streams(docs, vocabulary, block=block)
+    counts = scan_separators(read_flat(files, block))
     return manifest.join(counts, ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "ordinal")

@@ -545,7 +545,7 @@ def test_separator_scan_of_flat_files(spark, tmp_path):
     flat.tofile(tmp_path / "a.bin")
     r.integers(1, 50, 300).astype(np.uint16).tofile(tmp_path / "b.bin")
     got = collections.defaultdict(list)
-    for x in tokencount.scan_separators(tokencount.read_flat(spark, str(tmp_path), block=64), end=0).orderBy("ordinal").collect():
+    for x in tokencount.scan_separators(tokencount.read_flat(tokencount.flat_files(spark, str(tmp_path)), block=64), end=0).orderBy("ordinal").collect():
         got[x["stream"][-5:]].append((x["n_tokens"], x["closed"]))
     at = np.flatnonzero(flat == 0)
     lengths = np.diff(np.concatenate(([-1], at))) - 1
