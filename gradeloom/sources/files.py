@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,12 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/gradeloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process
+    does the warehouse serve in its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/gradeloom/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
