@@ -22,6 +22,22 @@ SUBJECT_NAMES = {
     "BIOLOGY": ("BIO", "BIOL", "BI"),
 }
 
+# Patterns that decide which texts have equal hashes.
+NOT_LETTERS = r"[^a-z0-9\p{L}\p{N}]+"  # ASCII first: asking for a category is slow
+NOT_ASCII_LETTERS = r"[^a-z0-9]+"
+NUMBER_LABEL = r"(?U)^[\(\[]?\d+[\)\.\]]\s*"
+OPTION_LABEL = r"(?U)^[\(\[]?[a-z][\)\.\]]\s*"
+WHITE_SPACE = r"(?U)\s+"
+# What a numbered question looks like in page text, and how long a block of one is at least.
+NUMBERED = r"(?m)(\(\d+\)|^\d+[\.\)])"
+BLOCK_START = r"\n(?=\d+[\.\)])"
+BLOCK_CHARS = 20
+# Patterns that cut JSON out of a response and mend it.
+JSON_ARRAY = r"(?s)\[\s*\{.*\}\s*\]"
+JSON_OBJECT = r'(?s)\{\s*".*\}\s*'
+STRAY_BACKSLASH = r"""(?<!\\)\\(?![\\/bfnrtu"'])"""
+COMMA_BEFORE_BRACKET, COMMA_BEFORE_BRACE = r",\s*\]", r",\s*\}"
+
 
 def python_strip(c: Column) -> Column:
     """Without white space of any kind at both ends; each run of it is looked at once, however long."""
@@ -43,7 +59,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9\p{L}\p{N}]+", "")  # ASCII first: asking for a category is slow
+    return F.regexp_replace(F.lower(c), NOT_LETTERS, "")
 
 
 def content_hash(text: Column, options: Column) -> Column:
@@ -53,19 +69,19 @@ def content_hash(text: Column, options: Column) -> Column:
 
 
 def _loose(c: Column, label: str) -> Column:
-    return F.regexp_replace(F.regexp_replace(python_strip(F.lower(c)), label, ""), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.regexp_replace(python_strip(F.lower(c)), label, ""), NOT_ASCII_LETTERS, "")
 
 
 def guard_hash(text: Column, options: Column) -> Column:
     """A looser signature: ASCII letters and digits, without a leading number or option labels."""
-    own = F.transform(F.filter(options, lambda v: F.length(v) > 0), lambda v: _loose(v, r"(?U)^[\(\[]?[a-z][\)\.\]]\s*"))
+    own = F.transform(F.filter(options, lambda v: F.length(v) > 0), lambda v: _loose(v, OPTION_LABEL))
     own = F.array_sort(F.filter(own, lambda v: F.length(v) > 0))
-    body = F.concat(_loose(text, r"(?U)^[\(\[]?\d+[\)\.\]]\s*"), F.lit("#"), F.coalesce(F.array_join(own, "|"), F.lit("")))
+    body = F.concat(_loose(text, NUMBER_LABEL), F.lit("#"), F.coalesce(F.array_join(own, "|"), F.lit("")))
     return F.when(F.coalesce(F.length(text) > 0, F.lit(False)), F.sha2(body, 256)).otherwise(F.lit(""))
 
 
 def page_hash(subject: Column, section: Column, text: Column) -> Column:
-    return F.sha2(F.concat(filled_or(subject, "General"), filled_or(section, "Main"), F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")), 256)
+    return F.sha2(F.concat(filled_or(subject, "General"), filled_or(section, "Main"), F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")), 256)
 
 
 def tokenize(text: Column) -> Column:
@@ -137,11 +153,11 @@ def clean_page_text(c: Column) -> Column:
 
 
 def has_numbered_questions(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"(?m)(\(\d+\)|^\d+[\.\)])"), F.lit(False))
+    return F.coalesce(c.rlike(NUMBERED), F.lit(False))
 
 
 def question_blocks(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n(?=\d+[\.\)])"), python_strip), lambda b: F.length(b) > 20)
+    return F.filter(F.transform(F.split(c, BLOCK_START), python_strip), lambda b: F.length(b) > BLOCK_CHARS)
 
 
 def strip_code_fence(c: Column) -> Column:
@@ -154,10 +170,10 @@ def repaired_json(c: Column) -> Column:
     """JSON text cut out of prose, with stray backslashes doubled and trailing commas dropped; a cut-off array is
     closed. Null where nothing parses."""
     text = python_strip(c)
-    array, single = F.regexp_extract(text, r"(?s)\[\s*\{.*\}\s*\]", 0), F.regexp_extract(text, r'(?s)\{\s*".*\}\s*', 0)
+    array, single = F.regexp_extract(text, JSON_ARRAY, 0), F.regexp_extract(text, JSON_OBJECT, 0)
     target = F.when(array != "", array).when(single != "", single).otherwise(text)
-    target = F.regexp_replace(target, r"""(?<!\\)\\(?![\\/bfnrtu"'])""", r"\\\\")
-    target = F.regexp_replace(F.regexp_replace(target, r",\s*\]", "]"), r",\s*\}", "}")
+    target = F.regexp_replace(target, STRAY_BACKSLASH, r"\\\\")
+    target = F.regexp_replace(F.regexp_replace(target, COMMA_BEFORE_BRACKET, "]"), COMMA_BEFORE_BRACE, "}")
     closed = F.concat(target, F.lit("]"))
     valid = lambda x: F.try_parse_json(x).isNotNull()
     return F.when(valid(target), target).when(target.startswith("[") & valid(closed), closed)

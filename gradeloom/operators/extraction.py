@@ -19,7 +19,9 @@ ALIASES = {
 ENVELOPE = "candidates array<struct<content:struct<parts:array<struct<text:string>>>>>"
 SECTION = "struct<start_q:int,end_q:int,q_count:int,marks:double,negative_marks:double,type:string>"
 CONFIG = f"title string, duration int, standard string, category string, subjects map<string,struct<sections:map<string,{SECTION}>>>, _corrupt_record string"
+# How pages are sent for extraction.
 PAGE_CHARS, PAGES_PER_BATCH = 12000, 2
+PAGE_MARKER = "--- PAGE %d SEARCHABLE TEXT {} ---"
 
 
 def response_text(envelope: Column) -> Column:
@@ -91,7 +93,7 @@ def normalize_bbox(box: Column) -> Column:
 def page_batches(pages: DataFrame) -> DataFrame:
     """Pages (doc, page, text) by twos, each cut to 12,000 characters between markers; a batch has two pages at most."""
     clean = pages.select("doc", "page", F.substring(clean_page_text(F.col("text")), 1, PAGE_CHARS).alias("text")).where("text <> ''")
-    mark = lambda what: F.format_string(f"--- PAGE %d SEARCHABLE TEXT {what} ---", "page")
+    mark = lambda what: F.format_string(PAGE_MARKER.format(what), "page")
     block = F.concat_ws("\n", mark("START"), "text", mark("END"))
     batch = F.floor((F.col("page") - 1) / PAGES_PER_BATCH)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", block.alias("block")))), lambda x: x["block"]), "\n\n")
