@@ -10,6 +10,7 @@ from gradeloom.operators.joins import order_window
 from gradeloom.sources.files import written
 
 CLOSE, SIMILAR = 0.08, 0.9
+HOT = 256  # classes of a leading token from which two shared tokens are asked for
 
 
 def blueprint_targets(plan: DataFrame) -> DataFrame:
@@ -119,12 +120,14 @@ def signatures(prints: DataFrame) -> DataFrame:
     return prints.select("id", "content_hash", "guard_hash", "intent", "confidence", F.sha2("anchor", 256).alias("anchor_hash"), tokens.alias("tokens"))
 
 
-def near_duplicate_pairs(signed: DataFrame) -> DataFrame:
+def near_duplicate_pairs(signed: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs of equal intent, close confidence and similar words, from ``signatures``.
 
     Equal anchors are one class, so copies are not multiplied: classes of an intent meet where they share a leading
-    token, the rarest of the intent first, and a class's members follow their least id. Rows: id, other_id, where
-    other_id is the least of its class. ``signed`` is read several times: a written table spares the work.
+    token, the rarest of the intent first, and a class's members follow their least id. Where a leading token has more than
+    ``hot`` classes, they meet where they share two tokens of a prefix that is one longer, which similar sets do as well; so
+    a word that an intent's texts have in common brings no two of them together. Rows: id, other_id, where other_id is the
+    least of its class. ``signed`` is read several times: a written table spares the work.
     """
     key = ["intent", "confidence", "anchor_hash"]
     rows = signed.where(F.size("tokens") > 0)
@@ -136,12 +139,19 @@ def near_duplicate_pairs(signed: DataFrame) -> DataFrame:
     classes = written(rows.join(heads, "id", "left_semi").select("id", "intent", "confidence", "tokens", F.size("tokens").alias("n")), "classes")
     single = classes.select("id", "intent", "confidence", "n", F.explode("tokens").alias("token"))
     often = single.groupBy("intent", "token").agg(F.count("*").alias("often"))
-    # sets this similar share one of the first n - ceil(0.9 n) + 1 tokens in any one order; a token of one class meets none
+    # sets this similar share one of the first n - ceil(0.9 n) + 1 tokens in any one order, and two of one more; a token of
+    # one class meets none
     ranked = single.join(often, ["intent", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "token")))
-    lead = ranked.where("rank <= n - (9 * n + 9) div 10 + 1 AND often > 1")
-    a, b = (lead.select("intent", "token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "confidence", "n"))) for side in "ab")
+    longer = written(ranked.where("rank <= n - (9 * n + 9) div 10 + 2").withColumn("lead", F.expr("rank <= n - (9 * n + 9) div 10 + 1")), "prefixes")
+    own = ["intent", "id", "confidence", "n"]
+    alone = longer.where(f"lead AND often > 1 AND (often <= {hot} OR n = 1)").select(*own, F.xxhash64("token").alias("key"))
+    crowded = longer.where(f"lead AND often > {hot} AND n > 1").select("id").distinct()
+    prefix = longer.join(crowded, "id", "left_semi").groupBy(*own).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    two = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda y: F.xxhash64(x, y))))
+    meet = alone.union(prefix.select(*own, F.explode(two).alias("key")))
+    a, b = (meet.select("intent", "key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "confidence", "n"))) for side in "ab")
     fits = (F.col("n_a") * 10 >= F.col("n_b") * 9) & (F.col("n_b") * 10 >= F.col("n_a") * 9) & (F.abs(F.col("confidence_a") - F.col("confidence_b")) <= CLOSE + 1e-12)
-    pairs = a.join(b, ["intent", "token"]).where((F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct()
+    pairs = a.join(b, ["intent", "key"]).where((F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct()
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}")), f"id_{side}")
     between = pairs.where(word_similarity(F.col("tokens_a"), F.col("tokens_b")) >= SIMILAR).select(F.col("id_b").alias("id"), F.col("id_a").alias("other_id"))

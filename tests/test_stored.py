@@ -194,3 +194,25 @@ def test_a_report_shuffles_once_for_all_its_counts(spark, tmp_path):
     saved = table(spark, "test_id long, subject string, section string", (1, "Physics", "A"))
     shown = papers.symmetry_report(plan, saved)._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange") == 1
+
+
+# ---- near duplicates where an intent's texts share their words
+
+
+def test_pairs_are_the_same_whether_tokens_are_hot_or_not(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        base = random.Random(i // 3).sample([f"t{k}" for k in range(40)], random.Random(i // 3).randint(1, 24))
+        tokens = [w for w in base if r.random() > 0.03] + ["common"] * (i % 5 > 0)
+        rows.append((i, "i", float(i % 2) / 100, f"h{i}", tokens))
+    signed = table(spark, "id long, intent string, confidence double, anchor_hash string, tokens array<string>", *rows)
+    plain = set()
+    for i, _, _, _, x in rows:
+        for j, _, _, _, y in rows[:i]:
+            if x and y and len(set(x) & set(y)) >= 0.9 * len(set(x) | set(y)) - 1e-9:
+                plain.add((i, j))
+    assert len(plain) > 50
+    assert found(papers.near_duplicate_pairs(signed, hot=1)) == found(papers.near_duplicate_pairs(signed, hot=10_000)) == plain
