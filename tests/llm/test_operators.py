@@ -134,12 +134,12 @@ def test_four_hundred_languages_are_learnt(spark):
     """Each has 12 words of its own; no cap leaves one out."""
     r = random.Random(8)
     own = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)] for _ in range(400)]
-    rows = [(k * 6 + i, " ".join(r.choices(own[k], k=12)), f"l{k:03d}", "s", 1) for k in range(400) for i in range(6)]
+    rows = [(k * 10 + i, " ".join(r.choices(own[k], k=12)), f"l{k:03d}", "s", 1) for k in range(400) for i in range(10)]
     docs = spark.createDataFrame(rows, SCHEMA)
     model = language.train_language(docs)
     assert len(model.labels) == 400
     got = language.identify_language(docs, model).where("held_out").collect()
-    right = sum(x["lang_pred"] == f"l{x['doc_id'] // 6:03d}" for x in got)
+    right = sum(x["lang_pred"] == f"l{x['doc_id'] // 10:03d}" for x in got)
     print(f"400 languages: {right} of {len(got)} held-out rows right, {np.count_nonzero(model.w)} weights")
     assert right >= 0.9 * len(got)
     assert 12 * np.count_nonzero(model.w) < 20_000_000
