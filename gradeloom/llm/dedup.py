@@ -1,9 +1,9 @@
 """Exact dedup over a log-structured merge index of digests, with DataFrame functions only.
 
 Every text is normalised and digested once; what follows moves digests. Rows are dealt to memtables, and each memtable
-flushes one run: its digests in order, each with its best row so far and a count. A filter over the runs knows which
-digests can be in two of them; all others skip compaction, which merges the runs and keeps for each digest the best
-identifier (longest original text, then smallest doc_id). Digests of more than one row are hits. The texts of hits are
+flushes one run: its digests in order, each with its best row so far and a count, and the run's own filter. A run's digests
+are probed in the filters of the other runs; those that none may hold skip compaction, which merges the rest and keeps for
+each digest the best identifier (longest original text, then smallest doc_id). Digests of more than one row are hits. The texts of hits are
 read again and compared byte by byte: where two texts share a digest, their rows are grouped by the text itself.
 """
 
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import bit_filter, filter_bits, maybe_in, positions_filter, scratch, text_or_empty
+from gradeloom.llm.common import BITS_PER_BUCKET, bit_filter, filter_bits, maybe_in, scratch, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLES, MEMTABLE_ROWS = 16, 1_000_000  # at least so many memtables, of about so many rows at most
+HASHES = 4  # bits of a digest in a filter of 16 to 32 bits a digest: one in 400 to 5,000 is found in a run that lacks it
+FILTER_BYTES = 1 << 26  # of all runs' filters together, beyond which they aren't broadcast
 
 
 def normalised(text: Column) -> Column:
@@ -46,11 +48,45 @@ def flush(keyed: DataFrame, memtables: int = MEMTABLES, memtable_rows: int = MEM
     return scratch(run.sortWithinPartitions("run", "digest"), "run", ["run"])
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets))
+
+
+def _places() -> list[Column]:
+    """Where a digest's bits are inside its bucket."""
+    h = F.xxhash64("digest", F.lit(HASHES))
+    return [F.shiftright(h, 15 * i).bitwiseAND(F.lit(BITS_PER_BUCKET - 1)) for i in range(HASHES)]
+
+
+def run_filters(runs: DataFrame, buckets: int) -> DataFrame:
+    """The filter of each run, as rows (run, bucket, bits) of 4 KB: a Bloom filter whose keys keep their bits in one bucket."""
+    places = runs.select("run", _bucket(buckets).alias("bucket"), F.explode(F.array(*_places())).alias("at"))
+    return scratch(places.groupBy("run", "bucket").agg(F.bitmap_construct_agg("at").alias("bits")), "filters")
+
+
+def _has(bits: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.call_function("getbit", byte, (at % 8).cast("int")) == 1
+
+
 def shared_by_runs(runs: DataFrame) -> DataFrame:
-    """The runs' entries that another run may have too: a bit table tells which of its places two entries take."""
-    bits = filter_bits(runs.count())
-    taken = runs.select(F.pmod(F.xxhash64("digest"), F.lit(bits)).alias("at")).groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
-    return maybe_in(runs, "digest", scratch(positions_filter(taken), "filter"), "met", bits).where("met OR rows > 1").drop("met")
+    """The runs' entries that another run may have too, or that stand for several rows: each entry is probed in the filters
+    of the runs beside its own. Filters of more than ``FILTER_BYTES`` in all aren't broadcast; then runs are merged whole."""
+    sizes = runs.groupBy("run").count().agg(F.count("*"), F.max("count")).first()
+    buckets = max(1, (1 << (16 * (sizes[1] or 1) - 1).bit_length()) // BITS_PER_BUCKET)
+    if sizes[0] * buckets * BITS_PER_BUCKET // 8 > FILTER_BYTES:
+        return runs
+    filters = run_filters(runs, buckets).groupBy("bucket").agg(F.collect_list(F.struct("run", "bits")).alias("filters"))
+    probes = runs.withColumns({"at": _bucket(buckets), **{f"p{i}": p for i, p in enumerate(_places())}})
+
+    def may_hold(f: Column) -> Column:
+        test = f["run"] != F.col("run")
+        for i in range(HASHES):
+            test = test & _has(f["bits"], F.col(f"p{i}"))
+        return test
+
+    met = probes.join(F.broadcast(filters), F.col("at") == F.col("bucket")).where((F.col("rows") > 1) | F.exists("filters", may_hold))
+    return met.select("run", "digest", "best", "rows")
 
 
 def compact(runs: DataFrame) -> DataFrame:

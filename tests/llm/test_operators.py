@@ -344,6 +344,23 @@ def test_exact_dedup(spark, edge, empty, digest):
     assert dedup.exact_dedup(empty, digest).count() == 0
 
 
+@pytest.mark.parametrize("least_bytes", [None, 0])
+def test_filters_of_runs(spark, monkeypatch, least_bytes):
+    """Entries that several runs hold are met, few others are, and merging without filters gives the same level."""
+    own = [(r, f"{r}-{i}", 1) for r in range(5) for i in range(4000)]
+    both = [(r, f"copy {i}", 1) for i in range(300) for r in (i % 5, (i + 1 + i % 3) % 5)]
+    rows = [*own, *both, (2, "twice in one run", 2)]
+    runs = common.scratch(spark.createDataFrame(rows, "run int, digest string, rows long").withColumn("best", F.struct(F.col("run").alias("less"))), "run", ["run"])
+    if least_bytes is not None:
+        monkeypatch.setattr(dedup, "FILTER_BYTES", least_bytes)
+    entries = dedup.shared_by_runs(runs)
+    met = {(r["run"], r["digest"]) for r in entries.collect()}
+    assert met >= {(r, d) for r, d, _ in both} | {(2, "twice in one run")}
+    assert len(met) == len(rows) if least_bytes == 0 else len(met) < 601 + 0.02 * len(own)
+    level = {r["digest"]: (r["best"]["less"], r["rows"]) for r in dedup.compact(entries).where("rows > 1").collect()}
+    assert level == {f"copy {i}": (min(i % 5, (i + 1 + i % 3) % 5), 2) for i in range(300)} | {"twice in one run": (2, 2)}
+
+
 # ---- 6
 
 
