@@ -8,6 +8,12 @@ sketch of the whole corpus, so common passages rarely meet. Sets that are equal
 left joins candidate components. Each component's sets are then brought together, and a signature tree with exact
 verification links them. A large cell or component is dealt into blocks: each is linked by itself first, and then only
 blocks meet that hold different components of near enough sizes, so a large group of near copies costs no pairs of blocks.
+
+Texts of one form share its frequent shingles, and that alone may not suffice to link them. Let f be how many shingles of
+a set are frequent: of sketch counts that a large cell needs. A pair shares min(f) of those at most, so where that is less
+than the overlap it needs, it shares a rare shingle too; as the order puts rare ones first, that one is in both prefixes,
+and its cell is small. So a set with f below the overlap that two sets of its own size need isn't the smaller one of any
+pair that a large cell has to find: a large cell is led by its other sets only, and one without any is left out.
 """
 
 from __future__ import annotations
@@ -34,6 +40,11 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def _frequent_code() -> int:
+    """The least code of a frequent shingle; whatever is below has at most ``CELL`` occurrences, so its cell is small."""
+    return int(2 * math.log2(1 + CELL))
+
+
 def _lead_sql(n: str, percent: int):
     """How many of a set's first shingles a larger or equal partner must meet."""
     return F.expr(f"{n} - ({2 * percent} * {n} + {99 + percent}) div {100 + percent} + 1")
@@ -61,26 +72,29 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, code: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set, its prefix in the global order, its signature."""
-    shared = docs.sparkSession.sparkContext.broadcast(code)
-    kind = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """Per document: set size, a 128-bit digest of the set, its prefix in the global order, its signature, and whether its
+    frequent shingles are as many as a pair of its size must share."""
+    shared, frequent = docs.sparkSession.sparkContext.broadcast(code), _frequent_code()
+    kind = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def profile(batches):
         rank = shared.value
         for part, b, off in _batches(batches):
             g, at = shingles(b, off, n)
-            size, d1, d2, prefix, sig = [], [], [], [], []
+            size, wide, d1, d2, prefix, sig = [], [], [], [], [], []
             for lo, hi in zip(at[:-1], at[1:]):
                 u = np.unique(g[lo:hi])
                 k = len(u)
                 size.append(k)
                 if not k:
-                    d1.append(0), d2.append(0), prefix.append(np.zeros(0, np.int64)), sig.append(b"")
+                    wide.append(False), d1.append(0), d2.append(0), prefix.append(np.zeros(0, np.int64)), sig.append(b"")
                     continue
                 m = mix(u + np.uint64(0x51ED270B))
                 d1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(mix(m ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)))
-                order = (rank[u >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
+                uses = rank[u >> np.uint64(64 - SKETCH_BITS)]
+                wide.append(bool(np.count_nonzero(uses >= frequent) * (100 + percent) >= 2 * percent * k))
+                order = (uses.astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
                 p = k - int(_need(k, percent)) + 1
                 first = np.argpartition(order, p - 1)[:p]
                 prefix.append(u[first[np.argsort(order[first])]].view(np.int64))
@@ -90,10 +104,10 @@ def _profiles(docs: DataFrame, code: np.ndarray, n: int, percent: int) -> DataFr
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sig, pa.binary())], schema=kind
+                [part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(wide, pa.bool_()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sig, pa.binary())], schema=kind
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(profile, "doc_id long, text_key long, n long, d1 long, d2 long, prefix array<long>, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(profile, "doc_id long, text_key long, n long, wide boolean, d1 long, d2 long, prefix array<long>, sig binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -229,7 +243,7 @@ def _cells(percent: int):
             for at, k in zip(start[count > LEAF].tolist(), count[count > LEAF].tolist()):
                 own = slice(at, at + k)
                 links = Links(k)
-                SignatureTree(size[own], sig[own], percent).link(lambda i, j, at=at: possible(at + i, at + j), links)
+                SignatureTree(size[own], sig[own], percent).link(lambda i, j, at=at: bool(lead[at + i]) and possible(at + i, at + j), links)
                 roots = links.roots()
                 moved = np.flatnonzero(roots != np.arange(k))
                 trees.append(np.stack((cid[at + moved], cid[at + roots[moved]]), 1))
@@ -256,23 +270,24 @@ def _meetings(rows: DataFrame, group: str, percent: int) -> DataFrame:
     """``rows`` (group, cid, label, n, w) once for each ``place`` where they meet others of their group.
 
     A row is in a block, of a total of about 1 in w: a large label's rows of a size level have blocks of their own, those
-    of small labels share some. Two blocks meet unless they hold one label only, or sizes too far apart to link. A
-    group of one label has no place."""
+    of small labels share some. Two blocks meet unless they hold one label only, or sizes too far apart to link, or no row
+    that leads (a boolean, if ``rows`` has it) at the lesser size. A group of one label has no place."""
     level = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    rows = rows.withColumn("level", level)
-    own = scratch(rows.groupBy(group, "label", "level").agg(F.sum("w").alias("weight")), "labels")
+    rows = rows.withColumns({"level": level, "leads": F.col("lead") if "lead" in rows.columns else F.lit(True)})
+    own = scratch(rows.groupBy(group, "label", "level", "leads").agg(F.sum("w").alias("weight")), "labels")
     several = own.groupBy(group).agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select(group)
     own = own.join(several, group)
-    pool = own.where("weight <= 0.5").groupBy(group, "level").agg(F.ceil(F.sum("weight")).alias("pool"))
-    rows = rows.join(own, [group, "label", "level"]).join(pool, [group, "level"], "left")
+    pool = own.where("weight <= 0.5").groupBy(group, "level", "leads").agg(F.ceil(F.sum("weight")).alias("pool"))
+    rows = rows.join(own, [group, "label", "level", "leads"]).join(pool, [group, "level", "leads"], "left")
     pure = F.col("weight") > 0.5
     block = F.struct(
-        F.col("level"), F.when(pure, F.col("label")).otherwise(-1).alias("of"),
+        F.col("level"), F.col("leads"), F.when(pure, F.col("label")).otherwise(-1).alias("of"),
         F.when(pure, F.pmod(F.xxhash64("cid"), F.ceil("weight"))).otherwise(F.pmod(F.xxhash64("label"), F.col("pool"))).alias("i"),
     )
-    rows = scratch(rows.withColumn("block", block).drop("level", "weight", "pool"), "blocks")
+    rows = scratch(rows.withColumn("block", block).drop("level", "leads", "weight", "pool"), "blocks")
     blocks = rows.select(group, "block").distinct()
     pairs = blocks.join(blocks.select(group, F.col("block").alias("other")), group).where("block <= other AND other.level - block.level <= 1 AND (block.of <> other.of OR block.of = -1)")
+    pairs = pairs.where("block.leads OR (other.leads AND block.level = other.level)")
     pairs = pairs.withColumn("place", F.xxhash64(group, "block", "other"))
     ends = pairs.select(group, "block", "place").union(pairs.where("block <> other").select(group, "other", "place"))
     return rows.join(ends, [group, "block"]).drop("block")
@@ -387,12 +402,15 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     known = profiles.where("n > 0 and doc_id is not null")
     # written, so that joins with it deal both sides anew and Spark can split a class of many copies
     classes = scratch(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")), "classes")
-    postings = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    postings = scratch(postings.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n").select("token", "cid", "n", (F.col("pos") < _lead_sql("n", percent)).alias("lead")), "postings")
-    # a cell counts if its token is in several classes, and leads one of their sets at least
-    cells = postings.groupBy("token").agg(F.count("*").alias("m"), F.max("lead").alias("led")).where("m > 1 AND led").select("token", "m")
+    postings = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("prefix").alias("prefix"))
+    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n", "wide")
+    postings = scratch(postings.select("token", "cid", "n", (F.col("pos") < _lead_sql("n", percent)).alias("lead"), "wide"), "postings")
+    # a cell counts if its token is in several classes, and leads one of their sets at least: in a large cell, a wide one
+    cells = postings.groupBy("token").agg(F.count("*").alias("m"), F.max("lead").alias("led"), F.max(F.expr("lead AND wide")).alias("led_wide"))
+    cells = cells.where(f"m > 1 AND if(m > {CELL}, led_wide, led)").select("token", "m")
+    postings = postings.join(cells, "token").withColumn("lead", F.expr(f"lead AND (m <= {CELL} OR wide)")).drop("wide")
     signed = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.any_value("sig").alias("sig"))
-    shared = scratch(postings.join(cells, "token").join(signed.select("cid", "sig"), "cid"), "shared")
+    shared = scratch(postings.join(signed.select("cid", "sig"), "cid"), "shared")
     labels = components(_candidates(shared, percent)).withColumnsRenamed({"id": "cid", "component": "comp"})
     members = scratch(labels.join(signed.select("cid", "sig"), "cid").join(classes.select("cid", "n"), "cid"), "members")
     labels = components(_linked(docs, members, shingle_words, percent))

@@ -448,6 +448,24 @@ def test_large_cells_in_blocks(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_unlike_texts_of_one_form(spark, monkeypatch):
+    """Texts that share most of a form and aren't alike for it are no candidates; those that are alike beside it are found."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    form, rows, members = prose(80, 81), [], []
+    for i in range(300):
+        rows.append((i, form + " " + prose(11 + i % 4, 8200 + i)))
+    rows += [(400 + i, form + " " + prose(10, 8900 + i // 2) + f" end{i}") for i in range(40)]  # alike by twos
+    rows += [(500 + i, prose(80, 82) + " " + prose(1 + i % 6, 9100 + i)) for i in range(40)]  # a form that suffices
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda docs, own, *rest: (members.append(own.count()), plain(docs, own, *rest))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == classes(rows)
+    assert len({c for _, c in got.values()}) > 300
+    assert members[0] < 200
+
+
 def test_signature_tree_matches_all_pairs():
     r = np.random.default_rng(5)
     sets = []
