@@ -41,8 +41,15 @@ class Rollups:
     def refresh(self, attempts: DataFrame, graded: DataFrame, batch: int) -> None:
         """Adds new attempts and their graded answers (student_id, subject, is_correct). A batch counts once, however often
         it is tried; each table is asked for itself, so a refresh that broke off half-way goes on with the others."""
+        self.refresh_tests(attempts, batch)
+        self.refresh_students(attempts, graded, batch)
+
+    def refresh_tests(self, attempts: DataFrame, batch: int) -> None:
+        """The table by test alone, which needs no answers."""
+        self.tests.add(attempts.select("test_id", F.lit(1).cast("long").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score")), batch)
+
+    def refresh_students(self, attempts: DataFrame, graded: DataFrame, batch: int) -> None:
         score = F.coalesce("score", F.lit(0.0)).alias("score")
-        self.tests.add(attempts.select("test_id", F.lit(1).cast("long").alias("n"), score), batch)
         self.students.add(attempts.select("student_id", (F.col("status") == "submitted").cast("long").alias("completed"), F.lit(1).cast("long").alias("attempted"), score), batch)
         self.subjects.add(graded.select("student_id", F.coalesce("subject", F.lit("General")).alias("subject"), F.col("is_correct").cast("long").alias("correct"), F.lit(1).cast("long").alias("total")), batch)
 
