@@ -74,6 +74,10 @@ class StoredTable:
         """Inserts rows whose key is absent; else their non-null fields overwrite."""
         return self.change(new, lambda old: maintenance.upsert(old, new, self.key))
 
+    def replace(self, rows: DataFrame) -> set[int]:
+        """Puts ``rows`` in the place of all rows of their keys; other keys stay."""
+        return self.change(rows, lambda old: maintenance.without(old, self.key, rows, self.key).unionByName(rows))
+
     def delete(self, keys: DataFrame) -> set[int]:
         """Takes away the rows of ``keys``."""
         return self.change(keys, lambda old: maintenance.without(old, self.key, keys, self.key))
