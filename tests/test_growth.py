@@ -42,3 +42,79 @@ def test_attempts_close_once_by_a_table(spark, tmp_path):
     # attempt 5 ends at the mark itself and stays open
     assert {(r["attempt_id"], r["closed_ms"] // 60_000 % 1440) for r in got.collect()} == {(1, 9 * 60 + 30), (3, 10 * 60 + 5)}
     assert activity.closed_attempts(activity.open_attempts(spark, str(tmp_path / "none")).read()).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_begin_with_partitions_by_the_size_of_the_tables(spark, tmp_path, monkeypatch):
+    from gradeloom.sources import layout
+
+    for name in layout.STAR:
+        spark.range(1000).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(layout, "PART_BYTES", 100)
+    n = layout.spread(spark, str(tmp_path))
+    assert n > 100
+    assert spark.range(10).repartition("id").rdd.getNumPartitions() <= n
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == str(n)
+    monkeypatch.setattr(layout, "PART_BYTES", 1 << 40)
+    catalog.queries()["test_stats"](spark, DATA)
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "8"
+
+
+def test_the_product_of_users_and_tests_is_not_shuffled(spark):
+    from gradeloom.plans.grading import now
+    from gradeloom.operators import joins
+
+    users = table(spark, "id long, role string, is_superuser boolean, standard string, stream string, premium_expiry timestamp_ntz", (1, "student", False, "12th", "medical", None), (2, "student", False, "12th", "medical", at("09:00").replace(year=1999)), (3, "student", True, None, None, None), (4, "teacher", False, None, None, None))
+    tests = table(spark, "id long, created_by long, is_published boolean, standard string, category string", (10, 4, True, "12th", "NEET"), (11, 9, True, "12th", "Medical"), (12, 4, False, "12th", "NEET"), (13, 9, True, "12th", "JEE"))
+    attempts = table(spark, "student_id long, test_id long", (2, 11), (2, 11), (2, 13), (1, 10))
+    got = joins.visible_tests(users, tests, attempts, now())
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (2, 11), (3, 10), (3, 11), (3, 12), (3, 13), (4, 10), (4, 12)]
+    for line in plan_of(got).splitlines():
+        assert not ("hashpartitioning(user_id" in line and "test_id" in line and "ENSURE" in line and "standard" in line)
+    assert "hashpartitioning(standard" not in plan_of(got)
+
+
+def test_a_key_meets_sheets_without_moving_their_product(spark):
+    from gradeloom.operators import grading
+
+    answers = table(spark, "sheet long, question int, answer string", (1, 0, "A"), (1, 1, "R"), (1, 2, None), (2, 1, "A"), (2, 9, "A"))
+    key, scheme = table(spark, "question int, correct_answer string", (0, "A"), (1, "A"), (2, None), (3, "A")), table(spark, "question int, positive double, negative double", (0, 4.0, 1.0), (1, 5.0, 2.0), (2, 4.0, 3.0))
+    got = grading.grade_by_key(answers, key, scheme)
+    every = answers.select("sheet").distinct().crossJoin(key)
+    assert found(got, "sheet", "question", "status", "points") == found(grading.grade_key(every, answers, scheme), "sheet", "question", "status", "points")
+    assert len([x for x in plan_of(catalog.queries()["key_left_join_sheet"](spark, DATA)).splitlines() if "hashpartitioning" in x]) == 1
+
+
+def test_statistics_by_test_read_no_answers(spark):
+    assert "is_correct" not in plan_of(catalog.queries()["test_stats_refreshed"](spark, DATA))
+    left = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/gradeloom/rollups-*")
+    catalog.queries()["teacher_kpis_refreshed"](spark, DATA)
+    new = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/gradeloom/rollups-*/*")) - {f for x in left for f in glob.glob(f"{x}/*")}
+    assert {f.rsplit("/", 1)[1] for f in new} == {"tests"}
+
+
+@pytest.mark.parametrize(("name", "kind"), [("sink_results_csv", "results"), ("sink_overwrite_children", "questions")])
+def test_folders_of_a_sink_do_not_grow_with_tests(spark, name, kind, monkeypatch):
+    from gradeloom.plans import scalars
+
+    here = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/gradeloom/{kind}-*"))
+    before = here()
+    assert catalog.queries()[name](spark, DATA).count() > 1
+    (new,) = here() - before
+    assert len(glob.glob(f"{new}/**/*test_id=*", recursive=True)) == 0
+
+
+def test_stored_children_are_replaced_for_the_parents_that_come(spark, tmp_path):
+    from gradeloom.sources import stored
+
+    own = stored.store(table(spark, "id long, test_id long", (1, 1), (2, 1), (3, 2), (4, None)), str(tmp_path / "q"), "test_id", 4)
+    own.replace(table(spark, "id long, test_id long", (9, 1), (10, 5)))
+    assert found(own.read()) == {(9, 1), (10, 5), (3, 2), (4, None)}
+
+
+def test_answers_carry_their_attempts_student(spark):
+    line = [x for x in plan_of(catalog.queries()["student_subject_accuracy"](spark, DATA)).splitlines() if "orders.parquet" in x and "o_custkey" in x]
+    assert len(line) == 1
