@@ -129,9 +129,9 @@ LEFT_ANSWERS = f"""WITH {GRADED} SELECT a.id AS attempt_id, q.id AS question_id,
   FROM attempts a JOIN tests t ON t.id = a.test_id JOIN questions q ON q.test_id = a.test_id LEFT JOIN graded g ON g.attempt_id = a.id AND g.question_id = q.id"""
 
 
-def attempt_questions(spark, d):
+def attempt_questions(spark, d, *cell):
     own = papers(spark, d)
-    return op.questions_left_answers_in_place(own.attempts, own.questions, grade_in_place(own.answers, own.questions))
+    return op.questions_left_answers_in_place(own.attempts, own.questions, grade_in_place(own.answers, own.questions), *cell)
 
 
 @query(LEFT_ANSWERS)
