@@ -5,9 +5,11 @@ import glob
 import pytest
 from conftest import DATA
 from test_edges import arrive, at, found, table
-from test_layout_streams import SEQ
+from test_layout_streams import SEQ, exam, exchanges, no_broadcast  # noqa: F401
 
+from gradeloom.operators import joins
 from gradeloom.plans import catalog
+from gradeloom.sources import layout
 from gradeloom.streaming import activity
 
 
@@ -118,3 +120,22 @@ def test_stored_children_are_replaced_for_the_parents_that_come(spark, tmp_path)
 def test_answers_carry_their_attempts_student(spark):
     line = [x for x in plan_of(catalog.queries()["student_subject_accuracy"](spark, DATA)).splitlines() if "orders.parquet" in x and "o_custkey" in x]
     assert len(line) == 1
+
+
+def above_products(df):
+    """What a plan does to rows after it has unfolded them."""
+    head, unfolded, _ = plan_of(df).partition("Generate ")
+    assert unfolded
+    return [x for x in head.splitlines() if "Sort" in x or "Join" in x or "Aggregate" in x or "Exchange" in x]
+
+
+def test_unattempted_questions_are_unfolded_last(spark, tmp_path, no_broadcast):
+    questions, tests, attempts, answers = exam(spark, 30)
+    more = table(spark, "attempt_id long, question_id long, selected_option string, answer_text string, time_spent_seconds int", (0, 10, "b", None, 9), (1, None, "a", None, 1), (2, 20, "a", None, 1))
+    own = layout.write_papers(attempts.union(table(spark, "id long, test_id long", (8000, 3))), questions, tests, answers.union(more), str(tmp_path / "left_out"), 4, limit=10)
+    rest = joins.unattempted_in_place(own.attempts, own.questions, own.answers)
+    assert above_products(rest) == [] and exchanges(rest) == 0
+    flat = [own.attempts.withColumnRenamed("attempt_id", "id"), questions, own.answers]
+    assert sorted(map(tuple, rest.collect())) == sorted(map(tuple, joins.unattempted(*flat).collect()))
+    assert {q for a, q in map(tuple, rest.collect()) if a == 8000} == {30, 31, 32, 33, 34}
+    assert above_products(catalog.queries()["unattempted_questions"](spark, DATA)) == []
