@@ -129,14 +129,15 @@ LEFT_ANSWERS = f"""WITH {GRADED} SELECT a.id AS attempt_id, q.id AS question_id,
   FROM attempts a JOIN tests t ON t.id = a.test_id JOIN questions q ON q.test_id = a.test_id LEFT JOIN graded g ON g.attempt_id = a.id AND g.question_id = q.id"""
 
 
-def attempt_questions(spark, d, *cell):
+def graded_papers(spark, d):
+    """Attempts, questions and graded answers of the layout."""
     own = papers(spark, d)
-    return op.questions_left_answers_in_place(own.attempts, own.questions, grade_in_place(own.answers, own.questions), *cell)
+    return own.attempts, own.questions, grade_in_place(own.answers, own.questions)
 
 
 @query(LEFT_ANSWERS)
 def join_questions_left_answers(spark, d):
-    return attempt_questions(spark, d)
+    return op.questions_left_answers_in_place(*graded_papers(spark, d))
 
 
 @query("SELECT a.id, a.student_id, CASE WHEN u.id IS NULL THEN 'Unknown' ELSE u.full_name END AS student_name, CASE WHEN u.id IS NULL THEN 'Unknown' ELSE u.email END AS student_email FROM attempts a LEFT JOIN users u ON u.id = a.student_id")
