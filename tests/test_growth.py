@@ -164,3 +164,30 @@ def test_questions_with_their_answers_are_unfolded_last(spark, tmp_path, no_broa
     for name in ("join_questions_left_answers", "attempt_report"):
         assert exchanges(catalog.queries()[name](spark, DATA)) == 0
     assert above_products(catalog.queries()["join_questions_left_answers"](spark, DATA)) == []
+
+
+ODD = ("12) Of the Ärger, x1", " (3]\n THE  end", "[٣. 4 a", "é" * 310 + " a b c d e f g h i j k", "x" * 39, " " + "x" * 40 + "\n", "x" + " " * 38 + "y", "", "word " * 20 + "a" * 190 + " b1 c1 d1 e1 f1 g1 h1 i1", " ".join(f"w{i}" for i in range(99)))
+
+
+def test_one_search_of_a_text_serves_its_hashes_and_anchor(spark):
+    import hashlib
+    import re
+
+    from gradeloom.functions import text as t
+    from gradeloom.operators import papers
+
+    schema = "id long, question_text string, options map<string,string>, subject string, section string, question_type string, question_number int, has_visual boolean, has_bbox boolean"
+    prints = papers.fingerprints(table(spark, schema, *((i, x, {"A": "(a) Über 5"}, "s", None, "SCQ", None, False, False) for i, x in enumerate(ODD))))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in prints.collect():
+        x = r["question_text"]
+        tokens = re.findall("[a-z0-9]+", x.lower())
+        assert r["anchor"] == " ".join([*tokens, "a", "ber", "5"])
+        assert r["content_hash"] == (sha("".join(c for c in x.lower() if c.isalnum()) + "#aüber5") if x else "")
+        assert r["guard_hash"] == (sha(re.sub("[^a-z0-9]", "", re.sub(r"^[(\[]?\d+[).\]]", "", x.lower().strip())) + "#ber5") if x else "")
+        core = [w for w in tokens if w not in t.STOP_WORDS and not w.isdigit()][:8]
+        assert r["intent"] == f"s|scq|{' '.join(core)}"
+        assert r["confidence"] == (0.55 if len(x.strip()) >= 40 else 0.35)
+    shown = plan_of(prints.select("content_hash", "guard_hash", "anchor"))
+    assert len(re.findall(r"regexp_replace\(lower\(question_text#\d+\), \[\^a-z0-9\]\+", shown)) == 1
+    assert "regexp_extract_all" not in shown
