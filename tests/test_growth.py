@@ -191,3 +191,12 @@ def test_one_search_of_a_text_serves_its_hashes_and_anchor(spark):
     shown = plan_of(prints.select("content_hash", "guard_hash", "anchor"))
     assert len(re.findall(r"regexp_replace\(lower\(question_text#\d+\), \[\^a-z0-9\]\+", shown)) == 1
     assert "regexp_extract_all" not in shown
+
+
+def test_near_duplicates_need_no_hashes_of_contents(spark):
+    here = lambda name: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/gradeloom/{name}-*"))
+    before = {name: here(name) for name in ("signatures", "classes")}
+    assert catalog.queries()["near_duplicate_pairs"](spark, DATA).count() > 0
+    columns = {name: spark.read.parquet(*(here(name) - before[name])).columns for name in before}
+    assert "content_hash" not in columns["signatures"] and "guard_hash" not in columns["signatures"]
+    assert "intent" not in columns["classes"]  # a number stands for it in the shuffles that follow
